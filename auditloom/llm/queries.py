@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import mixing, packing, pii, quality, token_counts
+from auditloom.llm import mixing, neardup, packing, pii, quality, token_counts
 from auditloom.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_mixing, op4_packing, op5_token_counts, op9_quality_rules, op10_pii]
+    found = [op3_mixing, op4_packing, op5_token_counts, op6_minhash, op9_quality_rules, op10_pii]
     return {f.__name__: f for f in found}
 
 
