@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import mixing, neardup, packing, pii, quality, token_counts
+from auditloom.llm import licences, mixing, neardup, packing, pii, quality, spotsigs, token_counts
 from auditloom.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known, notices = (licences.registry(spark, x) for x in (licences.LICENCES, licences.NOTICES))
+    return licences.scan(table(spark, sf_dir, "documents"), known, notices)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -27,6 +32,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -36,9 +45,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_mixing, op4_packing, op5_token_counts, op6_minhash, op9_quality_rules, op10_pii]
+    found = [op1_licence_scan, op3_mixing, op4_packing, op5_token_counts, op6_minhash, op7_spotsigs, op9_quality_rules, op10_pii]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": quality.SQL}
+    return {"op1_licence_scan": licences.sql(), "op7_spotsigs": spotsigs.SQL, "op9_quality_rules": quality.SQL}
