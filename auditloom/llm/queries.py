@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import licences, mixing, neardup, packing, pii, quality, spotsigs, token_counts
+from auditloom.llm import html_extract, licences, mixing, neardup, packing, pii, quality, spotsigs, token_counts
 from auditloom.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"), known, notices)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_licence_scan, op3_mixing, op4_packing, op5_token_counts, op6_minhash, op7_spotsigs, op9_quality_rules, op10_pii]
+    found = [op1_licence_scan, op2_html_extraction, op3_mixing, op4_packing, op5_token_counts, op6_minhash, op7_spotsigs, op9_quality_rules, op10_pii]
     return {f.__name__: f for f in found}
 
 
