@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import lower_ascii, text_of, words_of
+from auditloom.llm.common import durable, lower_ascii, text_of, words_of
 
 #: words in a window of the repetition rule
 WINDOW = 5
@@ -18,6 +18,7 @@ WINDOW = 5
 SHARE, LEAST = 0.10, 10
 #: A document is depleted if less than this share of its words is left.
 LEFT = 0.30
+FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 #: characters that count as symbols
 SYMBOLS = "#*$%&|<>"
 
@@ -54,16 +55,19 @@ def base_figures(rows: DataFrame) -> DataFrame:
     ).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def host_lines(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Per row: doc_id, host, a hash of the text, and its lines as (hash, words)."""
-    text = text_of()
-    line = lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(words_of(x)).alias("n"))
-    return docs.select(
+def figures(docs: DataFrame, host: str = "source") -> DataFrame:
+    """Per row: doc_id, host, a hash of the text, its lines as (hash, words), and the base figures.
+
+    Written once to the shared folder; the counts across documents then read it and no text.
+    """
+    rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
-        F.xxhash64(text).alias("digest"),
-        F.transform(lines_with_words(text), line).alias("hashes"),
+        text_of().alias("text"),
     )
+    line = lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(words_of(x)).alias("n"))
+    rows = base_figures(rows).withColumns({"digest": F.xxhash64("text"), "hashes": F.transform("lines", line)})
+    return durable(rows.select("doc_id", "host", "digest", "hashes", *FIGURES))
 
 
 def boilerplate(rows: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
@@ -97,35 +101,19 @@ def quality(docs: DataFrame, host: str = "source", share: float = SHARE, least:
     A null text is empty (no words: base_failed); a null host is a host of its own; a null doc_id stays null; repeated rows
     get the same figures each, and count once as a text of their host; other columns are not read; no rows give no rows.
     """
-    text = host_lines(docs.select("doc_id", host, "text"), host)
-    figures = base_figures(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
-            text_of().alias("text"),
-        )
-    )
-    line = lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(words_of(x)).alias("n"))
-    rows = figures.withColumns({"digest": F.xxhash64("text"), "hashes": F.transform("lines", line)})
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    rows = rows.select("doc_id", "host", "digest", "hashes", *names)
-    return judged(rows, lines_to_remove(text, share, least), left).select("doc_id", *names, "kept")
+    rows = figures(docs, host)
+    return judged(rows, lines_to_remove(rows, share, least), left).select("doc_id", *FIGURES, "kept")
 
 
 def keep_good(docs: DataFrame, host: str = "source", share: float = SHARE, least: int = LEAST, left: float = LEFT) -> DataFrame:
     """The rows of docs that are kept, in docs' columns, without the lines above their host's limit."""
-    names, inner = docs.columns, {"t": "text", "d": "doc_id", "s": host}
-    whole = docs.select(*[F.col(v).alias(k) for k, v in inner.items()], F.struct(*names).alias("row"))
-    plain = whole.select(F.col("d").alias("doc_id"), F.col("s").alias("source"), F.col("t").alias("text"), "row")
-    rows = base_figures(plain.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), text_of().alias("text"), "row"))
-    line = lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(words_of(x)).alias("n"))
-    rows = rows.withColumns({"digest": F.xxhash64("text"), "hashes": F.transform("lines", line)})
-    rows = rows.filter(~F.col("base_failed")).select("doc_id", "host", "digest", "hashes", "n_words", "base_failed", "row")
-    kept = judged(rows, lines_to_remove(host_lines(docs.select("doc_id", host, "text"), host), share, least), left).filter("kept")
+    names, rows = docs.columns, figures(docs, host)
+    kept = judged(rows, lines_to_remove(rows, share, least), left).filter("kept").select("doc_id", "digest", "remove").dropDuplicates(["doc_id", "digest"])
+    whole = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("key"), F.xxhash64(text_of()).alias("sum"))
+    both = whole.join(kept, F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("sum") == F.col("digest")))
     lines = F.filter(F.split(F.col("row.text"), "\n"), lambda x: ~F.array_contains("remove", F.xxhash64(normal_line(x))))
     text = F.when(F.col("remove").isNull(), F.col("row.text")).otherwise(F.array_join(lines, "\n"))
-    out = kept.select("row", text.alias("cleaned"))
-    return out.select(*[F.col("cleaned").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names])
+    return both.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names])
 
 
 #: DuckDB SQL for quality() over documents
