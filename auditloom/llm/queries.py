@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import html_extract, licences, mixing, neardup, packing, pii, quality, spotsigs, token_counts
+from auditloom.llm import html_extract, licences, mixing, neardup, packing, pii, quality, spotsigs, substrings, token_counts
 from auditloom.llm.common import table
 
 
@@ -40,6 +41,10 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -49,8 +54,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_licence_scan, op2_html_extraction, op3_mixing, op4_packing, op5_token_counts, op6_minhash, op7_spotsigs, op9_quality_rules, op10_pii]
-    return {f.__name__: f for f in found}
+    found = [op1_licence_scan, op2_html_extraction, op3_mixing, op4_packing, op5_token_counts, op6_minhash, op7_spotsigs, op8_suffix_dedup, op9_quality_rules, op10_pii]
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
