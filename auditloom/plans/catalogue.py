@@ -357,10 +357,10 @@ def header_table(ledger: Ledger) -> DataFrame:
 
 
 # ---- values, over literal texts
-def over(texts: list[str], **columns: Column) -> Query:
+def over(texts: list[str], **columns: Callable[[Column], Column]) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         rows = spark.createDataFrame([(t,) for t in texts], "text string")
-        return rows.select("text", *[c.alias(n) for n, c in columns.items()])
+        return rows.select("text", *[made(F.col("text")).alias(n) for n, made in columns.items()])
 
     return query
 
@@ -375,40 +375,40 @@ def answers(rows: list[tuple], *columns: str) -> str:
 
 
 AMOUNTS = [("121", "121"), ("609.90", "609.9"), ("-12.5", "-12.5"), (" 7. ", "7"), (".5", "0.5"), ("+3", "3"), ("1e3", None), ("NaN", None), ("1,5", None), ("", None), ("--1", None), ("1 2", None), ("1.000.0", None)]
-QUERIES["parse_amounts"] = over([a for a, _ in AMOUNTS], amount=values.parse_amount(F.col("text")), inexact=F.coalesce(values.inexact(F.col("text")), F.lit(False)))
+QUERIES["parse_amounts"] = over([a for a, _ in AMOUNTS], amount=values.parse_amount, inexact=lambda t: F.coalesce(values.inexact(t), F.lit(False)))
 ORACLES["parse_amounts"] = answers([(a, b, False) for a, b in AMOUNTS], "amount decimal(28,8)", "inexact boolean")
 DATES = [("2024-01-31", "2024-01-31", False), ("2024-02-30", None, False), ("2024-1-5", None, False), ("2024", None, False), ("2024-03-01Z", "2024-03-01", True), ("2024-03-01+14:00", "2024-03-01", True), ("2024-03-01+14:01", None, False), (" 2024-03-01 ", "2024-03-01", False), ("01-02-2024", None, False), ("", None, False)]
-QUERIES["parse_dates"] = over([d[0] for d in DATES], date=values.parse_date(F.col("text")), zone=values.had_zone(F.col("text")))
+QUERIES["parse_dates"] = over([d[0] for d in DATES], date=values.parse_date, zone=values.had_zone)
 ORACLES["parse_dates"] = answers(DATES, "date date", "zone boolean")
 INTS = [("12", "12"), ("+7", "7"), ("-003", "-3"), ("1.0", None), ("", None), ("x", None), ("99999999999999999999", None)]
-QUERIES["parse_ints"] = over([i for i, _ in INTS], number=values.parse_int(F.col("text")))
+QUERIES["parse_ints"] = over([i for i, _ in INTS], number=values.parse_int)
 ORACLES["parse_ints"] = answers(INTS, "number bigint")
 DOUBLES = [("21", "21", True), ("2.1E1", "21", True), ("-1e-2", "-0.01", True), ("INF", None, True), ("NaN", None, True), ("1e401", None, True), ("1e", None, False), ("1,0", None, False)]
-QUERIES["parse_doubles"] = over([d[0] for d in DOUBLES], number=values.parse_double(F.col("text")), valid=values.is_double(F.col("text")))
+QUERIES["parse_doubles"] = over([d[0] for d in DOUBLES], number=values.parse_double, valid=values.is_double)
 ORACLES["parse_doubles"] = answers(DOUBLES, "number decimal(38,18)", "valid boolean")
 ADF = [("10.239,87", "10239.87"), ("10239,87", "10239.87"), ("10239.87", "10239.87"), ("1023987", "10239.87"), ("-1,00", "-1"), ("100-", "-1"), ("1,0", None), ("", None), ("abc", None), ("12,345", None)]
-QUERIES["adf_amounts"] = over([a for a, _ in ADF], amount=values.parse_adf_amount(F.col("text")))
+QUERIES["adf_amounts"] = over([a for a, _ in ADF], amount=values.parse_adf_amount)
 ORACLES["adf_amounts"] = answers(ADF, "amount decimal(28,2)")
 ADF_DATES = [("31-01-1999", "1999-01-31"), ("31011999", "1999-01-31"), ("1999-01-31", None), ("30-02-1999", None), ("", None)]
-QUERIES["adf_dates"] = over([a for a, _ in ADF_DATES], date=values.parse_adf_date(F.col("text")))
+QUERIES["adf_dates"] = over([a for a, _ in ADF_DATES], date=values.parse_adf_date)
 ORACLES["adf_dates"] = answers(ADF_DATES, "date date")
 TEXTS = [("  a b ", "a b"), (" x ", "x"), ("\t\n", None), ("", None), ("y", "y")]
-QUERIES["strip_text"] = over([t for t, _ in TEXTS], clean=values.clean(F.col("text")))
+QUERIES["strip_text"] = over([t for t, _ in TEXTS], clean=values.clean)
 ORACLES["strip_text"] = answers(TEXTS, "clean varchar")
 JOURNALS = [("B", "bank"), ("c", "cash"), ("Z", "other"), ("Bankboek", "bank"), ("kasboek", "cash"), ("Inkoopboek", "purchases"), ("Beginbalans", "opening"), ("Verkoop NL", "sales"), ("q", "unknown"), ("", "unknown")]
-QUERIES["journal_kinds"] = over([j for j, _ in JOURNALS], kind=codes.journal_kind(F.col("text")))
+QUERIES["journal_kinds"] = over([j for j, _ in JOURNALS], kind=codes.journal_kind)
 ORACLES["journal_kinds"] = answers(JOURNALS, "kind varchar")
 ACCOUNTS = [("B", "balance"), ("W&V", "profit_loss"), ("M", "mixed"), ("Activa vast", "balance"), ("Kosten", "profit_loss"), ("x", "unknown"), (" p ", "profit_loss"), ("", "unknown")]
-QUERIES["account_kinds"] = over([a for a, _ in ACCOUNTS], kind=codes.account_kind(F.col("text")))
+QUERIES["account_kinds"] = over([a for a, _ in ACCOUNTS], kind=codes.account_kind)
 ORACLES["account_kinds"] = answers(ACCOUNTS, "kind varchar")
 RELATIONS = [("B", "both"), ("D", "customer"), ("f", "supplier"), ("O", "other"), ("Debiteur/crediteur", "both"), ("klant", "customer"), ("Vendor", "supplier"), ("beide", "both"), ("?", "unknown"), ("", "unknown")]
-QUERIES["relation_kinds"] = over([r for r, _ in RELATIONS], kind=codes.relation_kind(F.col("text")))
+QUERIES["relation_kinds"] = over([r for r, _ in RELATIONS], kind=codes.relation_kind)
 ORACLES["relation_kinds"] = answers(RELATIONS, "kind varchar")
 RELEASES = [("3.8", "3.8"), ("RGS 3.7-def", "3.7"), ("rgs-3,07", "3.7"), ("3.5.0", "3.5"), ("none", None)]
-QUERIES["rgs_releases"] = over([r for r, _ in RELEASES], release=codes.release(F.col("text")))
+QUERIES["rgs_releases"] = over([r for r, _ in RELEASES], release=codes.release)
 ORACLES["rgs_releases"] = answers(RELEASES, "release varchar")
 REFS = [("BIvaKouVvp", "BIvaKouVvp", None, False), ("WOmzNop.01", "WOmzNop", "01", False), ("0000", None, None, True), ("n.v.t.", None, None, True), ("1234", None, None, False), (" BLim-X ", "BLim", "X", False)]
-QUERIES["rgs_refs"] = over([r[0] for r in REFS], code=codes.rgs_code(F.col("text")), extension=codes.rgs_extension(F.col("text")), placeholder=codes.rgs_placeholder(F.col("text")))
+QUERIES["rgs_refs"] = over([r[0] for r in REFS], code=codes.rgs_code, extension=codes.rgs_extension, placeholder=codes.rgs_placeholder)
 ORACLES["rgs_refs"] = answers(REFS, "code varchar", "extension varchar", "placeholder boolean")
 
 # ---- reference chart, over literal codes
