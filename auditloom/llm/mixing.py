@@ -116,7 +116,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, fraction:
     A null text is empty (no tokens, so weight 0 unless its cell has other texts); a null source or language is the category
     "unknown"; a null doc_id stays null; repeated rows are drawn alike; other columns are not read; no rows give no rows.
     """
-    rows = labelled(docs, topic)
+    rows = durable(labelled(docs, topic))
     drawn = rows.join(mixed_cells(rows, targets, fraction), list(DIMENSIONS)).withColumn("sampled", F.col("drawn") < F.col("probability"))
     return drawn.select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", "sampled")
 
