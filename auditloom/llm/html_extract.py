@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,8 +56,7 @@ def fitted(spark: SparkSession, pages: int = html_training.PAGES, seed: int = ht
                 yield pa.RecordBatch.from_arrays([pa.array(list(x)), pa.array(np.array(label, float))], names=["x", "label"])
 
     rows = spark.range(pages).repartition(8).mapInArrow(nodes, "x array<double>, label double")
-    vector = F.udf(lambda x: Vectors.dense(x), VectorUDT())
-    rows = rows.select(vector("x").alias("features"), "label").persist()
+    rows = rows.select(array_to_vector("x").alias("features"), "label").persist()
     try:
         model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=seed, maxBins=64).fit(rows)
     finally:
