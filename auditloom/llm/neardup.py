@@ -22,6 +22,10 @@ from auditloom.llm.common import durable, text_of
 
 #: Sets of similarity 0.85 miss all 24 bands of 5 coordinates with a chance of 8 in ten million.
 BANDS, ROWS = 24, 5
+#: Members of a bucket up to this number are held against each other; larger buckets are searched by what differs from a pivot.
+FEW = 12
+#: 64-bit words of the bitmaps that bound the difference of two sets
+BITMAP = 8
 #: word hashes that a worker keeps, and shingles that are sketched at a time
 KEPT_WORDS, AT_ONCE = 500_000, 400_000
 ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -119,6 +123,11 @@ def sketched(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return rows_.mapInArrow(of_batch, "doc_id long, n_shingles long, hi long, lo long, bands array<long>")
 
 
+def with_texts(pairs: DataFrame, one: str, texts_of_one: DataFrame, two: str, texts_of_two: DataFrame) -> DataFrame:
+    """pairs with both texts; texts are merged in by key at every size, so that what is moved follows the input."""
+    return pairs.hint("merge").join(texts_of_one.hint("merge"), one).hint("merge").join(texts_of_two.hint("merge"), two)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
@@ -143,7 +152,66 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(second, "b").join(first, "a").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+    return with_texts(pairs, "b", second, "a", first).select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+
+
+def differences(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """pairs (p, u) with the shingles that only one of the two sets has, a bitmap of these, and the sizes of both sets."""
+    names = ["p", "u", "only", "np", "nu", *(f"s{k}" for k in range(BITMAP))]
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: OrderedDict[int, np.ndarray] = OrderedDict()
+        for batch in batches:
+            lists, sizes, bitmaps = [], ([], []), []
+            for i, p in enumerate(batch.column(0).to_pylist()):
+                if p not in kept:
+                    kept[p] = shingle_set(words(batch.column(2)[i].as_py()), size)
+                    if len(kept) > 64:
+                        kept.popitem(last=False)
+                one, two = kept[p], shingle_set(words(batch.column(3)[i].as_py()), size)
+                only = np.setxor1d(one, two, assume_unique=True)
+                bits = np.zeros(BITMAP, np.uint64)
+                np.bitwise_or.at(bits, (only % np.uint64(BITMAP)).astype(np.int64), np.uint64(1) << (only >> np.uint64(32) & np.uint64(63)))
+                bitmaps.append(bits.view(np.int64))
+                lists.append(only.view(np.int64))
+                sizes[0].append(len(one))
+                sizes[1].append(len(two))
+            columns = np.array(bitmaps, np.int64).reshape(-1, BITMAP)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int64())), pa.array(sizes[0], pa.int64()), pa.array(sizes[1], pa.int64()), *(pa.array(columns[:, k]) for k in range(BITMAP))], names=names
+            )
+
+    first = texts.select(F.col("doc_id").alias("p"), F.col("text").alias("tp"))
+    second = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu"))
+    schema = "p long, u long, only array<long>, np long, nu long" + "".join(f", s{k} long" for k in range(BITMAP))
+    return with_texts(pairs, "u", second, "p", first).select("p", "u", "tp", "tu").mapInArrow(differ, schema)
+
+
+def around_pivots(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Candidate pairs (a, b, of_a, of_b) of different components in large buckets, without forming all pairs.
+
+    Let D be what differs between a set and its bucket's pivot p, and k = (1 - t) / (1 + t) for similarity t. Two sets u and v are
+    linked only if |Du & Dv| >= (eu + ev) / 2 with e = |D| - k * |set|. A set that isn't linked with the pivot has e > k * |p|, and of two
+    sets of different components one is such a set, v. So u must share one of its |Du| - floor((eu + k * |p|) / 2) rarest
+    differences with v. Copies with different edits differ from the pivot in different shingles, so few pairs come up.
+    """
+    k = (100 - percent) / (100 + percent)
+    pairs = members.select(F.col("pivot").alias("p"), F.col("doc_id").alias("u"), F.col("component").alias("of_u"), F.col("of_pivot").alias("of_p")).filter("p != u").distinct()
+    found = durable(differences(pairs.select("p", "u"), texts, size).join(pairs, ["p", "u"]))
+    each = found.select("p", "u", F.explode("only").alias("x"))
+    counts = each.groupBy("p", "x").agg(F.count("*").alias("c")).filter("c > 1")
+    # a difference that no other set has can't be shared: it only shortens the prefix
+    shared = each.join(counts, ["p", "x"]).groupBy("p", "u").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))
+    rows = durable(found.withColumn("d", F.size("only")).drop("only").join(shared, ["p", "u"]))
+    need = F.floor((F.col("d") - F.lit(k) * F.col("nu") + F.lit(k) * F.col("np")) / 2 - 1e-6)
+    prefix = F.slice("xs", 1, F.greatest(F.least(F.size("xs"), F.size("xs") - need), F.lit(0)).cast("int"))
+    bits = [f"s{i}" for i in range(BITMAP)]
+    one = rows.select("p", F.col("u").alias("a"), F.col("of_u").alias("of_a"), F.col("nu").alias("na"), *bits, F.explode(prefix).alias("y")).withColumn("x", F.col("y.x")).drop("y")
+    two = rows.filter("of_u != of_p").select(F.col("p").alias("q"), F.col("u").alias("b"), F.col("of_u").alias("of_b"), F.col("nu").alias("nb"), *[F.col(c).alias(f"t{c}") for c in bits], F.explode("xs.x").alias("z"))
+    differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"t{c}"))) for c in bits), F.lit(0))
+    near = (F.col("of_a") != F.col("of_b")) & (differing <= F.lit(k) * (F.col("na") + F.col("nb")) + 1e-6)
+    apart = one.join(two, (F.col("p") == F.col("q")) & (F.col("x") == F.col("z")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return apart.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -164,10 +232,10 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row.
 
-    Rows of equal words are one class, which its least doc_id stands for. Each class is first held against the class it shares
-    most bands with among the least ones of its buckets, then against the others of these, and last the members of a bucket that
-    are still in different components are held against each other; a pair that is already connected needs no test. So a large
-    group of copies costs a test or two for each member, and no link between components is lost.
+    Rows of equal words are one class, which its least doc_id stands for. Each class is first held against the pivot that it
+    shares most bands with, then against the pivots of its other buckets, and last the members of a bucket that are still in
+    different components are searched for links (see around_pivots for large buckets); a pair that is already connected needs
+    no test. So a large group of copies costs a test or two for each member, and no link between components is lost.
 
     Null or empty texts, and texts without words, have an empty set and are linked with nothing. Rows of one doc_id are one
     document. A null doc_id has no component and is kept. Other columns are not read; no rows give no rows.
@@ -176,14 +244,19 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
     able = made.filter("doc_id is not null and n_shingles > 0")
     classes = durable(able.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x"), F.count("*").alias("rows")))
     of_band = classes.select(F.col("x.doc_id").alias("doc_id"), F.col("x.n_shingles").alias("n"), F.explode("x.bands").alias("band"))
-    full = of_band.groupBy("band").agg(F.min(F.struct("doc_id", "n")).alias("pivot"), F.count("*").alias("c")).filter("c > 1")
-    members = durable(of_band.join(full.select("band", "pivot"), "band"))
+    full = of_band.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1")
+    inside = durable(of_band.join(full, "band"))
+    # the pivot of a bucket is its member with most company in all its buckets: the likeliest centre of a group of copies
+    score = inside.groupBy("doc_id").agg(F.sum("c").alias("score"))
+    pivots = inside.join(score, "doc_id").groupBy("band").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("by"), "doc_id", "n")).alias("pivot"))
+    members = durable(inside.join(pivots, "band"))
     fits = lambda m, n: (100 * m >= percent * n) & (100 * n >= percent * m)
     stars = members.filter(F.col("doc_id") != F.col("pivot.doc_id")).filter(fits(F.col("n"), F.col("pivot.n")))
     stars = durable(stars.groupBy(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("c")))
 
     ids = members.select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(ids, "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    texts = durable(texts.hint("merge").join(ids.hint("merge"), "doc_id", "left_semi"))
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
     edges = durable(confirmed(best, texts, size, percent))
     tested = best
@@ -195,12 +268,16 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
             apart = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
         else:
             here = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-            mixed_ = here.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("band")
-            left = durable(here.join(mixed_, "band").select("band", "doc_id", "n", "component"))
-            one = left.select("band", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("of_a"))
-            two = left.select("band", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("of_b"))
+            here = here.select("band", "doc_id", "n", "c", "component", F.col("pivot.doc_id").alias("pivot"))
+            mixed_ = here.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max(F.when(F.col("doc_id") == F.col("pivot"), F.col("component"))).alias("of_pivot"))
+            left = durable(here.join(mixed_.filter("x != y").select("band", "of_pivot"), "band"))
+            few = left.filter(F.col("c") <= FEW)
+            one = few.select("band", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("of_a"))
+            two = few.select("band", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("of_b"))
             pairs = one.join(two, "band").filter((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & fits(F.col("na"), F.col("nb")))
-            apart = pairs.select("a", "b", "of_a", "of_b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
+            apart = durable(pairs.select("a", "b").unionByName(around_pivots(left.filter(F.col("c") > FEW), texts, size, percent)).distinct())
+            tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            apart = apart.join(tried, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
         apart = durable(apart.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
         edges = durable(edges.unionByName(confirmed(apart, texts, size, percent)))
     labels = components(edges).select(F.col("node").alias("least"), "component")
