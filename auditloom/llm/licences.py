@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import lower_ascii, text_of
+from auditloom.llm.common import durable, lower_ascii, text_of
 
 # FIXED VALUES: equivalent spellings, the right-hand one is canonical
 SPELLINGS = {
@@ -111,9 +111,12 @@ def canonical(text: Column) -> Column:
 
 
 def digests(known: DataFrame) -> DataFrame:
-    """(licence, digest) of known (licence, text), one licence (the first by name) for each digest; empty texts are left out."""
+    """(licence, digest) of known (licence, text), one licence (the first by name) for each digest; empty texts are left out.
+
+    A written table, so that Spark knows its size before it plans the joins.
+    """
     made = known.select("licence", canonical(F.col("text")).alias("c")).filter("c != ''")
-    return made.groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("licence").alias("licence"))
+    return durable(made.groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("licence").alias("licence")))
 
 
 def registry(spark: SparkSession, values: list[tuple[str, str]]) -> DataFrame:
