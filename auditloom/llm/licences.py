@@ -51,6 +51,7 @@ SPELLINGS = {
     "recognise": "recognize",
     "signalling": "signaling",
     "sub license": "sublicense",
+    "sublicence": "sublicense",
     "utilisation": "utilization",
     "whilst": "while",
 }

@@ -233,23 +233,23 @@ def test_redaction_leaves_the_rest(spark):
     assert got == {1: "mail [EMAIL] or [IP]!", 2: "nothing here", 3: None}
 
 
-def test_raking_meets_every_marginal(spark, docs):
+def test_raking_is_that_of_brute_force(spark, docs):
     rows = mixing.labelled(docs)
     cells = rows.groupBy(*mixing.DIMENSIONS).sum("n_tokens").withColumnRenamed("sum(n_tokens)", "tokens")
     goal = {d: mixing.tempered(cells, d) for d in mixing.DIMENSIONS}
-    raked = [r.asDict() for r in mixing.rake(cells, goal, close=1e-9, sweeps=60).collect()]
+    raked = [r.asDict() for r in mixing.rake(cells, goal, close=0.0, sweeps=6).collect()]
     weights = {tuple(r[d] for d in mixing.DIMENSIONS): float(r["tokens"]) for r in raked}
     total = sum(weights.values())
     weights = {k: v / total for k, v in weights.items()}
     wanted = [{r[d]: r.target for r in goal[d].collect()} for d in mixing.DIMENSIONS]
-    for _ in range(400):
+    for _ in range(6):
         for k in range(3):
             sums = Counter()
             for c, v in weights.items():
                 sums[c[k]] += v
             weights = {c: v * wanted[k][c[k]] / sums[c[k]] if sums[c[k]] else v for c, v in weights.items()}
     for r in raked:
-        assert r["weight"] == pytest.approx(weights[tuple(r[d] for d in mixing.DIMENSIONS)], rel=1e-3, abs=1e-9)
+        assert r["weight"] == pytest.approx(weights[tuple(r[d] for d in mixing.DIMENSIONS)], rel=1e-9, abs=1e-15)
 
 
 def test_sampling_is_calibrated_and_repeatable(spark, docs):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from auditloom.llm import html_extract, licences, mixing, neardup, packing, pii, quality, spotsigs, substrings, token_counts
+from auditloom.llm import common, html_extract, licences, mixing, neardup, packing, pii, quality, spotsigs, substrings, token_counts
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 LONG = "the cat sat on a mat near 10.0.0.1 and a@b.co " * 4000
@@ -71,6 +73,14 @@ def test_stages_keep_columns(docs, name):
     assert KEEPERS[name](docs.filter("false")).count() == 0
 
 
+def test_written_tables_can_be_dropped(spark):
+    table = common.durable(spark.range(3))
+    assert table.count() == 3 and common.WRITTEN
+    folder = common.WRITTEN[-1]
+    common.drop_tables(spark)
+    assert not common.WRITTEN and not os.path.exists(folder)
+
+
 def test_pages(spark):
     rows = [(1, "u", None), (1, "u", None), (None, None, ""), (3, "u", "<article><p>One &amp; two"), (4, "u", "<div>" * 3000 + "deep"), (5, "u", "&am"), (6, "u", "<" * 5000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "n_chars": F.lit(1)})
