@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from auditloom.functions.values import AMOUNT, clean, had_zone, parse_date, parse_int
 from auditloom.operators import findings as O
 from auditloom.operators import references, tables, totals, uniqueness
+from auditloom.plans import set_rules
 from auditloom.plans.frames import Ledger
 from auditloom.sources.ledger import Files, field
 
 ERROR, WARNING, INFO = O.ERROR, O.WARNING, O.INFO
 # FIXED VALUES: severity of what is noted while reading
-NOTED = {"XAF1001": INFO, "XAF1003": ERROR, "XAF1004": INFO, "XAF1005": WARNING, "XAF1006": WARNING, "XAF1010": WARNING, "XAF1011": WARNING, "XAF1012": WARNING, "XAF1020": INFO, "XAF1021": ERROR, "XAF2001": ERROR, "XAF2002": ERROR, "XAF2003": ERROR, "XAF3050": ERROR}
+NOTED = {"XAF1001": INFO, "XAF1002": WARNING, "XAF1003": ERROR, "XAF1004": INFO, "XAF1005": WARNING, "XAF1006": WARNING, "XAF1010": WARNING, "XAF1011": WARNING, "XAF1012": WARNING, "XAF1013": WARNING, "XAF1020": INFO, "XAF1021": ERROR, "XAF2001": ERROR, "XAF2002": ERROR, "XAF2003": ERROR, "XAF3009": WARNING, "XAF3050": ERROR}
 # FIXED VALUES: fields of each lexical kind, and required fields by record
 DATES = "startDate endDate dateCreated startDatePeriod endDatePeriod trDt effDate settDate transactionDate effectiveDate".split()
 MONEY_FIELDS = "amnt vatAmnt curAmnt totalDebit totalCredit opBalDesc clBalDesc debitAmount creditAmount vatPerc".split()
@@ -97,17 +98,20 @@ def of_masters(files: Files) -> list[DataFrame]:
     return out
 
 
-def of_ledger(ledger: Ledger) -> list[DataFrame]:
+def of_ledger(ledger: Ledger, known: set_rules.Facts) -> list[DataFrame]:
+    """Rules over the frames; references to a section that can't be checked against are left to set_rules.of_unchecked."""
     tx = lambda df: df.join(ledger.transactions.select("tx", F.col("number").alias("tx_number")), "tx", "left")
     lines, made = ledger.lines, []
-    for column, master, code in (("account_id", ledger.accounts, "XAF4001"), ("relation_id", ledger.relations, "XAF4002"), ("vat_code", ledger.vat_codes, "XAF4003")):
-        if column in lines.columns:
+    for column, master, code, section in (("account_id", ledger.accounts, "XAF4001", "generalLedger"), ("relation_id", ledger.relations, "XAF4002", "customersSuppliers"), ("vat_code", ledger.vat_codes, "XAF4003", "vatCodes")):
+        if column in lines.columns and known.checkable[section]:
             rows = references.undefined(lines.select("tx", "number", column), column, master)
             made.append(O.finding(tx(rows), code, ERROR, say("transaction", F.col("tx_number"), f"refers to an undefined {column}:", F.col(column)), value=F.col(column)))
+    if known.checkable["periods"]:
+        made.append(O.finding(references.undefined_periods(ledger.transactions.select("tx", "number", "period_key"), ledger.periods, known.version == "4.0"), "XAF4004", ERROR, say("undefined period:", F.col("period_key")), value=F.col("period_key")))
+    if known.checkable["generalLedger"]:
+        made.append(O.finding(references.undefined(ledger.journals.select("id", "offset_account_id"), "offset_account_id", ledger.accounts), "XAF4005", WARNING, say("journal", F.col("id"), "has an undefined offset account"), value=F.col("offset_account_id")))
+        made.append(O.finding(references.undefined_vat_accounts(ledger.vat_codes, ledger.accounts), "XAF4006", WARNING, say("VAT code", F.col("id"), "has an undefined account"), value=F.col("account_id")))
     made += [
-        O.finding(references.undefined_periods(ledger.transactions.select("tx", "number", "period_key"), ledger.periods), "XAF4004", ERROR, say("undefined period:", F.col("period_key")), value=F.col("period_key")),
-        O.finding(references.undefined(ledger.journals.select("id", "offset_account_id"), "offset_account_id", ledger.accounts), "XAF4005", WARNING, say("journal", F.col("id"), "has an undefined offset account"), value=F.col("offset_account_id")),
-        O.finding(references.undefined_vat_accounts(ledger.vat_codes, ledger.accounts), "XAF4006", WARNING, say("VAT code", F.col("id"), "has an undefined account"), value=F.col("account_id")),
         O.finding(tx(totals.unbalanced(lines)), "XAF5010", ERROR, say("transaction", F.col("tx_number"), "does not balance:", F.col("written_debit").cast("string"), F.col("written_credit").cast("string"))),
         O.finding(uniqueness.duplicate_counts(ledger.transactions.filter("number is not null"), ["file", "journal_id", "number"] if "file" in ledger.transactions.columns else ["journal_id", "number"]), "XAF6004", ERROR, say("transaction number occurs again:", F.col("number")), value=F.col("number")),
         O.finding(tx(uniqueness.duplicate_counts(lines.filter("number is not null"), ["tx", "number"])), "XAF6005", ERROR, say("line number occurs again:", F.col("number")), value=F.col("number")),
@@ -144,9 +148,10 @@ def of_totals(files: Files) -> list[DataFrame]:
     return out
 
 
-def all_findings(files: Files, fixed_width: bool = False) -> DataFrame:
+def all_findings(files: Files, fixed_width: bool = False, chart_release: str | None = None) -> DataFrame:
     ledger = files.fixed_width() if fixed_width else files.ledger()
-    parts = [of_reading(files), *of_detection(files), *of_ledger(ledger)]
+    known = set_rules.facts(files, ledger)
+    parts = [of_reading(files), *of_detection(files), *of_ledger(ledger, known), *set_rules.of_set(files, ledger, known, chart_release)]
     if not fixed_width:
         parts += [*of_values(files), *of_required(files), *of_masters(files), *of_totals(files)]
     out = parts[0]
@@ -155,9 +160,9 @@ def all_findings(files: Files, fixed_width: bool = False) -> DataFrame:
     return O.distinct(out)
 
 
-def validate(files: Files, *, rules: str | None = None, severities: dict[str, int | None] | None = None, per_code: int = 100, total: int = 10_000, fixed_width: bool = False) -> Report:
+def validate(files: Files, *, rules: str | None = None, severities: dict[str, int | None] | None = None, per_code: int = 100, total: int = 10_000, fixed_width: bool = False, chart_release: str | None = None) -> Report:
     """A bounded report; counts and verdict cover all findings, the listed ones are the first of each code."""
-    found = O.overridden(all_findings(files, fixed_width), severities or {})
+    found = O.overridden(all_findings(files, fixed_width, chart_release), severities or {})
     found = (O.service_rules(found.withColumn("code", F.substring("code", 4, 4))).withColumn("code", F.concat(F.lit("XAF"), "code")) if rules == "vts" else found).persist()
     try:
         counts = {r.code: r.findings for r in O.by_code(found).collect()}

@@ -44,3 +44,13 @@ def detect(head: bytes, encoding: str) -> dict[str, str | None]:
         confidence = 0.5 if version else 0.0
     family = "CLAIR2" if version == "CLAIR2" else "XAF" if version else None
     return found | {"family": family, "version": version, "namespace": uri, "status": status, "confidence": str(confidence)}
+
+
+def misnumbered(parts: list[bytes]) -> str:
+    """What is wrong with the numbers that the continuations (all parts but the first) give themselves; empty if nothing."""
+    wrong = []
+    for place, data in enumerate(parts[1:], 2):
+        said = FOLLOWS.search(data[: 1 << 16])
+        if said and (int(said[1]), int(said[2])) != (place, len(parts)):
+            wrong.append(f"part {place} of {len(parts)} says {int(said[1])} of {int(said[2])}")
+    return "; ".join(wrong)

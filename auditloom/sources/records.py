@@ -57,6 +57,7 @@ def parse_xml(file: str, data: bytes, leaves: bool) -> Iterator[Row]:
     out: list[Row] = []
     stack: list[list] = []  # name, ord, line, fields, texts, whether it has element children
     count = size = 0
+    closed = False
     parser = expat.ParserCreate("utf-8")
     parser.buffer_text = True
 
@@ -80,8 +81,10 @@ def parse_xml(file: str, data: bytes, leaves: bool) -> Iterator[Row]:
             stack[-1][4].append(text)
 
     def end(name: str) -> None:
+        nonlocal closed
         path = "/" + "/".join(x[0] for x in stack)
         tag, place, line, fields, texts, complex_ = stack.pop()
+        closed = not stack
         up = stack[-1][1] if stack else None
         if complex_:
             out.append((file, tag, place, up, path, line, fields))
@@ -105,6 +108,9 @@ def parse_xml(file: str, data: bytes, leaves: bool) -> Iterator[Row]:
         parser.Parse(b"", True)
     except expat.ExpatError as e:
         yield from out
+        if closed:  # the document is whole, what follows is left out
+            yield file, NOTE, 2**62, None, None, e.lineno, {"code": "XAF1013", "message": f"ignored data after the end of the document ({expat.ErrorString(e.code)})"}
+            return
         raise Refused("XAF2001", f"not well-formed: {expat.ErrorString(e.code)}", e.lineno) from e
     except Refused:
         yield from out
@@ -119,6 +125,8 @@ def parse_file(file: str, data: bytes, encoding: str | None, repair: frozenset[s
         adf = formats.ADF_MARK in data[:64]
         text, used, notes = (data, encoding or "cp1252", []) if adf else content.utf8(data, encoding, repair)
         kind = formats.detect(text[: 1 << 16], "cp1252" if adf else "utf-8") | {"encoding": used, "compression": packed}
+        if not adf and not kind["continuation"] and not text[:1024].lstrip().startswith(b"<?xml"):
+            notes.append(("XAF1002", "no XML declaration"))
         if packed:
             notes.append(("XAF1020", f"the file is compressed ({packed})"))
         yield file, FILE, -1, None, None, None, {k: v for k, v in kind.items() if v is not None}
@@ -171,7 +179,10 @@ def read(
     def joined(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("name").to_pylist(), table.column("content").to_pylist(), strict=True))
         data = b"".join(re.sub(rb"^(\xef\xbb\xbf)?(\s*<\?xml.*?\?>)?(\s*<!--.*?-->)*", b"", d, flags=re.S) if k else d for k, (_, d) in enumerate(rows))
-        made = list(batches_of(parse_file(table.column("document")[0].as_py(), data, encoding, frozenset(repair), max_decompressed_size, elements)))
+        document = table.column("document")[0].as_py()
+        made = list(batches_of(parse_file(document, data, encoding, frozenset(repair), max_decompressed_size, elements)))
+        if wrong := formats.misnumbered([d for _, d in rows]):
+            made.append(as_batch([(document, NOTE, 2**61, None, None, None, {"code": "XAF3009", "message": f"continuation files are numbered inconsistently: {wrong}"})]))
         return pa.Table.from_batches(made)
 
     alone = parts.filter("document is null").select("path", "content").mapInArrow(parsed, SCHEMA)

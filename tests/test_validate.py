@@ -15,6 +15,8 @@ from auditloom.sources.ledger import open_files
 from auditloom.streaming.arrivals import each_batch, running_balances
 from tests.test_sources import GOOD, audit_file
 
+OPENING = "<openingBalance><obLine><nr>1</nr><accID>1300</accID><amnt>5.00</amnt><amntTp>D</amntTp></obLine><obLine><nr>2</nr><accID>8000</accID><amnt>5.00</amnt><amntTp>C</amntTp></obLine></openingBalance>"
+
 DEFECTS = [
     ("<accID>1300</accID><effDate>", "<accID>9999</accID><effDate>", "XAF4001"),
     ("<amnt>10.00</amnt><amntTp>D", "<amnt>11.00</amnt><amntTp>D", "XAF5010"),
@@ -46,7 +48,7 @@ DEFECTS = [
 def codes_of(spark, tmp_path_factory):
     """The codes that each defect brings up, from one plan over a file for each."""
     folder = tmp_path_factory.mktemp("files")
-    clean = audit_file(GOOD)
+    clean = audit_file(GOOD).replace("<transactions>", OPENING + "<transactions>")  # which version 4.0 asks for
     out = {}
     for k, (old, new, code) in enumerate([("", "", "clean"), *DEFECTS]):
         text = clean.replace(old, new, 1) if old else clean
