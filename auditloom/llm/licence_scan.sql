@@ -1,0 +1,29 @@
+
+with known as (select sha256(c) digest, min(l) licence from (select l, trim(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace((' ' || trim(regexp_replace(regexp_replace((chr(10) || translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), '\n[^\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*', '', 'g'), '[^a-z0-9\x{80}-\x{10FFFF}]+', ' ', 'g'), ' ') || ' '), ' acknowledgement ', ' acknowledgment '), ' analogue ', ' analog '), ' artefact ', ' artifact '), ' authorisation ', ' authorization '), ' authorised ', ' authorized '), ' calibre ', ' caliber '), ' cancelled ', ' canceled '), ' capitalisations ', ' capitalizations '), ' catalogue ', ' catalog '), ' categorise ', ' categorize '), ' centre ', ' center '), ' copyright holder ', ' copyright owner '), ' emphasised ', ' emphasized '), ' favour ', ' favor '), ' favourite ', ' favorite '), ' fulfil ', ' fulfill '), ' fulfilment ', ' fulfillment '), ' initialise ', ' initialize '), ' judgement ', ' judgment '), ' labelling ', ' labeling '), ' labour ', ' labor '), ' licence ', ' license '), ' maximise ', ' maximize '), ' modelled ', ' modeled '), ' modelling ', ' modeling '), ' non commercial ', ' noncommercial '), ' offence ', ' offense '), ' optimise ', ' optimize '), ' organisation ', ' organization '), ' organise ', ' organize '), ' per cent ', ' percent '), ' practise ', ' practice '), ' programme ', ' program '), ' realise ', ' realize '), ' recognise ', ' recognize '), ' signalling ', ' signaling '), ' sub license ', ' sublicense '), ' sublicence ', ' sublicense '), ' utilisation ', ' utilization '), ' whilst ', ' while '), ' ') c from (values ('MIT', 'MIT License
+
+Copyright (c) <year> <copyright holders>
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'), ('ISC', 'ISC License
+
+Copyright (c) <year> <owner>
+
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'), ('0BSD', 'BSD Zero Clause License
+
+Copyright (c) <year> <owner>
+
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.')) v(l, x)) where c <> '' group by 1),
+notes as (select sha256(c) digest, min(l) notice from (select l, trim(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace((' ' || trim(regexp_replace(regexp_replace((chr(10) || translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), '\n[^\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*', '', 'g'), '[^a-z0-9\x{80}-\x{10FFFF}]+', ' ', 'g'), ' ') || ' '), ' acknowledgement ', ' acknowledgment '), ' analogue ', ' analog '), ' artefact ', ' artifact '), ' authorisation ', ' authorization '), ' authorised ', ' authorized '), ' calibre ', ' caliber '), ' cancelled ', ' canceled '), ' capitalisations ', ' capitalizations '), ' catalogue ', ' catalog '), ' categorise ', ' categorize '), ' centre ', ' center '), ' copyright holder ', ' copyright owner '), ' emphasised ', ' emphasized '), ' favour ', ' favor '), ' favourite ', ' favorite '), ' fulfil ', ' fulfill '), ' fulfilment ', ' fulfillment '), ' initialise ', ' initialize '), ' judgement ', ' judgment '), ' labelling ', ' labeling '), ' labour ', ' labor '), ' licence ', ' license '), ' maximise ', ' maximize '), ' modelled ', ' modeled '), ' modelling ', ' modeling '), ' non commercial ', ' noncommercial '), ' offence ', ' offense '), ' optimise ', ' optimize '), ' organisation ', ' organization '), ' organise ', ' organize '), ' per cent ', ' percent '), ' practise ', ' practice '), ' programme ', ' program '), ' realise ', ' realize '), ' recognise ', ' recognize '), ' signalling ', ' signaling '), ' sub license ', ' sublicense '), ' sublicence ', ' sublicense '), ' utilisation ', ' utilization '), ' whilst ', ' while '), ' ') c from (values ('MIT', 'Released under the MIT License.'), ('MIT', 'Licensed under the MIT License.'), ('Apache-2.0', 'Licensed under the Apache License, Version 2.0.'), ('Apache-2.0', 'Released under the Apache License, Version 2.0.'), ('GPL-3.0-only', 'This work is licensed under the GNU General Public License, version 3.'), ('GPL-2.0-only', 'This work is licensed under the GNU General Public License, version 2.'), ('CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'), ('CC-BY-4.0', 'Licensed under CC BY 4.0.'), ('CC-BY-SA-4.0', 'Licensed under CC BY-SA 4.0.'), ('CC0-1.0', 'Licensed under CC0 1.0.')) v(l, x)) where c <> '' group by 1),
+base as (select doc_id, coalesce(text, '') t from documents),
+found as (select doc_id, string_agg(distinct notice, ',' order by notice) notices, count(*) n_notices
+  from (select doc_id, sha256(trim(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace((' ' || trim(regexp_replace(regexp_replace((chr(10) || translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), '\n[^\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*', '', 'g'), '[^a-z0-9\x{80}-\x{10FFFF}]+', ' ', 'g'), ' ') || ' '), ' acknowledgement ', ' acknowledgment '), ' analogue ', ' analog '), ' artefact ', ' artifact '), ' authorisation ', ' authorization '), ' authorised ', ' authorized '), ' calibre ', ' caliber '), ' cancelled ', ' canceled '), ' capitalisations ', ' capitalizations '), ' catalogue ', ' catalog '), ' categorise ', ' categorize '), ' centre ', ' center '), ' copyright holder ', ' copyright owner '), ' emphasised ', ' emphasized '), ' favour ', ' favor '), ' favourite ', ' favorite '), ' fulfil ', ' fulfill '), ' fulfilment ', ' fulfillment '), ' initialise ', ' initialize '), ' judgement ', ' judgment '), ' labelling ', ' labeling '), ' labour ', ' labor '), ' licence ', ' license '), ' maximise ', ' maximize '), ' modelled ', ' modeled '), ' modelling ', ' modeling '), ' non commercial ', ' noncommercial '), ' offence ', ' offense '), ' optimise ', ' optimize '), ' organisation ', ' organization '), ' organise ', ' organize '), ' per cent ', ' percent '), ' practise ', ' practice '), ' programme ', ' program '), ' realise ', ' realize '), ' recognise ', ' recognize '), ' signalling ', ' signaling '), ' sub license ', ' sublicense '), ' sublicence ', ' sublicense '), ' utilisation ', ' utilization '), ' whilst ', ' while '), ' ')) digest from (select doc_id, unnest(string_split(t, chr(10))) s from base)) join notes using (digest) group by 1),
+whole as (select doc_id, sha256(nullif(trim(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace((' ' || trim(regexp_replace(regexp_replace((chr(10) || translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), '\n[^\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*', '', 'g'), '[^a-z0-9\x{80}-\x{10FFFF}]+', ' ', 'g'), ' ') || ' '), ' acknowledgement ', ' acknowledgment '), ' analogue ', ' analog '), ' artefact ', ' artifact '), ' authorisation ', ' authorization '), ' authorised ', ' authorized '), ' calibre ', ' caliber '), ' cancelled ', ' canceled '), ' capitalisations ', ' capitalizations '), ' catalogue ', ' catalog '), ' categorise ', ' categorize '), ' centre ', ' center '), ' copyright holder ', ' copyright owner '), ' emphasised ', ' emphasized '), ' favour ', ' favor '), ' favourite ', ' favorite '), ' fulfil ', ' fulfill '), ' fulfilment ', ' fulfillment '), ' initialise ', ' initialize '), ' judgement ', ' judgment '), ' labelling ', ' labeling '), ' labour ', ' labor '), ' licence ', ' license '), ' maximise ', ' maximize '), ' modelled ', ' modeled '), ' modelling ', ' modeling '), ' non commercial ', ' noncommercial '), ' offence ', ' offense '), ' optimise ', ' optimize '), ' organisation ', ' organization '), ' organise ', ' organize '), ' per cent ', ' percent '), ' practise ', ' practice '), ' programme ', ' program '), ' realise ', ' realize '), ' recognise ', ' recognize '), ' signalling ', ' signaling '), ' sub license ', ' sublicense '), ' sublicence ', ' sublicense '), ' utilisation ', ' utilization '), ' whilst ', ' while '), ' '), '')) digest from base)
+select doc_id, digest, licence, coalesce(notices, '') notices, coalesce(n_notices, 0)::bigint n_notices
+from whole left join known using (digest) left join found using (doc_id)
\ No newline at end of file

@@ -1,12 +1,14 @@
 """Licence scans by canonical digest lookup, in DataFrame functions only.
 
-A text is made canonical (case, punctuation, copyright lines and equivalent spellings no longer tell texts apart), and the
+A text is made canonical (case, punctuation, copyright statements and equivalent spellings no longer tell texts apart), and the
 digest of the whole canonical text is joined with the digests of known licences. Each line is a text of its own as well,
 joined with the digests of known licence notices.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,31 +58,26 @@ SPELLINGS = {
     "whilst": "while",
 }
 
-# FIXED VALUES: texts of known licences
-MIT = """MIT License
-
-Copyright (c) <year> <copyright holders>
-
-Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above notice and this permission notice shall be included in all copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-ISC = """ISC License
-
-Copyright (c) <year> <owner>
-
-Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above notice and this permission notice appear in all copies.
+#: Texts of known licences, each in a file named by its SPDX identifier; the first paragraph of the titled ones is the title.
+TEXTS = Path(__file__).with_name("licence_texts")
+# FIXED VALUES: other titles that these texts are known under; each is also known without one
+TITLES = {
+    "MIT": ["The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "(The MIT License)", "License: MIT"],
+    "ISC": ["The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "0BSD": ["Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)", "The Zero-Clause BSD License"],
+}
 
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-ZERO_BSD = """BSD Zero Clause License
 
-Copyright (c) <year> <owner>
+def dressed(name: str, text: str) -> list[tuple[str, str]]:
+    """(licence, text) of a text under its own title, its other titles and none."""
+    if name not in TITLES:
+        return [(name, text)]
+    body = text.partition("\n\n")[2]
+    return [(name, text), (name, body), *[(name, f"{title}\n\n{body}") for title in TITLES[name]]]
 
-Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
 
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-LICENCES = [("MIT", MIT), ("ISC", ISC), ("0BSD", ZERO_BSD)]
+MIT = (TEXTS / "MIT.txt").read_text("utf-8").strip()
+LICENCES = [x for file in sorted(TEXTS.glob("*.txt")) for x in dressed(file.stem, file.read_text("utf-8").strip())]
 
 # FIXED VALUES: known licence notices
 NOTICES = [
@@ -95,12 +92,15 @@ NOTICES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Licensed under CC0 1.0."),
 ]
-MARK = r"\n[^\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Copyright statements: lines that begin with "copyright", "©" or a dated "(c)", or are just "all rights reserved". What goes on with
+#: one of these words is the body of a licence that is wrapped there, and "(c)" without a year is an item of a list.
+GOES_ON = "notices?|holders?|owners?|laws?|acts?|treat(?:y|ies)|licen[cs]es?|permissions?|protect(?:ion|ed)|rights?|interests?|statements?|status|assignments?|claims?|disclaimers?|restrictions?|infringements?|doctrines?|and|or|on|in|of|to|for|is|as|are|has|have|may|shall|that|this|which|under|with|than"
+MARK = rf"\n[^\na-z0-9(©\x{{80}}-\x{{10FFFF}}]*+(?:copyright(?![a-z,.;)'”/-])(?!\s+(?:{GOES_ON})(?![a-z]))[^\n]*|©[^\n]*|\(c\)\s*(?:copyright|©|[<\[])[^\n]*|\(c\)(?=[^\n]*(?:19|20)[0-9]{{2}})[^\n]*|all rights reserved[^\na-z0-9]*(?=\n|\z))"
 APART = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 
 def canonical(text: Column) -> Column:
-    """What is left of a text when case, copyright lines, punctuation and equivalent spellings don't count."""
+    """What is left of a text when case, copyright statements, punctuation and equivalent spellings don't count."""
     low = F.concat(F.lit("\n"), lower_ascii(text))
     low = F.when(low.rlike("copyright|\\(c\\)|©|all rights reserved"), F.regexp_replace(low, MARK, "")).otherwise(low)
     flat = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, APART, " ")), F.lit(" "))
@@ -145,24 +145,6 @@ def scan(docs: DataFrame, licences: DataFrame, notices: DataFrame) -> DataFrame:
     return joined.select("doc_id", "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
 
 
-def _sql_canonical(text: str) -> str:
-    low = f"(chr(10) || translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
-    low = f"regexp_replace({low}, '{MARK}', '', 'g')"
-    flat = f"(' ' || trim(regexp_replace({low}, '{APART}', ' ', 'g'), ' ') || ' ')"
-    for a, b in SPELLINGS.items():
-        flat = f"replace({flat}, ' {a} ', ' {b} ')"
-    return f"trim({flat}, ' ')"
-
-
 def sql() -> str:
-    """DuckDB SQL for scan() of documents against the known licences and notices."""
-    values = lambda rows: ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in rows)
-    return f"""
-with known as (select sha256(c) digest, min(l) licence from (select l, {_sql_canonical("x")} c from (values {values(LICENCES)}) v(l, x)) where c <> '' group by 1),
-notes as (select sha256(c) digest, min(l) notice from (select l, {_sql_canonical("x")} c from (values {values(NOTICES)}) v(l, x)) where c <> '' group by 1),
-base as (select doc_id, coalesce(text, '') t from documents),
-found as (select doc_id, string_agg(distinct notice, ',' order by notice) notices, count(*) n_notices
-  from (select doc_id, sha256({_sql_canonical("s")}) digest from (select doc_id, unnest(string_split(t, chr(10))) s from base)) join notes using (digest) group by 1),
-whole as (select doc_id, sha256(nullif({_sql_canonical("t")}, '')) digest from base)
-select doc_id, digest, licence, coalesce(notices, '') notices, coalesce(n_notices, 0)::bigint n_notices
-from whole left join known using (digest) left join found using (doc_id)"""
+    """DuckDB SQL that the scan of documents is held against; it holds three short texts and ten notices of its own."""
+    return Path(__file__).with_name("licence_scan.sql").read_text("utf-8")
