@@ -59,3 +59,29 @@ def test_published_texts_are_known_in_any_line_breaks(spark):
 def test_only_statements_are_left_out(spark):
     a, b, c, d, e = scanned(spark, ["one\ncopyright holders may\ntwo", "one\n(c) You must keep it\ntwo", "one two", "one\n  (c) 2020 me\nCopyright: me\nAll rights reserved.\ntwo", MIT.replace("copyright notice and", "notice and")])
     assert len({a.digest, b.digest, c.digest}) == 3 and c.digest == d.digest and e.licence is None
+
+
+def test_common_licences_and_notices_are_known(spark):
+    whole = {name.partition("~")[0]: text for name, text in licences.read(licences.TEXTS)}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0", "Unlicense"} <= set(whole)
+    got = scanned(spark, [*whole.values(), *[licences.unwrapped(t) for t in whole.values()]])
+    assert [r.licence for r in got] == list(whole) * 2
+    said = {
+        "Licensed under the BSD 3-Clause License.": "BSD-3-Clause",
+        "# SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1-or-later",
+        "Distributed under the terms of the GNU General Public License, version 2 or later.": "GPL-2.0-or-later",
+        "This software is licensed under the Mozilla Public License, v. 2.0": "MPL-2.0",
+        "Licensed under the GNU Lesser General Public License, version 3": "LGPL-3.0-only",
+        "a text about the MIT License and others": "",
+    }
+    assert [r.notices for r in scanned(spark, [f"one\n{line}\ntwo" for line in said])] == list(said.values())
+
+
+def test_headers_of_files_are_known(spark):
+    heads = dict(licences.read(licences.HEADERS))
+    assert [r.licence for r in scanned(spark, ["Copyright 2020 Some Body\n\n" + t for t in heads.values()])] == list(heads)
+
+
+def test_tables_of_digests_are_small_enough_to_broadcast(spark):
+    known = licences.digests(licences.registry(spark, licences.NOTICES))
+    assert known._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 256 * 1024
