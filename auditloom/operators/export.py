@@ -16,7 +16,7 @@ FORMATS = ("csv", "jsonl", "parquet")
 
 def tables_of(ledger: Ledger) -> dict[str, DataFrame]:
     return {
-        "header": ledger.header,
+        "header": ledger.header.drop("file", "ord"),
         "accounts": tables.accounts(ledger),
         "relations": tables.relations(ledger),
         "vat_codes": ledger.vat_codes,

@@ -16,7 +16,7 @@ MONEY = "decimal(20,2)"
 
 @dataclass(frozen=True)
 class Ledger:
-    header: DataFrame  # fiscal_year, start_date, end_date
+    header: DataFrame  # fiscal_year, start_date, end_date; of files also file, ord
     accounts: DataFrame  # id, description, account_type, rgs_raw
     relations: DataFrame  # id, name, relation_type, balance
     vat_codes: DataFrame  # id, payable_account_id, receivable_account_id

@@ -102,6 +102,8 @@ def of_ledger(ledger: Ledger, known: set_rules.Facts) -> list[DataFrame]:
     """Rules over the frames; references to a section that can't be checked against are left to set_rules.of_unchecked."""
     tx = lambda df: df.join(ledger.transactions.select("tx", F.col("number").alias("tx_number")), "tx", "left")
     lines, made = ledger.lines, []
+    # one row: the year of the set is that of the first header by file, as the first file may have none
+    year = F.broadcast(ledger.header.orderBy("file", "ord").limit(1).select("start_date", "end_date"))
     for column, master, code, section in (("account_id", ledger.accounts, "XAF4001", "generalLedger"), ("relation_id", ledger.relations, "XAF4002", "customersSuppliers"), ("vat_code", ledger.vat_codes, "XAF4003", "vatCodes")):
         if column in lines.columns and known.checkable[section]:
             rows = references.undefined(lines.select("tx", "number", column), column, master)
@@ -115,14 +117,14 @@ def of_ledger(ledger: Ledger, known: set_rules.Facts) -> list[DataFrame]:
         O.finding(tx(totals.unbalanced(lines)), "XAF5010", ERROR, say("transaction", F.col("tx_number"), "does not balance:", F.col("written_debit").cast("string"), F.col("written_credit").cast("string"))),
         O.finding(uniqueness.duplicate_counts(ledger.transactions.filter("number is not null"), ["file", "journal_id", "number"] if "file" in ledger.transactions.columns else ["journal_id", "number"]), "XAF6004", ERROR, say("transaction number occurs again:", F.col("number")), value=F.col("number")),
         O.finding(tx(uniqueness.duplicate_counts(lines.filter("number is not null"), ["tx", "number"])), "XAF6005", ERROR, say("line number occurs again:", F.col("number")), value=F.col("number")),
-        O.finding(ledger.transactions.crossJoin(F.broadcast(ledger.header.limit(1))).filter("date < start_date or date > end_date"), "XAF7002", WARNING, say("transaction", F.col("number"), "is outside the fiscal year"), value=F.col("date")),
+        O.finding(ledger.transactions.crossJoin(year).filter("date < start_date or date > end_date"), "XAF7002", WARNING, say("transaction", F.col("number"), "is outside the fiscal year"), value=F.col("date")),
         O.finding(references.outside_period(ledger.transactions, ledger.periods), "XAF7003", WARNING, say("transaction", F.col("number"), "is outside its period"), value=F.col("date")),
         O.finding(ledger.transactions.join(lines.select("tx"), "tx", "left_anti"), "XAF7011", WARNING, say("transaction without lines:", F.col("number"))),
         O.finding(tables.relations(ledger).filter("relation_kind = 'unknown' and relation_type is not null"), "XAF7012", WARNING, say("unknown relation type:", F.col("relation_type")), value=F.col("relation_type")),
         O.finding(tables.accounts(ledger).filter("rgs_placeholder"), "XAF8001", WARNING, say("placeholder instead of a reference code:", F.col("rgs_raw")), value=F.col("rgs_raw")),
         O.finding(tables.accounts(ledger).filter("rgs_raw is not null and rgs_code is null and not rgs_placeholder"), "XAF8002", WARNING, say("unrecognisable reference code:", F.col("rgs_raw")), value=F.col("rgs_raw")),
     ]
-    outside = lines.crossJoin(F.broadcast(ledger.header.limit(1))).filter("effective_date < start_date or effective_date > end_date").agg(F.count("*").alias("n")).filter("n > 0")
+    outside = lines.crossJoin(year).filter("effective_date < start_date or effective_date > end_date").agg(F.count("*").alias("n")).filter("n > 0")
     return made + [O.finding(outside, "XAF7010", INFO, say(F.col("n").cast("string"), "effective dates are outside the fiscal year"))]
 
 

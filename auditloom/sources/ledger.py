@@ -73,7 +73,7 @@ class Files:
         side = F.when(two, F.when(net < 0, "C").otherwise("D")).otherwise(F.upper(field("amntTp")))
         lines = self.of("trLine", "line").select("file", "ord", self.key("up").alias("tx"), field("nr", "recordID").alias("number"), field("accID", "accountID").alias("account_id"), amount.alias("amount"), side.alias("side"), parse_date(field("effDate", "effectiveDate")).alias("effective_date"), field("custSupID").alias("relation_id"))
         return Ledger(
-            header=self.of("header").select(field("fiscalYear").alias("fiscal_year"), parse_date(field("startDate")).alias("start_date"), parse_date(field("endDate")).alias("end_date")),
+            header=self.of("header").select(field("fiscalYear").alias("fiscal_year"), parse_date(field("startDate")).alias("start_date"), parse_date(field("endDate")).alias("end_date"), "file", "ord"),
             accounts=first_wins(accounts.filter("id is not null"), ["id"], ["file", "ord"]).drop("file", "ord"),
             relations=master("customerSupplier", field("custSupID").alias("id"), field("custSupName", "companyName").alias("name"), field("custSupTp", "type").alias("relation_type"), money("opBalDesc").alias("balance")).drop("file", "ord"),
             vat_codes=master("vatCode", field("vatID").alias("id"), field("vatToPayAccID").alias("payable_account_id"), field("vatToClaimAccID").alias("receivable_account_id")).drop("file", "ord"),
@@ -96,7 +96,7 @@ class Files:
         nothing = rows.sparkSession.createDataFrame([], "id string, payable_account_id string, receivable_account_id string")
         heads = rows.groupBy("tx").agg(F.first("journal_id").alias("journal_id"), F.coalesce(F.min_by("sequence", "ord"), F.min_by("mark", "ord")).alias("number"), F.first("period_key").alias("period_key"), F.min_by(parse_adf_date(field("verwerkingsdatum")), "ord").alias("date"))
         return Ledger(
-            header=header.select(field("jaarPeriode").alias("fiscal_year"), F.lit(None).cast("date").alias("start_date"), F.lit(None).cast("date").alias("end_date")),
+            header=header.select(field("jaarPeriode").alias("fiscal_year"), F.lit(None).cast("date").alias("start_date"), F.lit(None).cast("date").alias("end_date"), "file", "ord"),
             accounts=first(field("grootboekrekeningcode").alias("id"), field("grootboekrekeningnaam").alias("description"), field("soortGrootboekrekening").alias("account_type"), F.lit(None).cast("string").alias("rgs_raw"), key="id"),
             relations=first(field("debCredNummer").alias("id"), field("debCredNaam").alias("name"), field("debCredSoort").alias("relation_type"), F.lit(None).cast(MONEY).alias("balance"), key="id"),
             vat_codes=nothing,

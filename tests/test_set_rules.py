@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 import pytest
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from auditloom.operators.findings import by_code
 from auditloom.plans import set_rules
-from auditloom.plans.validate import of_reading, validate
+from auditloom.plans.validate import of_ledger, of_reading, validate
 from auditloom.sources.formats import misnumbered
 from auditloom.sources.ledger import open_files
 from tests.test_sources import GOOD, audit_file
@@ -99,3 +101,17 @@ def test_wrong_numbers_are_noted(spark, tmp_path):
     (tmp_path / "a2.xaf").write_text("<!-- Vervolgbestand 4 van 4 --><transactions>" + tail)
     files = open_files(spark, str(tmp_path), documents={"a1.xaf": "a", "a2.xaf": "a"})
     assert {r.code for r in files.notes.collect()} == {"XAF3009"} and files.of("trLine").count() == 2
+
+
+def test_the_year_is_that_of_the_first_file(spark, tmp_path):
+    """The second file is of the year before and the larger one, so it is scanned first."""
+    old = CLEAN.replace("2024-", "2023-").replace("<fiscalYear>2024", "<fiscalYear>2023")
+    (tmp_path / "a.xaf").write_text(CLEAN)
+    (tmp_path / "b.xaf").write_text(old.replace("</auditfile>", f"<!-- {'x' * 100_000} --></auditfile>"))
+    files = open_files(spark, str(tmp_path))
+    ledger = files.ledger()
+    known = set_rules.facts(files, ledger)
+    for first in ledger.header.orderBy(F.desc("start_date")), ledger.header.orderBy("start_date"):
+        found = reduce(DataFrame.unionByName, of_ledger(replace(ledger, header=first), known)).filter("code in ('XAF7002', 'XAF7010')")
+        assert {(r.code, r.value or r.message.split()[0]) for r in found.collect()} == {("XAF7002", "2023-03-01"), ("XAF7010", "2")}
+    files.rows.unpersist()
