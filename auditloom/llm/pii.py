@@ -1,9 +1,11 @@
 """Personal data: base patterns, and bootstrapped contextual extraction, in DataFrame functions only.
 
 The valid base entities are seeds. The two words before an entity are its lexical pattern. Patterns and instances (seeds and
-identifier-like tokens alike) form a graph: a pattern's score is the mean of its instances' scores, an instance's score is
-the chance that one of its patterns is right, seeds stay at 1. After some rounds, the identifier-like tokens that follow a
-pattern of high score and enough different seeds are found too, as kind "id".
+identifier-like tokens alike) form a graph. A pattern's score is the mean of its instances' scores; a token's score is the mean of
+a prior and of what its patterns say, which is their score if they are trusted and nothing if not; seeds stay at 1. What an instance
+and a pattern tell each other leaves out what they were told by one another, so neither vouches for itself. A pattern is trusted
+with a high score and enough different instances that are seeds or, in later rounds, are vouched for by other patterns. After
+the last round, the identifier-like tokens that follow a trusted pattern are found too, as kind "id".
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ TOKEN = r"(?<![A-Za-z0-9_/-])(?=[A-Za-z_/-]*+[0-9])[A-Za-z0-9_/-]{6,}+"
 MASK = ""
 #: rounds of scoring; a pattern is trusted from this score, and from this many different seeds
 ROUNDS, SCORE, SEEDS = 4, 0.5, 3
+#: score of a token of which nothing is known
+PRIOR = 1 / 3
 
 
 def located(rows: DataFrame, text: str, pattern: str, name: str, need: str | None = None) -> DataFrame:
@@ -103,23 +107,32 @@ def findings(docs: DataFrame) -> DataFrame:
     return durable(rows.select("doc_id", F.xxhash64("text").alias("digest"), "base", "tokens"))
 
 
-def trusted(found: DataFrame, rounds: int = ROUNDS, score: float = SCORE, seeds: int = SEEDS) -> DataFrame:
+def trusted(found: DataFrame, rounds: int = ROUNDS, score: float = SCORE, seeds: int = SEEDS, prior: float = PRIOR) -> DataFrame:
     """The patterns (column left) that are trusted after the rounds of scoring.
 
     Equal pairs of pattern and instance count once, so copies of a document add nothing. Only patterns that stand before enough
-    different seeds take part: the score of another never matters, as it can't be trusted.
+    different instances take part: another can't be trusted, and tells nothing of its instances.
     """
     pairs = lambda c, seed: found.select(F.explode(c).alias("x")).select(F.col("x.left").alias("left"), lower_ascii(F.col("x.match")).alias("instance"), F.lit(seed).alias("seed"))
     both = pairs("base", 1).unionByName(pairs("tokens", 0)).filter("left != ''")
     edges = both.groupBy("left", "instance").agg(F.max("seed").alias("seed"))
-    able = edges.groupBy("left").agg(F.sum("seed").alias("seeds")).filter(F.col("seeds") >= seeds).select("left")
-    edges = durable(edges.join(able, "left").withColumn("known", F.col("seed").cast("double")))
+    # an instance is a seed wherever it stands
+    sure = edges.filter("seed = 1").select("instance").distinct().withColumn("sure", F.lit(1))
+    able = edges.groupBy("left").agg(F.count("*").alias("n")).filter(F.col("n") >= seeds).select("left")
+    edges = edges.join(able, "left").join(sure, "instance", "left").select("left", "instance", F.coalesce("sure", F.lit(0)).alias("seed"))
+    enough = lambda c: c >= score - 1e-9
+    # known: what the instance tells the pattern, without what this pattern told it
+    edges = durable(edges.withColumn("known", F.when(F.col("seed") == 1, 1.0).otherwise(prior)))
+    scored = lambda rows: rows.groupBy("left").agg(F.sum("known").alias("total"), F.count("*").alias("n"), F.sum(enough(F.col("known")).cast("int")).alias("support"))
     for _ in range(rounds):
-        patterns = edges.groupBy("left").agg(F.avg("known").alias("score"))
-        instances = edges.join(patterns, "left").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999999)))))).alias("chance"))
-        edges = durable(edges.drop("known").join(instances, "instance").withColumn("known", F.when(F.col("seed") == 1, 1.0).otherwise(F.col("chance"))).select("left", "instance", "seed", "known"))
-    # trust rests on the seeds' share as well, else a pattern could vouch for itself through its own instances
-    return edges.groupBy("left").agg(F.avg("known").alias("score"), F.avg("seed").alias("seen")).filter((F.col("score") >= score) & (F.col("seen") >= score / 2)).select("left")
+        rest = (F.col("total") - F.col("known")) / F.nullif(F.col("n") - 1, F.lit(0))
+        support = F.col("support") - enough(F.col("known")).cast("int")
+        told = F.when(enough(rest) & (support >= seeds), rest).otherwise(0.0)
+        each = edges.join(scored(edges), "left").select("left", "instance", "seed", told.alias("told"))
+        instances = each.groupBy("instance").agg(F.sum("told").alias("all_told"), F.count("*").alias("patterns"))
+        known = (prior + F.col("all_told") - F.col("told")) / F.col("patterns")
+        edges = durable(each.join(instances, "instance").select("left", "instance", "seed", F.when(F.col("seed") == 1, 1.0).otherwise(known).alias("known")))
+    return scored(edges).filter(enough(F.col("total") / F.col("n")) & (F.col("support") >= seeds)).select("left")
 
 
 def discovered(found: DataFrame, patterns: DataFrame) -> DataFrame:
