@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
 
 #: bytes of the strings that anchors are chosen by
 GRAM = 20
-#: bytes that are hashed at a time, segments that a task combines at a time, and strings in a sorted run
-AT_ONCE, COMBINED, IN_RUN = 2_000_000, 800_000, 150_000
-#: From so many different segments of one anchor in a task on, its segments are dealt out one by one.
-SPREAD = 64
+#: bytes that are hashed at a time, segments that a task counts at a time, and strings in a sorted run
+AT_ONCE, COUNTED, IN_RUN = 2_000_000, 800_000, 150_000
 POSITION = np.uint64((1 << 24) - 1)
-ANCHOR, COVERED, MARK, SPLIT, OPEN = range(5)
+#: what a task says of an anchor: it has one here; or several, that are each sent on, with one mark for the anchor
+SINGLE, SURE, MARK = range(3)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -24,13 +23,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def packed(version: np.ndarray, first: np.ndarray, windows: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    """A row's version (11 bits), a segment's first window (36), number of windows (8) and its anchor's offset (8) in one number."""
-    return (version << 52) | (first << 16) | (windows << 8) | offset
-
-
-def unpacked(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return (p >> 52) & 0xFFF, (p >> 16) & 0xFFFFFFFFF, (p >> 8) & 0xFF, p & 0xFF
+def packed(first: np.ndarray, windows: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """A segment's first window (36 bits), number of windows (8) and its anchor's offset (8) in one number."""
+    return (first << 16) | (windows << 8) | offset
 
 
 def anchors(data: bytes, edges: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +67,7 @@ def anchors(data: bytes, edges: np.ndarray, length: int) -> tuple[np.ndarray, np
 
 
 def segments(texts: Iterator[tuple[int, int, bytes]], length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(anchor hash, segment hash, document, packed place) of the segments of (document, version, bytes), in arrays.
+    """(anchor hash, document, row key, packed place) of the segments of (document, row key, bytes), in arrays.
 
     Longer documents than AT_ONCE are cut into parts that share length - 1 bytes, so each window is in one part.
     """
@@ -83,18 +78,16 @@ def segments(texts: Iterator[tuple[int, int, bytes]], length: int) -> Iterator[t
         data = b"".join(x[3] for x in held)
         edges = np.cumsum([0, *(len(x[3]) for x in held)])
         h, first, count, offset = anchors(data, edges, length)
-        view, digest = memoryview(data), xxhash.xxh3_64_intdigest
-        g = np.fromiter((digest(view[a : a + c + length - 1]) for a, c in zip(first.tolist(), count.tolist(), strict=True)), np.uint64, len(first))
         part = np.searchsorted(edges, first, "right") - 1
-        doc, version, base = (np.array([x[k] for x in held], np.int64)[part] for k in range(3))
-        return h.view(np.int64), g.view(np.int64), doc, packed(version, first - edges[part] + base, count, offset)
+        doc, key, base = (np.array([x[k] for x in held], np.int64)[part] for k in range(3))
+        return h.view(np.int64), doc, key, packed(first - edges[part] + base, count, offset)
 
-    for doc, version, text in texts:
+    for doc, key, text in texts:
         for at in range(0, max(1, len(text) - length + 1), AT_ONCE):
             part = text[at : at + AT_ONCE + length - 1]
             if len(part) < length:
                 continue
-            held.append((doc, version, at, part))
+            held.append((doc, key, at, part))
             size += len(part)
             if size >= AT_ONCE:
                 yield emit()
@@ -103,52 +96,41 @@ def segments(texts: Iterator[tuple[int, int, bytes]], length: int) -> Iterator[t
         yield emit()
 
 
-def grouped(h: np.ndarray, g: np.ndarray, doc: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by anchor, segment and place; in it, what begins a segment's rows, and what an anchor's."""
-    order = np.lexsort(((p >> 16) & 0xFFFFFFFFF, doc, g, h))
-    h, g = h[order], g[order]
-    anchor = np.ones(len(h), bool)
-    anchor[1:] = h[1:] != h[:-1]
-    segment = anchor.copy()
-    segment[1:] |= g[1:] != g[:-1]
-    return order, segment, anchor
+def group_sizes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted values: where each group of equals starts, and the size of each value's group."""
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    starts = np.flatnonzero(new)
+    return starts, np.diff(np.append(starts, len(h)))[np.cumsum(new) - 1]
+
 
+def dealt(x: np.ndarray) -> np.ndarray:
+    return (mixed(x.view(np.uint64)) >> np.uint64(33)).astype(np.int32)
 
-def combined(h: np.ndarray, g: np.ndarray, doc: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...]:
-    """What a task passes on, as (key, kind, h, g, doc, p): the first place of each of its segments, and what that covers.
 
-    The places of an anchor with very many different segments go out by segment instead, and a mark goes where the anchor goes.
+def counted(h: np.ndarray, doc: np.ndarray, key: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What a task passes on, as (to, kind, h, doc, key, p).
+
+    An anchor that it has once goes where the anchor goes. One that it has more often is repeated for sure: its places are dealt
+    out by document, and one mark goes where the anchor goes, so no anchor sends more than a row for each call.
     """
-    order, segment, anchor = grouped(h, g, doc, p)
-    h, g, doc, p = h[order], g[order], doc[order], p[order]
-    number = np.cumsum(anchor) - 1
-    many = (np.bincount(number, weights=segment) > SPREAD)[number]
-    kind = np.where(segment, np.where(many, SPLIT, ANCHOR), COVERED).astype(np.int8)
-    source = np.where(segment, np.where(many, h ^ g, h), doc)
-    key = (mixed(source.view(np.uint64)) >> np.uint64(33)).astype(np.int32)
-    hidden = np.where(segment, h, 0), np.where(segment, g, 0)
-    marks = np.flatnonzero(anchor & many)
-    more = (mixed(h[marks].view(np.uint64)) >> np.uint64(33)).astype(np.int32)
+    order = np.argsort(h, kind="stable")
+    h, doc, key, p = h[order], doc[order], key[order], p[order]
+    starts, sizes = group_sizes(h)
+    sure = sizes > 1
+    marks = h[starts[sure[starts]]]
     zero = np.zeros(len(marks), np.int64)
-    columns = [(key, more), (kind, np.full(len(marks), MARK, np.int8)), (hidden[0], h[marks]), (hidden[1], zero), (doc, zero), (p, zero)]
+    to = np.where(sure, dealt(doc ^ p), dealt(h))
+    columns = [(to, dealt(marks)), (np.where(sure, SURE, SINGLE).astype(np.int8), np.full(len(marks), MARK, np.int8)), (np.where(sure, 0, h), marks), (doc, zero), (key, zero), (p, zero)]
     return tuple(np.concatenate(c) for c in columns)
 
 
-def resolved(kind: np.ndarray, h: np.ndarray, g: np.ndarray, doc: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(kind, h, doc, p) of what whole anchors' rows decide: covered places, and open ones of anchors with several segments."""
-    passed = kind == COVERED
-    out = [(np.full(passed.sum(), COVERED, np.int8), h[passed], doc[passed], p[passed])]
-    marked = np.unique(h[kind == MARK])
-    k = np.flatnonzero((kind == ANCHOR) | (kind == SPLIT))
-    if len(k):
-        kind, h, g, doc, p = (x[k] for x in (kind, h, g, doc, p))
-        order, segment, anchor = grouped(h, g, doc, p)
-        kind, h, doc, p = (x[order] for x in (kind, h, doc, p))
-        number = np.cumsum(anchor) - 1
-        several = (np.bincount(number, weights=segment) > 1)[number] | (kind == SPLIT) | np.isin(h, marked)
-        for mask, now in ((~segment, COVERED), (segment & several, OPEN)):
-            out.append((np.full(mask.sum(), now, np.int8), h[mask], doc[mask], p[mask]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+def repeated(kind: np.ndarray, h: np.ndarray, doc: np.ndarray, key: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, row key, place) of the anchors that are not alone, of the rows of whole anchors."""
+    order = np.argsort(h, kind="stable")
+    _, sizes = group_sizes(h[order])
+    k = order[(sizes > 1) & (kind[order] == SINGLE)]
+    return doc[k], key[k], p[k]
 
 
 def common(a: bytes, b: bytes, known: int = 0) -> int:
@@ -160,47 +142,80 @@ def common(a: bytes, b: bytes, known: int = 0) -> int:
     return n - ((int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_length() + 7) // 8
 
 
-Row = tuple[bytes, int, int]
+#: string, document, row key, place
+Row = tuple[bytes, int, int, int]
+Block = tuple[int, bytes, bytes, bytes, bytes, bytes, bytes]
+
+
+def numbers(values: list[int]) -> bytes:
+    return np.array(values, np.int64).tobytes()
 
 
-def sorted_blocks(rows: list[Row], splitters: list[bytes]) -> Iterator[tuple[int, bytes, bytes, bytes, bytes, bytes]]:
-    """A sorted run of (string, document, place) as front-coded blocks: bucket, common lengths, lengths, tails, documents, places."""
+def block(bucket: int, part: list[Row]) -> Block:
+    """Sorted strings front-coded: bucket, common lengths, lengths, tails, documents, row keys, places."""
+    shared = [0, *(common(a[0], b[0]) for a, b in zip(part, part[1:], strict=False))]
+    tails = b"".join(r[0][n:] for r, n in zip(part, shared, strict=True))
+    return (bucket, bytes(shared), bytes(len(r[0]) for r in part), tails, *(numbers([r[k] for r in part]) for k in (1, 2, 3)))
+
+
+def sorted_blocks(rows: list[Row], splitters: list[bytes], subs: int, collapse: Callable[[list[Row]], tuple[list[Row], list[Row]]]) -> Iterator[Block]:
+    """A sorted run as front-coded blocks; a bucket is a range between splitters, and in it the strings of equal hashes of their
+    first bytes modulo subs.
+
+    Of equal strings of a run, collapse says which are sent, and which are told: what is known of those needs no other run. They go
+    out in a block with a bucket below zero, with the length of each string.
+    """
     rows.sort()
+    sent: list[Row] = []
+    told: list[Row] = []
     at = 0
-    while at < len(rows):
-        bucket = bisect_right(splitters, rows[at][0])
-        end = len(rows)
-        if bucket < len(splitters):
-            end = at
-            while end < len(rows) and rows[end][0] < splitters[bucket]:
-                end += 1
-        part = rows[at:end]
-        shared = [0, *(common(a[0], b[0]) for a, b in zip(part, part[1:], strict=False))]
-        yield (
-            bucket, bytes(shared), bytes(len(r[0]) for r in part), b"".join(r[0][n:] for r, n in zip(part, shared, strict=True)),
-            np.array([r[1] for r in part], np.int64).tobytes(), np.array([r[2] for r in part], np.int64).tobytes(),
-        )
+    for k in range(1, len(rows) + 1):
+        if k == len(rows) or rows[k][0] != rows[at][0]:
+            if k == at + 1:
+                sent.append(rows[at])
+            else:
+                send, tell = collapse(rows[at:k])
+                sent += send
+                told += tell
+            at = k
+    if told:
+        yield (-1 - (told[0][1] + told[0][3]) % 2**20, b"", bytes(len(r[0]) for r in told), b"", *(numbers([r[k] for r in told]) for k in (1, 2, 3)))
+    at = 0
+    while at < len(sent):
+        part = bisect_right(splitters, sent[at][0])
+        end = len(sent) if part == len(splitters) else bisect_left(sent, splitters[part], at, key=lambda r: r[0])
+        if subs == 1:
+            yield block(part, sent[at:end])
+        else:
+            dealt_out: dict[int, list[Row]] = {}
+            for r in sent[at:end]:
+                dealt_out.setdefault(xxhash.xxh3_64_intdigest(r[0][:GRAM]) % subs, []).append(r)
+            for sub, some in dealt_out.items():
+                yield block(part * subs + sub, some)
         at = end
 
 
-def read_block(block: tuple[bytes, bytes, bytes, bytes, bytes]) -> Iterator[tuple[int, bytes, int, int]]:
-    """(common length with the row before, string, document, place) of a block's rows."""
-    shared, lengths, tails, docs, places = block
+Merged = tuple[int, bytes, int, int, int]
+
+
+def read_block(columns: tuple[bytes, bytes, bytes, bytes, bytes, bytes]) -> Iterator[Merged]:
+    """(common length with the row before, string, document, row key, place) of a block's rows."""
+    shared, lengths, tails, *rest = columns
     text, at = b"", 0
-    for n, size, doc, place in zip(shared, lengths, np.frombuffer(docs, np.int64).tolist(), np.frombuffer(places, np.int64).tolist(), strict=True):
+    for n, size, doc, key, place in zip(shared, lengths, *(np.frombuffer(c, np.int64).tolist() for c in rest), strict=True):
         text = text[:n] + tails[at : at + size - n]
         at += size - n
-        yield n, text, doc, place
+        yield n, text, doc, key, place
 
 
-def merge(runs: list[Iterator[tuple[int, bytes, int, int]]]) -> Iterator[tuple[int, bytes, int, int]]:
+def merge(runs: list[Iterator[Merged]]) -> Iterator[Merged]:
     """The rows of sorted runs in order, each with the length of its common prefix with the row before.
 
     A tree of losers: every run's current string carries the length of its common prefix with the string that last won over it.
     Of two strings the one that shares more with the last winner is smaller; only equals are compared, from that length on.
     """
     k = len(runs)
-    now: list[tuple[int, bytes, int, int] | None] = [next(r, None) for r in runs]
+    now: list[Merged | None] = [next(r, None) for r in runs]
     shared = [0] * k
 
     def play(i: int, j: int) -> tuple[int, int]:
@@ -229,7 +244,7 @@ def merge(runs: list[Iterator[tuple[int, bytes, int, int]]]) -> Iterator[tuple[i
     win = build(1) if k > 1 else 0
     while k and now[win] is not None:
         row = now[win]
-        yield shared[win], row[1], row[2], row[3]
+        yield shared[win], *row[1:]
         new = now[win] = next(runs[win], None)
         shared[win] = new[0] if new else 0
         node = (win + k) // 2

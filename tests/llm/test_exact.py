@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from sentencepiece import SentencePieceProcessor
@@ -131,8 +132,6 @@ def test_near_duplicates_in_a_large_group_around_the_threshold(spark):
 def test_similarity_of_sketches_is_that_of_sets():
     r = random.Random(1)
     one = [r.getrandbits(64) for _ in range(1000)]
-    import numpy as np
-
     for share in (0.2, 0.5, 0.85):
         n = int(1000 * 2 * share / (1 + share))
         two = one[:n] + [r.getrandbits(64) for _ in range(1000 - n)]
@@ -168,15 +167,72 @@ def test_repeats_are_removed_to_the_byte(spark, docs, texts, bucket, monkeypatch
     assert got == brute_repeats(all_)
 
 
+def brute_rows(rows: list[tuple[int | None, str]], length: int = 100) -> list[tuple]:
+    """Rows of one id (or of none) are one document: a window is repeated if it also starts at a lesser (id, place) of any row."""
+    least: dict[bytes, tuple[int, int]] = {}
+    for i, t in rows:
+        body = t.encode()
+        for p in range(len(body) - length + 1):
+            at = (-(2**63) if i is None else i, p)
+            least[body[p : p + length]] = min(at, least.get(body[p : p + length], at))
+    out = []
+    for i, t in rows:
+        body = t.encode()
+        gone = bytearray(len(body))
+        for p in range(len(body) - length + 1):
+            if least[body[p : p + length]] < (-(2**63) if i is None else i, p):
+                gone[p : p + length] = b"\1" * length
+        out.append((str(i), len(body), sum(gone), hashlib.sha256(bytes(c for c, x in zip(body, gone, strict=True) if not x)).hexdigest()))
+    return sorted(out)
+
+
+def test_rows_without_id_are_told_apart(spark, monkeypatch):
+    r = random.Random(4)
+    passages = ["".join(r.choice("abcdefgh ") for _ in range(160)) for _ in range(5)]
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    rows = [(None, word(r.randint(0, 90)) + r.choice(passages)[r.randint(0, 40) :] + word(20)) for _ in range(3000)]
+    rows += [(5, word(30) + passages[0]), (5, word(20) + passages[0] + word(9)), (5, "ab" + passages[1]), (5, "ab" + passages[1])]
+    monkeypatch.setattr(substrings, "IN_BUCKET", 5000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.kept_sha256) for x in substrings.remove_repeats(df).collect())
+    assert got == brute_rows(rows)
+
+
+def test_one_passage_in_all_documents(spark):
+    r = random.Random(5)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(230))
+    df = spark.range(0, 60_000, 1, 12).selectExpr("id doc_id", f"concat(md5(cast(id as string)), '{passage}', sha1(cast(id as string))) text")
+    got = substrings.remove_repeats(df).groupBy("n_bytes", "n_removed", "n_spans").count().collect()
+    # the first keeps its passage; no other byte is in a repeated string, but where hexadecimal neighbours happen to be equal
+    assert sum(x["count"] for x in got if x.n_removed == 0) == 1
+    assert sum(x["count"] for x in got) == 60_000 and all(x.n_spans == 1 and 230 <= x.n_removed <= 250 for x in got if x.n_removed)
+
+
+def test_buckets_beyond_the_splitters(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(substrings, "IN_BUCKET", 300)
+    monkeypatch.setattr(substrings, "RANGES", 4)
+    some = dict(list(texts.items())[:60])
+    df = spark.createDataFrame(list(some.items()), "doc_id long, text string").repartition(3)
+    assert {r[0]: tuple(r)[1:] for r in substrings.remove_repeats(df).collect()} == brute_repeats(some)
+
+
 def test_loser_tree_merges_front_coded_runs():
     r = random.Random(2)
-    rows = [(bytes(r.choice(b"ab") for _ in range(r.randint(1, 12))), k, k) for k in range(500)]
-    blocks = [b[1:] for k in range(7) for b in R.sorted_blocks(rows[k::7], [])]
+    rows = sorted({bytes(r.choice(b"ab") for _ in range(r.randint(1, 12))) for _ in range(500)})
+    rows = [(x, k, 0, k) for k, x in enumerate(rows * 2)]
+    blocks = [b[1:] for k in range(7) for b in R.sorted_blocks(rows[k::7], [], 1, lambda same: (same, []))]
     merged = list(R.merge([R.read_block(b) for b in blocks]))
     assert [m[1] for m in merged] == sorted(x[0] for x in rows)
     assert all(n == R.common(a[1], b[1]) for a, b, n in zip(merged, merged[1:], [m[0] for m in merged[1:]], strict=False))
 
 
+def test_a_run_sends_equal_strings_once():
+    rows = [(b"abc", 3, 0, 0), (b"abc", 1, 0, 9 << 16), (b"abd", 2, 0, 0), (b"abc", 1, 0, 2 << 16)]
+    told, sent = R.sorted_blocks(rows, [], 1, substrings.first_of_run)
+    assert told[0] < 0 and np.frombuffer(told[4], np.int64).tolist() == [1, 3]
+    assert list(R.read_block(sent[1:])) == [(0, b"abc", 1, 0, 2 << 16), (2, b"abd", 2, 0, 0)]
+
+
 def test_next_texts_across_buckets(spark, docs, texts, monkeypatch):
     monkeypatch.setattr(spotsigs, "IN_BUCKET", 7)
     ids = sorted(texts)
