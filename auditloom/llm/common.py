@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,12 +21,19 @@ WRITTEN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, which a cluster must name.
+
+    Only where driver and executors are one process, a folder of this machine stands in for it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = f"{tempfile.gettempdir()}/checkpoints"
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or "/tmp/checkpoints")
-    return folder or "/tmp/checkpoints"
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -40,12 +48,15 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Deletes the tables that durable() wrote in this session; frames that read them can't be used any more."""
+def drop_tables(spark: SparkSession, first: int = 0, keep: int = 0) -> None:
+    """Deletes the tables that durable() wrote in this session, from the first-th on but for the last ones to keep; frames that
+    read them can't be used any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+    gone = WRITTEN[first : len(WRITTEN) - keep]
+    for folder in gone:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+    WRITTEN[:] = [x for x in WRITTEN if x not in gone]
 
 
 def text_of(column: str = "text") -> Column:
@@ -61,3 +72,16 @@ def words_of(text: Column) -> Column:
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Rows of one key are dealt by a number below this.
+SALTS = 4096
+
+
+def salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def told_of(parts: DataFrame, keys: list[str], values: DataFrame) -> DataFrame:
+    """values by keys for every (keys, salt) of parts: rows then meet them by keys and salt, so a frequent key is no large task."""
+    return parts.select(*keys, "salt").join(values, keys)

@@ -18,12 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import durable, text_of
+from auditloom.llm.common import durable, salt, text_of, told_of
 
 #: Sets of similarity 0.85 miss all 24 bands of 5 coordinates with a chance of 8 in ten million.
 BANDS, ROWS = 24, 5
 #: Members of a bucket up to this number are held against each other; larger buckets are searched by what differs from a pivot.
 FEW = 12
+#: A set that many others are held against goes out once for every so many of them.
+PER = 500
 #: 64-bit words of the bitmaps that bound the difference of two sets
 BITMAP = 8
 #: word hashes that a worker keeps, and shingles that are sketched at a time
@@ -124,8 +126,16 @@ def sketched(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 
 def with_texts(pairs: DataFrame, one: str, texts_of_one: DataFrame, two: str, texts_of_two: DataFrame) -> DataFrame:
-    """pairs with both texts; texts are merged in by key at every size, so that what is moved follows the input."""
-    return pairs.hint("merge").join(texts_of_one.hint("merge"), one).hint("merge").join(texts_of_two.hint("merge"), two)
+    """pairs with both texts; texts are merged in by key at every size, so that what is moved follows the input.
+
+    The second is a pivot that may stand in very many pairs: these are dealt into parts, and its text goes to each part.
+    """
+    pairs = pairs.withColumn("salt", salt(one))
+    counts = pairs.groupBy(two, "salt").agg(F.count("*").alias("n"))
+    parts = counts.groupBy(two).agg(F.ceil(F.sum("n") / PER).cast("int").alias("parts"))
+    dealt = durable(pairs.join(told_of(counts, [two], parts), [two, "salt"]).withColumn("part", F.col("salt") % F.col("parts")).drop("salt", "parts"))
+    pivots = dealt.select(two, "part").distinct().hint("merge").join(texts_of_two.hint("merge"), two)
+    return dealt.hint("merge").join(texts_of_one.hint("merge"), one).hint("merge").join(pivots.hint("merge"), [two, "part"])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -198,10 +208,11 @@ def around_pivots(members: DataFrame, texts: DataFrame, size: int, percent: int)
     k = (100 - percent) / (100 + percent)
     pairs = members.select(F.col("pivot").alias("p"), F.col("doc_id").alias("u"), F.col("component").alias("of_u"), F.col("of_pivot").alias("of_p")).filter("p != u").distinct()
     found = durable(differences(pairs.select("p", "u"), texts, size).join(pairs, ["p", "u"]))
-    each = found.select("p", "u", F.explode("only").alias("x"))
-    counts = each.groupBy("p", "x").agg(F.count("*").alias("c")).filter("c > 1")
+    each = found.select("p", "u", salt("u"), F.explode("only").alias("x"))
+    parts = each.groupBy("p", "x", "salt").agg(F.count("*").alias("m"))
+    counts = parts.groupBy("p", "x").agg(F.sum("m").alias("c")).filter("c > 1")
     # a difference that no other set has can't be shared: it only shortens the prefix
-    shared = each.join(counts, ["p", "x"]).groupBy("p", "u").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))
+    shared = each.join(told_of(parts, ["p", "x"], counts), ["p", "x", "salt"]).groupBy("p", "u").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))
     rows = durable(found.withColumn("d", F.size("only")).drop("only").join(shared, ["p", "u"]))
     need = F.floor((F.col("d") - F.lit(k) * F.col("nu") + F.lit(k) * F.col("np")) / 2 - 1e-6)
     prefix = F.slice("xs", 1, F.greatest(F.least(F.size("xs"), F.size("xs") - need), F.lit(0)).cast("int"))
@@ -243,13 +254,14 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
     made = durable(sketched(docs, size, bands, rows))
     able = made.filter("doc_id is not null and n_shingles > 0")
     classes = durable(able.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x"), F.count("*").alias("rows")))
-    of_band = classes.select(F.col("x.doc_id").alias("doc_id"), F.col("x.n_shingles").alias("n"), F.explode("x.bands").alias("band"))
-    full = of_band.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1")
-    inside = durable(of_band.join(full, "band"))
+    of_band = classes.select(F.col("x.doc_id").alias("doc_id"), F.col("x.n_shingles").alias("n"), salt("x.doc_id"), F.explode("x.bands").alias("band"))
+    parts = of_band.groupBy("band", "salt").agg(F.count("*").alias("m"))
+    full = durable(told_of(parts, ["band"], parts.groupBy("band").agg(F.sum("m").alias("c")).filter("c > 1")))
+    inside = durable(of_band.join(full, ["band", "salt"]))
     # the pivot of a bucket is its member with most company in all its buckets: the likeliest centre of a group of copies
     score = inside.groupBy("doc_id").agg(F.sum("c").alias("score"))
     pivots = inside.join(score, "doc_id").groupBy("band").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("by"), "doc_id", "n")).alias("pivot"))
-    members = durable(inside.join(pivots, "band"))
+    members = durable(inside.join(told_of(full, ["band"], pivots), ["band", "salt"]))
     fits = lambda m, n: (100 * m >= percent * n) & (100 * n >= percent * m)
     stars = members.filter(F.col("doc_id") != F.col("pivot.doc_id")).filter(fits(F.col("n"), F.col("pivot.n")))
     stars = durable(stars.groupBy(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("c")))
@@ -268,9 +280,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
             apart = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
         else:
             here = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-            here = here.select("band", "doc_id", "n", "c", "component", F.col("pivot.doc_id").alias("pivot"))
+            here = here.select("band", "salt", "doc_id", "n", "c", "component", F.col("pivot.doc_id").alias("pivot"))
             mixed_ = here.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max(F.when(F.col("doc_id") == F.col("pivot"), F.col("component"))).alias("of_pivot"))
-            left = durable(here.join(mixed_.filter("x != y").select("band", "of_pivot"), "band"))
+            left = durable(here.join(told_of(full, ["band"], mixed_.filter("x != y").select("band", "of_pivot")), ["band", "salt"]))
             few = left.filter(F.col("c") <= FEW)
             one = few.select("band", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("of_a"))
             two = few.select("band", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("of_b"))

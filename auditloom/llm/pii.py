@@ -1,19 +1,23 @@
 """Personal data: base patterns, and bootstrapped contextual extraction, in DataFrame functions only.
 
-The valid base entities are seeds. The two words before an entity are its lexical pattern. Patterns and instances (seeds and
-identifier-like tokens alike) form a graph. A pattern's score is the mean of its instances' scores; a token's score is the mean of
-a prior and of what its patterns say, which is their score if they are trusted and nothing if not; seeds stay at 1. What an instance
-and a pattern tell each other leaves out what they were told by one another, so neither vouches for itself. A pattern is trusted
-with a high score and enough different instances that are seeds or, in later rounds, are vouched for by other patterns. After
-the last round, the identifier-like tokens that follow a trusted pattern are found too, as kind "id".
+The valid base entities are seeds, and so are tokens in a published format of secret keys. The two words before an entity are a
+lexical pattern, and the two words after it another. Patterns and instances (seeds and identifier-like tokens alike) form a graph.
+A pattern's score is the mean of its instances' scores, and each ordinary word that stands in the pattern's place counts as an
+instance of score 0. A token's score is the mean of a prior and of what its patterns say, which is their score if they are trusted and
+nothing if not; seeds stay at 1. What an instance and a pattern tell each other leaves out what they were told by one another, so
+neither vouches for itself. A pattern is trusted with a high score and enough different instances that are seeds or, in later
+rounds, are vouched for by other patterns: so each round's instances are seeds of new patterns. After the last round, the
+identifier-like tokens that stand in a trusted pattern are found too, as kind "id".
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import durable, lower_ascii, text_of
+from auditloom.llm.common import GAP, durable, lower_ascii, text_of
 
 #: kinds of the base patterns in the order in which spans of one start are listed
 KINDS = ("email", "ip", "card", "phone")
@@ -28,38 +32,64 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to match at all.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Identifier-like: six characters or more, with a digit.
-TOKEN = r"(?<![A-Za-z0-9_/-])(?=[A-Za-z_/-]*+[0-9])[A-Za-z0-9_/-]{6,}+"
-#: A character that stands for each character of a base entity where tokens are looked for.
-MASK = ""
+#: Identifier-like: six characters or more, with a digit, or an underscore or capital letter inside.
+TOKEN = r"(?<![A-Za-z0-9_/-])(?=[A-Za-z_/-]*+[0-9]|[A-Za-z/-]++_|[A-Za-z]*?[a-z][A-Z])[A-Za-z0-9_/-]{6,}+"
+# FIXED VALUES: published formats of keys: long hexadecimal digests with a digit and a letter, access keys of three services, signed tokens
+STRONG = r"^(?:(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,64}|A[KS]IA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk_live_[0-9A-Za-z]{24,}|eyJ[0-9A-Za-z_-]{20,})$"
 #: rounds of scoring; a pattern is trusted from this score, and from this many different seeds
 ROUNDS, SCORE, SEEDS = 4, 0.5, 3
 #: score of a token of which nothing is known
 PRIOR = 1 / 3
 
 
+#: characters on either side of an entity that are looked at, and code points in a block of a text
+NEAR, BLOCK = 80, 1000
+BEFORE, AFTER = "<", ">"
+
+
+def with_running(rows: DataFrame, values: str, name: str, zero: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
+    """Adds the array of what the values up to each come to by step.
+
+    Arrays are built in blocks of about the square root of their size, as each append copies what is there. What a lambda uses
+    more than once is a column first, read twice, so that it is made once a row.
+    """
+    blocks, sums, before = (f"{name}_{x}" for x in ("blocks", "sums", "before"))
+    size = F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).cast("int")
+    rows = rows.withColumn(blocks, F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int")), lambda b: F.slice(values, b * size + 1, size))))
+    rows = rows.withColumn(sums, F.when(F.size(blocks) > 0, F.transform(blocks, lambda x: F.aggregate(x, zero, lambda acc, y: step(acc, y)))))
+    listed_ = lambda one, first: F.aggregate(one, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.array_append(acc["out"], step(acc["at"], x)).alias("out")), lambda acc: acc["out"])
+    again = lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+    rows = rows.withColumn(before, F.when(F.size(sums) > 0, F.aggregate(sums, F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out")), again, lambda acc: acc["out"])))
+    rows = rows.withColumn(name, F.when(F.size(before) > 0, F.flatten(F.transform(blocks, lambda x, b: listed_(x, F.get(before, b))))).otherwise(F.array().cast("array<int>")))
+    return rows.drop(blocks, sums, before)
+
+
+def words_in(text: Column) -> Column:
+    """Words of a context: lower case, digits as 0."""
+    return F.array_remove(F.split(F.regexp_replace(lower_ascii(text), r"[0-9]", "0"), GAP), "")
+
+
 def located(rows: DataFrame, text: str, pattern: str, name: str, need: str | None = None) -> DataFrame:
-    """Adds the leftmost non-overlapping matches as array<struct<start,end,match,left>>; left: the two lower-case words before.
+    """Adds the leftmost non-overlapping matches as array<struct<start,end,match,patterns>>; patterns: the two words on either side.
 
     What lies between the matches and the matches themselves are columns first, so that they are made once a row.
     """
-    empty = F.array().cast("array<struct<start:int,end:int,match:string,left:string>>")
     may = F.col(text).rlike(r"[0-9]") if need is None else F.col(text).contains(need)
     rows = rows.withColumn("matches", F.when(may, F.regexp_extract_all(text, F.lit(pattern), 0)))
     rows = rows.withColumn("gaps", F.when(F.size("matches") > 0, F.split(text, pattern, -1)))
-    gaps, matches = F.col("gaps"), F.col("matches")
+    rows = rows.withColumn("lengths", F.when(F.size("gaps") > 0, F.transform("matches", lambda m, i: F.length(F.get("gaps", i)) + F.length(m))))
+    rows = with_running(rows, "lengths", "ends", F.lit(0), lambda acc, x: acc + x)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        words = F.array_remove(F.split(F.regexp_replace(lower_ascii(x["left"]), r"[0-9]", "0"), r"[\x20\x09-\x0D]+"), "")
-        left = F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), " ")
-        new = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), left.alias("left"))
-        return F.struct(end.alias("at"), F.array_append(acc["found"], new).alias("found"))
+    def told(m: Column, i: Column) -> Column:
+        before = words_in(F.regexp_replace(F.right(F.concat_ws("", F.get("matches", i - 1), F.get("gaps", i)), F.lit(NEAR)), r"[\x22'(\[<]+$", ""))
+        after = words_in(F.regexp_replace(F.left(F.concat_ws("", F.get("gaps", i + 1), F.get("matches", i + 1)), F.lit(NEAR)), r"^[\x22')\]>]+", ""))
+        left = F.when(F.size(before) > 1, F.concat(F.lit(BEFORE), F.array_join(F.slice(before, F.size(before) - 1, 2), " ")))
+        right = F.when(F.size(after) > 1, F.concat(F.lit(AFTER), F.array_join(F.slice(after, 1, 2), " ")))
+        end = F.get("ends", i)
+        return F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("match"), F.array_compact(F.array(left, right)).alias("patterns"))
 
-    each = F.transform(matches, lambda m, i: F.struct(F.get(gaps, i).alias("gap"), m.alias("match"), F.right(F.concat_ws("", F.get(matches, i - 1), F.get(gaps, i)), F.lit(80)).alias("left")))
-    found = F.aggregate(each, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
-    return rows.withColumn(name, F.when(F.size("gaps") > 0, found).otherwise(empty)).drop("matches", "gaps")
+    empty = F.array().cast("array<struct<start:int,end:int,match:string,patterns:array<string>>>")
+    return rows.withColumn(name, F.when(F.size("gaps") > 0, F.transform("matches", told)).otherwise(empty)).drop("matches", "gaps", "lengths", "ends")
 
 
 def luhn(digits: Column) -> Column:
@@ -79,67 +109,91 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def masked(rows: DataFrame, text: str, spans: str) -> DataFrame:
-    """Adds masked: text with each character of the spans (sorted, possibly overlapping) replaced by MASK."""
-    step = lambda acc, x: F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.array_append(acc["out"], F.struct(F.greatest(acc["at"], x["start"]).alias("a"), x["end"].alias("b"), acc["at"].alias("from"))).alias("out"))
-    empty = F.array().cast("array<struct<a:int,b:int,from:int>>")
-    rows = rows.withColumn("cuts", F.when(F.size(spans) > 0, F.aggregate(spans, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)))
-    text, cuts = F.col(text), F.col("cuts")
-    parts = F.transform(cuts["out"], lambda c: F.concat(F.substring(text, c["from"] + 1, c["a"] - c["from"]), F.repeat(F.lit(MASK), F.greatest(c["b"] - c["a"], F.lit(0)))))
-    whole = F.concat(F.array_join(parts, ""), F.substring(text, cuts["at"] + 1, F.length(text)))
-    return rows.withColumn("masked", F.when(cuts.isNull(), text).otherwise(whole)).drop("cuts")
+def apart(rows: DataFrame, tokens: str, spans: str) -> DataFrame:
+    """rows whose tokens (sorted) are those that overlap none of the spans (sorted, possibly overlapping)."""
+    place = lambda column, is_span: F.transform(column, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(is_span).alias("is_span"), i.alias("i")))
+    rows = rows.withColumn("all_", F.when(F.size(tokens) > 0, F.sort_array(F.concat(place(spans, 1), place(tokens, 0)))))
+    rows = rows.withColumn("all_ends", F.when(F.size("all_") > 0, F.transform("all_", lambda x: F.when(x["is_span"] == 1, x["end"]).otherwise(0))))
+    rows = rows.withColumn("all_starts", F.when(F.size("all_") > 0, F.transform(F.reverse("all_"), lambda x: F.when(x["is_span"] == 1, x["start"]).otherwise(2**31 - 1))))
+    rows = with_running(rows, "all_ends", "reached", F.lit(0), F.greatest)
+    rows = with_running(rows, "all_starts", "ahead", F.lit(2**31 - 1), F.least)
+    free = F.transform("all_", lambda x, k: F.when((x["is_span"] == 0) & (F.get("reached", k) <= x["start"]) & (F.get("ahead", F.size("ahead") - 1 - k) >= x["end"]), x["i"]))
+    rows = rows.withColumn("free", F.when(F.size("all_") > 0, F.array_compact(free)).otherwise(F.array().cast("array<int>")))
+    return rows.withColumn(tokens, F.transform("free", lambda i: F.get(tokens, i))).drop("all_", "all_ends", "all_starts", "reached", "ahead", "free")
 
 
 def findings(docs: DataFrame) -> DataFrame:
     """doc_id, digest, base (spans with kind and order) and tokens (identifier-like, outside base spans) of each row.
 
-    Written once to the shared folder: everything after it reads these short arrays and no text.
+    Written once to the shared folder: everything after it but the count of ordinary words reads these short arrays and no text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     for kind in KINDS:
         rows = located(rows, "text", PATTERNS[kind], f"found_{kind}", NEEDS[kind])
     told = lambda kind, no: F.transform(
         F.filter(f"found_{kind}", lambda x: valid(kind, x["match"])),
-        lambda x: F.struct(x["start"].alias("start"), F.lit(no).alias("no"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["match"].alias("match"), x["left"].alias("left")),
+        lambda x: F.struct(x["start"].alias("start"), F.lit(no).alias("no"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["match"].alias("match"), x["patterns"].alias("patterns")),
     )
     rows = rows.withColumn("base", F.sort_array(F.concat(*[told(k, n) for n, k in enumerate(KINDS)])))
-    rows = located(masked(rows, "text", "base"), "masked", TOKEN, "tokens")
+    rows = apart(located(rows, "text", TOKEN, "tokens", ""), "tokens", "base")
     return durable(rows.select("doc_id", F.xxhash64("text").alias("digest"), "base", "tokens"))
 
 
-def trusted(found: DataFrame, rounds: int = ROUNDS, score: float = SCORE, seeds: int = SEEDS, prior: float = PRIOR) -> DataFrame:
-    """The patterns (column left) that are trusted after the rounds of scoring.
+def ordinary_words(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern and others, the number of different words that are not identifier-like and stand in the pattern's place, for those
+    that have any.
 
-    Equal pairs of pattern and instance count once, so copies of a document add nothing. Only patterns that stand before enough
-    different instances take part: another can't be trusted, and tells nothing of its instances.
+    The words of all texts meet the patterns by a hash; Spark broadcasts these if they are few.
+    """
+    rows = docs.select(F.regexp_replace(text_of(), r"[0-9]", "0").alias("text"))
+    rows = rows.select(F.array_remove(F.split("text", GAP), "").alias("words"), words_in(F.col("text")).alias("low"))
+    pair = lambda i: F.xxhash64(F.get("low", i), F.get("low", i + 1))
+    each = rows.select(F.explode(F.transform("words", lambda w, i: F.struct(w.alias("word"), F.when(i > 1, pair(i - 2)).alias("left"), pair(i + 1).alias("right")))).alias("x"))
+    each = each.select("x.*").filter(~F.col("word").rlike("[0-9@_]|[a-z][A-Z]"))
+    known = patterns.select("pattern", F.split(F.substring("pattern", 2, 1_000_000), " ").alias("w"))
+    known = durable(known.select("pattern", F.substring("pattern", 1, 1).alias("side"), F.xxhash64(F.get("w", 0), F.get("w", 1)).alias("key")))
+    met = lambda column, side: each.select("word", F.col(column).alias("key")).join(known.filter(F.col("side") == side), "key").select("pattern", "word")
+    return met("left", BEFORE).unionByName(met("right", AFTER)).distinct().groupBy("pattern").agg(F.count("*").alias("others"))
+
+
+def trusted(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS, score: float = SCORE, seeds: int = SEEDS, prior: float = PRIOR) -> DataFrame:
+    """The patterns that are trusted after the rounds of scoring.
+
+    Equal pairs of pattern and instance count once, so copies of a document add nothing. Only patterns of enough different
+    instances take part: another can't be trusted, and tells nothing of its instances.
     """
-    pairs = lambda c, seed: found.select(F.explode(c).alias("x")).select(F.col("x.left").alias("left"), lower_ascii(F.col("x.match")).alias("instance"), F.lit(seed).alias("seed"))
-    both = pairs("base", 1).unionByName(pairs("tokens", 0)).filter("left != ''")
-    edges = both.groupBy("left", "instance").agg(F.max("seed").alias("seed"))
+    pairs = lambda c, seed: found.select(F.explode(c).alias("x")).select(F.explode("x.patterns").alias("pattern"), lower_ascii(F.col("x.match")).alias("instance"), seed.cast("int").alias("seed"))
+    both = pairs("base", F.lit(1)).unionByName(pairs("tokens", F.col("x.match").rlike(STRONG)))
+    edges = durable(both.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     # an instance is a seed wherever it stands
     sure = edges.filter("seed = 1").select("instance").distinct().withColumn("sure", F.lit(1))
-    able = edges.groupBy("left").agg(F.count("*").alias("n")).filter(F.col("n") >= seeds).select("left")
-    edges = edges.join(able, "left").join(sure, "instance", "left").select("left", "instance", F.coalesce("sure", F.lit(0)).alias("seed"))
+    able = durable(edges.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= seeds).select("pattern"))
+    words = durable(ordinary_words(docs, able))
+    edges = edges.join(able, "pattern").join(sure, "instance", "left").select("pattern", "instance", F.coalesce("sure", F.lit(0)).alias("seed"))
     enough = lambda c: c >= score - 1e-9
     # known: what the instance tells the pattern, without what this pattern told it
     edges = durable(edges.withColumn("known", F.when(F.col("seed") == 1, 1.0).otherwise(prior)))
-    scored = lambda rows: rows.groupBy("left").agg(F.sum("known").alias("total"), F.count("*").alias("n"), F.sum(enough(F.col("known")).cast("int")).alias("support"))
+
+    def scored(rows: DataFrame) -> DataFrame:
+        sums = rows.groupBy("pattern").agg(F.sum("known").alias("total"), F.count("*").alias("n"), F.sum(enough(F.col("known")).cast("int")).alias("support"))
+        return sums.join(words, "pattern", "left").select("pattern", "total", (F.col("n") + F.coalesce("others", F.lit(0))).alias("n"), "support")
+
     for _ in range(rounds):
         rest = (F.col("total") - F.col("known")) / F.nullif(F.col("n") - 1, F.lit(0))
         support = F.col("support") - enough(F.col("known")).cast("int")
         told = F.when(enough(rest) & (support >= seeds), rest).otherwise(0.0)
-        each = edges.join(scored(edges), "left").select("left", "instance", "seed", told.alias("told"))
+        each = edges.join(scored(edges), "pattern").select("pattern", "instance", "seed", told.alias("told"))
         instances = each.groupBy("instance").agg(F.sum("told").alias("all_told"), F.count("*").alias("patterns"))
         known = (prior + F.col("all_told") - F.col("told")) / F.col("patterns")
-        edges = durable(each.join(instances, "instance").select("left", "instance", "seed", F.when(F.col("seed") == 1, 1.0).otherwise(known).alias("known")))
-    return scored(edges).filter(enough(F.col("total") / F.col("n")) & (F.col("support") >= seeds)).select("left")
+        edges = durable(each.join(instances, "instance").select("pattern", "instance", "seed", F.when(F.col("seed") == 1, 1.0).otherwise(known).alias("known")))
+    return scored(edges).filter(enough(F.col("total") / F.col("n")) & (F.col("support") >= seeds)).select("pattern")
 
 
 def discovered(found: DataFrame, patterns: DataFrame) -> DataFrame:
     """doc_id, digest and the new spans of the documents that have any."""
-    each = found.select("doc_id", "digest", F.explode("tokens").alias("x")).withColumn("left", F.col("x.left"))
+    each = found.select("doc_id", "digest", F.explode("tokens").alias("x")).select("doc_id", "digest", "x", F.explode("x.patterns").alias("pattern"))
     span = F.struct(F.col("x.start").alias("start"), F.lit(len(KINDS)).alias("no"), F.col("x.end").alias("end"), F.lit(NEW).alias("kind"))
-    return each.join(patterns, "left").groupBy("doc_id", "digest").agg(F.collect_set(span).alias("new"))
+    return each.join(patterns, "pattern").groupBy("doc_id", "digest").agg(F.collect_set(span).alias("new"))
 
 
 def listed(spans: Column) -> Column:
@@ -149,7 +203,7 @@ def listed(spans: Column) -> Column:
 def all_spans(docs: DataFrame, **tuning: float) -> DataFrame:
     """doc_id, digest, base and spans (start, no, end, kind; sorted) of each row."""
     found = findings(docs)
-    new = discovered(found, trusted(found, **tuning)).withColumnsRenamed({"doc_id": "new_id", "digest": "new_digest"})
+    new = discovered(found, durable(trusted(docs, found, **tuning))).withColumnsRenamed({"doc_id": "new_id", "digest": "new_digest"})
     by = F.col("doc_id").eqNullSafe(F.col("new_id")) & (F.col("digest") == F.col("new_digest"))
     rows = found.drop("tokens").join(new, by, "left")
     plain = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["no"].alias("no"), x["end"].alias("end"), x["kind"].alias("kind")))
@@ -168,6 +222,14 @@ def find_pii(docs: DataFrame, **tuning: float) -> DataFrame:
     )
 
 
+def cut(blocks: str, start: Column, end: Column) -> Column:
+    """The code points from start to end of a text in blocks."""
+    a, b = (F.floor(x / BLOCK).cast("int") for x in (start, end))
+    inside = F.substring(F.get(blocks, a), start % BLOCK + 1, end - start)
+    across = F.concat(F.substring(F.get(blocks, a), start % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.coalesce(F.substring(F.get(blocks, b), F.lit(1), end % BLOCK), F.lit("")))
+    return F.when(start >= end, "").when(a == b, inside).otherwise(across)
+
+
 def redact(docs: DataFrame, **tuning: float) -> DataFrame:
     """docs, in its own columns, with every span of text replaced by its kind in brackets; all rows are kept.
 
@@ -176,14 +238,13 @@ def redact(docs: DataFrame, **tuning: float) -> DataFrame:
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("key"), text_of().alias("body")).withColumn("sum", F.xxhash64("body"))
     found = all_spans(docs, **tuning).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "digest"]).select("doc_id", "digest", "spans")
+    found = found.withColumn("span_ends", F.transform("spans", lambda x: x["end"]))
+    found = with_running(found, "span_ends", "reached", F.lit(0), F.greatest)
     rows = rows.join(found, F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("sum") == F.col("digest")), "left")
-
-    def step(acc: Column, x: Column) -> Column:
-        lead = F.concat(F.substring(F.col("body"), acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        out = F.when(x["start"] >= acc["at"], F.array_append(acc["out"], lead)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
-
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
-    rows = rows.withColumn("done", F.when(F.col("spans").isNotNull(), done))
-    text = F.when(F.col("done").isNull(), F.col("row.text")).otherwise(F.concat(F.array_join("done.out", ""), F.substring(F.col("body"), F.col("done.at") + 1, F.length("body"))))
+    rows = rows.withColumn("blocks", F.when(F.size("spans") > 0, F.regexp_extract_all("body", F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+    # what all spans before this one reach
+    past = lambda i: F.coalesce(F.get("reached", i - 1), F.lit(0))
+    part = lambda x, i: F.when(x["start"] >= past(i), F.concat(cut("blocks", past(i), x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
+    last = cut("blocks", F.get("reached", F.size("reached") - 1), F.length("body"))
+    text = F.when(F.size("blocks") > 0, F.concat(F.array_join(F.transform("spans", part), ""), last)).otherwise(F.col("row.text"))
     return rows.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm import suffix_runs as R
-from auditloom.llm.common import durable, text_of
+from auditloom.llm.common import durable, salt, text_of, told_of
 
 #: strings in a bucket of the merge, the most ranges that splitters bound, and strings that are drawn for each splitter
 IN_BUCKET, RANGES, DRAWN = 250_000, 4096, 20
@@ -308,9 +308,13 @@ def covered(docs: DataFrame, length: int = 100) -> DataFrame:
     bounded = unclear.join(near, (F.col("doc") == F.col("d")) & (F.col("key") == F.col("k")) & (F.col("p") == F.col("q"))).select("doc", "key", "p", "after", "segment", "before")
     clips = durable(clipped(bounded, length))
     # an anchor's equal parts meet whole; only where its parts differ, their windows are sorted
-    firsts = clips.groupBy("h", "segment").agg(F.min(F.struct("doc", "first")).alias("least"))
-    several = firsts.groupBy("h").agg((F.count("*") > 1).alias("several"))
-    told = durable(clips.join(firsts, ["h", "segment"]).join(several, "h").withColumn("again", F.struct("doc", "first") > F.col("least")).filter("again or several"))
+    parts = clips.groupBy("h", "segment", salt("doc")).agg(F.min(F.struct("doc", "first")).alias("x"))
+    firsts = parts.groupBy("h", "segment").agg(F.min("x").alias("least"))
+    of_anchor = firsts.groupBy("h", salt("segment")).agg(F.count("*").alias("n"))
+    several = of_anchor.groupBy("h").agg((F.sum("n") > 1).alias("several"))
+    firsts = firsts.withColumn("salt", salt("segment")).join(told_of(of_anchor, ["h"], several), ["h", "salt"]).drop("salt")
+    told = clips.withColumn("salt", salt("doc")).join(told_of(parts, ["h", "segment"], firsts), ["h", "segment", "salt"])
+    told = durable(told.withColumn("again", F.struct("doc", "first") > F.col("least")).filter("again or several"))
     equal = told.filter("again").select("doc", "key", "first", "windows")
     rest = told.filter("not again").select("doc", "key", "first", "windows", "segment")
     count = rest.agg(F.sum("windows")).first()[0] or 0
