@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions.values import AMOUNT, clean, had_zone, parse_date, parse_int
+from auditloom.functions.values import AMOUNT, clean, had_zone, inexact, parse_adf_amount, parse_amount, parse_date, parse_int
 from auditloom.operators import findings as O
 from auditloom.operators import references, tables, totals, uniqueness
 from auditloom.plans import set_rules
@@ -16,6 +16,8 @@ from auditloom.plans.frames import Ledger
 from auditloom.sources.ledger import Files, field
 
 ERROR, WARNING, INFO = O.ERROR, O.WARNING, O.INFO
+#: sums of amounts
+WIDE = "decimal(38,8)"
 # FIXED VALUES: severity of what is noted while reading
 NOTED = {"XAF1001": INFO, "XAF1002": WARNING, "XAF1003": ERROR, "XAF1004": INFO, "XAF1005": WARNING, "XAF1006": WARNING, "XAF1010": WARNING, "XAF1011": WARNING, "XAF1012": WARNING, "XAF1013": WARNING, "XAF1020": INFO, "XAF1021": ERROR, "XAF2001": ERROR, "XAF2002": ERROR, "XAF2003": ERROR, "XAF3009": WARNING, "XAF3050": ERROR}
 # FIXED VALUES: fields of each lexical kind, and required fields by record
@@ -98,64 +100,124 @@ def of_masters(files: Files) -> list[DataFrame]:
     return out
 
 
-def of_ledger(ledger: Ledger, known: set_rules.Facts) -> list[DataFrame]:
+def written(files: Files) -> DataFrame:
+    """(file, ord, up, kind, side, text) of every amount of a line as it is written: by its side, or in a debit and a credit field."""
+    text = lambda name: clean(F.try_element_at("fields", F.lit(name)))
+    each = F.array(
+        F.struct(F.upper(text("amntTp")).alias("side"), text("amnt").alias("text")),
+        F.struct(F.lit("D").alias("side"), text("debitAmount").alias("text")),
+        F.struct(F.lit("C").alias("side"), text("creditAmount").alias("text")),
+    )
+    return files.of("trLine", "line", "obLine").select("file", "ord", "up", "kind", F.explode(each).alias("x")).select("file", "ord", "up", "kind", "x.*").filter("side in ('D', 'C')").filter(clean(F.col("text")).rlike(AMOUNT))
+
+
+def both_sums(by: str = "text") -> list[Column]:
+    """The sums of either side of written amounts, exact to eight decimals."""
+    of = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, parse_amount(F.col(by)))), F.lit(0)).cast(WIDE)
+    return [of("D").alias("written_debit"), of("C").alias("written_credit")]
+
+
+def plain(number: Column) -> Column:
+    """A decimal without the zeros that end its fraction, but for two."""
+    return F.regexp_replace(number.cast("string"), r"(\.[0-9]{2}[0-9]*?)0+$", "$1")
+
+
+def unbalanced_files(files: Files, ledger: Ledger, fixed_width: bool) -> DataFrame:
+    """(tx, written_debit, written_credit) of unbalanced transactions, however many digits their amounts have.
+
+    Amounts that a decimal column holds are summed by Spark; only transactions with others go to the exact adder.
+    """
+    if fixed_width:
+        return totals.unbalanced(ledger.lines).select("tx", *[plain(F.col(c)).alias(c) for c in ("written_debit", "written_credit")])
+    rows = written(files).filter("kind <> 'obLine'").select(files.key("up").alias("tx"), "side", "text", inexact(F.col("text")).alias("odd"))
+    odd = rows.filter("odd").select("tx").distinct()
+    usual = rows.groupBy("tx").agg(*both_sums(), F.max("odd").alias("odd")).filter("not odd and written_debit <> written_credit")
+    exact = totals.exact_unbalanced(rows.join(odd, "tx", "left_semi").select("tx", "side", F.col("text").alias("amount_text")))
+    return usual.select("tx", *[plain(F.col(c)).alias(c) for c in ("written_debit", "written_credit")]).unionByName(exact)
+
+
+def of_ledger(files: Files, ledger: Ledger, known: set_rules.Facts, fixed_width: bool = False) -> list[DataFrame]:
     """Rules over the frames; references to a section that can't be checked against are left to set_rules.of_unchecked."""
-    tx = lambda df: df.join(ledger.transactions.select("tx", F.col("number").alias("tx_number")), "tx", "left")
+    heads = ledger.transactions.select("tx", F.col("number").alias("tx_number"))
+    tx = lambda df: df.join(heads, "tx", "left")
+    whole = lambda df: df.join(ledger.transactions.select("tx", F.col("number").alias("tx_number"), "file", "line"), "tx", "left")
+    at = {"file": F.col("file"), "line": F.col("line")}
     lines, made = ledger.lines, []
     # one row: the year of the set is that of the first header by file, as the first file may have none
     year = F.broadcast(ledger.header.orderBy("file", "ord").limit(1).select("start_date", "end_date"))
     for column, master, code, section in (("account_id", ledger.accounts, "XAF4001", "generalLedger"), ("relation_id", ledger.relations, "XAF4002", "customersSuppliers"), ("vat_code", ledger.vat_codes, "XAF4003", "vatCodes")):
         if column in lines.columns and known.checkable[section]:
-            rows = references.undefined(lines.select("tx", "number", column), column, master)
-            made.append(O.finding(tx(rows), code, ERROR, say("transaction", F.col("tx_number"), f"refers to an undefined {column}:", F.col(column)), value=F.col(column)))
+            rows = references.undefined(lines.select("tx", "number", "file", "line", column), column, master)
+            made.append(O.finding(tx(rows), code, ERROR, say("transaction", F.col("tx_number"), f"refers to an undefined {column}:", F.col(column)), value=F.col(column), **at))
     if known.checkable["periods"]:
-        made.append(O.finding(references.undefined_periods(ledger.transactions.select("tx", "number", "period_key"), ledger.periods, known.version == "4.0"), "XAF4004", ERROR, say("undefined period:", F.col("period_key")), value=F.col("period_key")))
+        made.append(O.finding(references.undefined_periods(ledger.transactions.select("tx", "number", "period_key", "file", "line"), ledger.periods, known.version == "4.0"), "XAF4004", ERROR, say("undefined period:", F.col("period_key")), value=F.col("period_key"), **at))
     if known.checkable["generalLedger"]:
-        made.append(O.finding(references.undefined(ledger.journals.select("id", "offset_account_id"), "offset_account_id", ledger.accounts), "XAF4005", WARNING, say("journal", F.col("id"), "has an undefined offset account"), value=F.col("offset_account_id")))
-        made.append(O.finding(references.undefined_vat_accounts(ledger.vat_codes, ledger.accounts), "XAF4006", WARNING, say("VAT code", F.col("id"), "has an undefined account"), value=F.col("account_id")))
+        made.append(O.finding(references.undefined(ledger.journals.select("id", "offset_account_id", "file", "line"), "offset_account_id", ledger.accounts), "XAF4005", WARNING, say("journal", F.col("id"), "has an undefined offset account"), value=F.col("offset_account_id"), **at))
+        vat = references.undefined_vat_accounts(ledger.vat_codes, ledger.accounts).join(ledger.vat_codes.select("id", "file", "line"), "id")
+        made.append(O.finding(vat, "XAF4006", WARNING, say("VAT code", F.col("id"), "has an undefined account"), value=F.col("account_id"), **at))
+    of_master = lambda rows, master: rows.join(master.select("id", "file", "line"), "id")
+    # in the older XML family numbers are keys of the file
+    older = known.family == "CLAIR2"
+    again = uniqueness.later(ledger.transactions.filter("number is not null"), ["file", "number"] if older else ["file", "journal_id", "number"], ["ord"])
+    line_again = uniqueness.later(lines.filter("number is not null"), ["file" if older else "tx", "number"], ["ord"])
     made += [
-        O.finding(tx(totals.unbalanced(lines)), "XAF5010", ERROR, say("transaction", F.col("tx_number"), "does not balance:", F.col("written_debit").cast("string"), F.col("written_credit").cast("string"))),
-        O.finding(uniqueness.duplicate_counts(ledger.transactions.filter("number is not null"), ["file", "journal_id", "number"] if "file" in ledger.transactions.columns else ["journal_id", "number"]), "XAF6004", ERROR, say("transaction number occurs again:", F.col("number")), value=F.col("number")),
-        O.finding(tx(uniqueness.duplicate_counts(lines.filter("number is not null"), ["tx", "number"])), "XAF6005", ERROR, say("line number occurs again:", F.col("number")), value=F.col("number")),
-        O.finding(ledger.transactions.crossJoin(year).filter("date < start_date or date > end_date"), "XAF7002", WARNING, say("transaction", F.col("number"), "is outside the fiscal year"), value=F.col("date")),
-        O.finding(references.outside_period(ledger.transactions, ledger.periods), "XAF7003", WARNING, say("transaction", F.col("number"), "is outside its period"), value=F.col("date")),
-        O.finding(ledger.transactions.join(lines.select("tx"), "tx", "left_anti"), "XAF7011", WARNING, say("transaction without lines:", F.col("number"))),
-        O.finding(tables.relations(ledger).filter("relation_kind = 'unknown' and relation_type is not null"), "XAF7012", WARNING, say("unknown relation type:", F.col("relation_type")), value=F.col("relation_type")),
-        O.finding(tables.accounts(ledger).filter("rgs_placeholder"), "XAF8001", WARNING, say("placeholder instead of a reference code:", F.col("rgs_raw")), value=F.col("rgs_raw")),
-        O.finding(tables.accounts(ledger).filter("rgs_raw is not null and rgs_code is null and not rgs_placeholder"), "XAF8002", WARNING, say("unrecognisable reference code:", F.col("rgs_raw")), value=F.col("rgs_raw")),
+        O.finding(whole(unbalanced_files(files, ledger, fixed_width)), "XAF5010", ERROR, say("transaction", F.col("tx_number"), "does not balance: debit", F.col("written_debit"), "credit", F.col("written_credit")), **at),
+        O.finding(again, "XAF6004", ERROR, say("transaction number occurs again:", F.col("number")), value=F.col("number"), **at),
+        O.finding(line_again, "XAF6005", ERROR, say("line number occurs again:", F.col("number")), value=F.col("number"), **at),
+        O.finding(ledger.transactions.crossJoin(year).filter("date < start_date or date > end_date"), "XAF7002", WARNING, say("transaction", F.col("number"), "is outside the fiscal year"), value=F.col("date"), **at),
+        O.finding(references.outside_period(ledger.transactions, ledger.periods.select("key", "start_date", "end_date")), "XAF7003", WARNING, say("transaction", F.col("number"), "is outside its period"), value=F.col("date"), **at),
+        O.finding(ledger.transactions.join(lines.select("tx"), "tx", "left_anti"), "XAF7011", WARNING, say("transaction without lines:", F.col("number")), **at),
+        O.finding(of_master(tables.relations(ledger).filter("relation_kind = 'unknown' and relation_type is not null"), ledger.relations), "XAF7012", WARNING, say("unknown relation type:", F.col("relation_type")), value=F.col("relation_type"), **at),
+        O.finding(of_master(tables.accounts(ledger).filter("rgs_placeholder"), ledger.accounts), "XAF8001", WARNING, say("placeholder instead of a reference code:", F.col("rgs_raw")), value=F.col("rgs_raw"), **at),
+        O.finding(of_master(tables.accounts(ledger).filter("rgs_raw is not null and rgs_code is null and not rgs_placeholder"), ledger.accounts), "XAF8002", WARNING, say("unrecognisable reference code:", F.col("rgs_raw")), value=F.col("rgs_raw"), **at),
     ]
     outside = lines.crossJoin(year).filter("effective_date < start_date or effective_date > end_date").agg(F.count("*").alias("n")).filter("n > 0")
     return made + [O.finding(outside, "XAF7010", INFO, say(F.col("n").cast("string"), "effective dates are outside the fiscal year"))]
 
 
+def of_declared(both: DataFrame, what: str, codes: tuple[str, str, str | None, str]) -> list[DataFrame]:
+    """Declared debit, credit and count (rows with file and line) against the sums d and c and the number n."""
+    at, text = {"file": F.col("file"), "line": F.col("line")}, lambda c: plain(F.col(c))
+    out = [
+        O.finding(both.filter("debit <> d"), codes[0], ERROR, say(f"{what}: declared debit", text("debit"), "is not the sum", text("d")), value=text("debit"), **at),
+        O.finding(both.filter("credit <> c"), codes[1], ERROR, say(f"{what}: declared credit", text("credit"), "is not the sum", text("c")), value=text("credit"), **at),
+        O.finding(both.filter("count <> n"), codes[3], ERROR, say(f"{what}: declared lines", F.col("count").cast("string"), "are not", F.col("n").cast("string")), value=F.col("count"), **at),
+    ]
+    return out + ([O.finding(both.filter("debit <> credit"), codes[2], ERROR, say(f"{what}: declared debit and credit differ"), **at)] if codes[2] else [])
+
+
+def against(heads: DataFrame, counts: DataFrame, sums: DataFrame) -> DataFrame:
+    """heads with n, d and c of their file, 0 where it holds nothing."""
+    both = heads.join(counts, "file", "left").join(sums.withColumnsRenamed({"written_debit": "d", "written_credit": "c"}), "file", "left")
+    return both.fillna(0, ["n"]).withColumns({x: F.coalesce(x, F.lit(0).cast(WIDE)) for x in ("d", "c")})
+
+
 def of_totals(files: Files) -> list[DataFrame]:
-    """Declared totals of files and opening balances against the sums of what they hold."""
-    money, out = "decimal(20,2)", []
-    for section, lines, codes in (("transactions", "trLine", ("XAF5007", "XAF5008", "XAF5009", "XAF5012")), ("openingBalance", "obLine", ("XAF5004", "XAF5005", "XAF5006", "XAF5011"))):
-        amount, side = clean(F.try_element_at("fields", F.lit("amnt"))).try_cast(money), F.upper(clean(F.try_element_at("fields", F.lit("amntTp"))))
-        sum_of = lambda s: F.sum(F.when(side == s, amount).otherwise(0))  # noqa: B023, E731
-        sums = files.of(lines).groupBy("file").agg(F.count("*").alias("n"), sum_of("D").alias("d"), sum_of("C").alias("c"))
+    """Declared totals of files and opening balances against the sums of what they hold, as written."""
+    out, amounts = [], written(files)
+    for section, kinds, codes in (("transactions", ("trLine", "line"), ("XAF5007", "XAF5008", "XAF5009", "XAF5012")), ("openingBalance", ("obLine",), ("XAF5004", "XAF5005", "XAF5006", "XAF5011"))):
         count = parse_int(field("linesCount", "numberEntries"))
-        heads = files.of(section).select("file", "line", count.alias("count"), *[clean(F.try_element_at("fields", F.lit(n))).try_cast(money).alias(a) for n, a in (("totalDebit", "debit"), ("totalCredit", "credit"))])
-        both = heads.join(sums, "file", "left").fillna(0, ["n"]).withColumns({x: F.coalesce(x, F.lit(0).cast(money)) for x in ("d", "c")})
-        at = {"file": F.col("file"), "line": F.col("line")}
-        out += [
-            O.finding(both.filter("debit <> d"), codes[0], ERROR, say(f"{section}: declared debit", F.col("debit").cast("string"), "is not the sum", F.col("d").cast("string")), **at),
-            O.finding(both.filter("credit <> c"), codes[1], ERROR, say(f"{section}: declared credit", F.col("credit").cast("string"), "is not the sum", F.col("c").cast("string")), **at),
-            O.finding(both.filter("debit <> credit"), codes[2], ERROR, say(f"{section}: declared debit and credit differ"), **at),
-            O.finding(both.filter("count <> n"), codes[3], ERROR, say(f"{section}: declared lines", F.col("count").cast("string"), "are not", F.col("n").cast("string")), **at),
-        ]
+        heads = files.of(section).select("file", "line", count.alias("count"), *[parse_amount(field(n)).alias(a) for n, a in (("totalDebit", "debit"), ("totalCredit", "credit"))])
+        both = against(heads, files.of(*kinds).groupBy("file").agg(F.count("*").alias("n")), amounts.filter(F.col("kind").isin(*kinds)).groupBy("file").agg(*both_sums()))
+        out += of_declared(both, section, codes)
         if section == "openingBalance":
-            out.append(O.finding(both.filter("d <> c"), "XAF5013", WARNING, say("the lines of the opening balance do not balance"), **at))
+            out.append(O.finding(both.filter("d <> c"), "XAF5013", WARNING, say("the lines of the opening balance do not balance"), file=F.col("file"), line=F.col("line")))
     return out
 
 
+def of_fixed_totals(files: Files) -> list[DataFrame]:
+    """The totals that the header of a fixed-width file declares against the columns of its lines."""
+    sums = [F.coalesce(F.sum(parse_adf_amount(field(n))), F.lit(0)).cast(WIDE).alias(a) for n, a in (("debet", "written_debit"), ("credit", "written_credit"))]
+    heads = files.of("adfHeader").select("file", "line", parse_int(field("aantalMutaties")).alias("count"), parse_adf_amount(field("tellingDebet")).alias("debit"), parse_adf_amount(field("tellingCredit")).alias("credit"))
+    lines = files.of("adfLine").groupBy("file")
+    return of_declared(against(heads, lines.agg(F.count("*").alias("n")), lines.agg(*sums)), "header", ("XAF5007", "XAF5008", None, "XAF5012"))
+
+
 def all_findings(files: Files, fixed_width: bool = False, chart_release: str | None = None) -> DataFrame:
     ledger = files.fixed_width() if fixed_width else files.ledger()
     known = set_rules.facts(files, ledger)
-    parts = [of_reading(files), *of_detection(files), *of_ledger(ledger, known), *set_rules.of_set(files, ledger, known, chart_release)]
-    if not fixed_width:
-        parts += [*of_values(files), *of_required(files), *of_masters(files), *of_totals(files)]
+    parts = [of_reading(files), *of_detection(files), *of_ledger(files, ledger, known, fixed_width), *set_rules.of_set(files, ledger, known, chart_release)]
+    parts += of_fixed_totals(files) if fixed_width else [*of_values(files), *of_required(files), *of_masters(files), *of_totals(files)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
