@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from auditloom.llm import mixing, neardup, packing, pii, quality
-from auditloom.llm.common import durable, table
+from auditloom.llm.common import WRITTEN, drop_tables, durable, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -49,15 +49,19 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack),
 ]
 
-#: SQL can't express MinHash components, raking and tokenisation; tests hold run() against a brute-force version.
+#: SQL can't express MinHash components, raking and tokenisation; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's rows written to the shared folder before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each one's rows written to the shared folder before the next.
+
+    Once they are, the tables that the stage wrote for itself, and the rows before it, are deleted.
+    """
+    docs, began = table(spark, sf_dir, "documents"), len(WRITTEN)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = durable(docs)
+            drop_tables(spark, began, keep=1)
     return docs
