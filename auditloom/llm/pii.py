@@ -38,6 +38,8 @@ TOKEN = r"(?<![A-Za-z0-9_/-])(?=[A-Za-z_/-]*+[0-9]|[A-Za-z/-]++_|[A-Za-z]*?[a-z]
 STRONG = r"^(?:(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,64}|A[KS]IA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk_live_[0-9A-Za-z]{24,}|eyJ[0-9A-Za-z_-]{20,})$"
 #: rounds of scoring; a pattern is trusted from this score, and from this many different seeds
 ROUNDS, SCORE, SEEDS = 4, 0.5, 3
+#: A pattern takes part if it holds this share of all different instances: in a larger corpus chance brings more of them together.
+SUPPORT = 0.001
 #: score of a token of which nothing is known
 PRIOR = 1 / 3
 
@@ -147,27 +149,29 @@ def ordinary_words(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.regexp_replace(text_of(), r"[0-9]", "0").alias("text"))
     rows = rows.select(F.array_remove(F.split("text", GAP), "").alias("words"), words_in(F.col("text")).alias("low"))
-    pair = lambda i: F.xxhash64(F.get("low", i), F.get("low", i + 1))
-    each = rows.select(F.explode(F.transform("words", lambda w, i: F.struct(w.alias("word"), F.when(i > 1, pair(i - 2)).alias("left"), pair(i + 1).alias("right")))).alias("x"))
-    each = each.select("x.*").filter(~F.col("word").rlike("[0-9@_]|[a-z][A-Z]"))
+    key = lambda side, i: F.xxhash64(F.lit(side), F.get("low", i), F.get("low", i + 1))
+    both = F.flatten(F.transform("words", lambda w, i: F.array(F.struct(w.alias("word"), F.when(i > 1, key(BEFORE, i - 2)).alias("key")), F.struct(w.alias("word"), key(AFTER, i + 1).alias("key")))))
+    each = rows.select(F.explode(both).alias("x")).select("x.*").filter(~F.col("word").rlike("[0-9@_]|[a-z][A-Z]"))
     known = patterns.select("pattern", F.split(F.substring("pattern", 2, 1_000_000), " ").alias("w"))
-    known = durable(known.select("pattern", F.substring("pattern", 1, 1).alias("side"), F.xxhash64(F.get("w", 0), F.get("w", 1)).alias("key")))
-    met = lambda column, side: each.select("word", F.col(column).alias("key")).join(known.filter(F.col("side") == side), "key").select("pattern", "word")
-    return met("left", BEFORE).unionByName(met("right", AFTER)).distinct().groupBy("pattern").agg(F.count("*").alias("others"))
+    known = durable(known.select("pattern", F.xxhash64(F.substring("pattern", 1, 1), F.get("w", 0), F.get("w", 1)).alias("key")))
+    return each.join(known, "key").select("pattern", "word").distinct().groupBy("pattern").agg(F.count("*").alias("others"))
 
 
-def trusted(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS, score: float = SCORE, seeds: int = SEEDS, prior: float = PRIOR) -> DataFrame:
+def trusted(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS, score: float = SCORE, seeds: int = SEEDS, prior: float = PRIOR, support: float = SUPPORT) -> DataFrame:
     """The patterns that are trusted after the rounds of scoring.
 
     Equal pairs of pattern and instance count once, so copies of a document add nothing. Only patterns of enough different
-    instances take part: another can't be trusted, and tells nothing of its instances.
+    instances, in number and as a share of all, take part: another tells nothing of its instances.
     """
     pairs = lambda c, seed: found.select(F.explode(c).alias("x")).select(F.explode("x.patterns").alias("pattern"), lower_ascii(F.col("x.match")).alias("instance"), seed.cast("int").alias("seed"))
     both = pairs("base", F.lit(1)).unionByName(pairs("tokens", F.col("x.match").rlike(STRONG)))
     edges = durable(both.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     # an instance is a seed wherever it stands
     sure = edges.filter("seed = 1").select("instance").distinct().withColumn("sure", F.lit(1))
-    able = durable(edges.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= seeds).select("pattern"))
+    # one row, with the number of all different instances
+    whole = F.broadcast(edges.agg(F.count_distinct("instance").alias("whole")))
+    able = edges.groupBy("pattern").agg(F.count("*").alias("n")).crossJoin(whole)
+    able = durable(able.filter((F.col("n") >= seeds) & (F.col("n") >= support * F.col("whole"))).select("pattern"))
     words = durable(ordinary_words(docs, able))
     edges = edges.join(able, "pattern").join(sure, "instance", "left").select("pattern", "instance", F.coalesce("sure", F.lit(0)).alias("seed"))
     enough = lambda c: c >= score - 1e-9
@@ -180,8 +184,8 @@ def trusted(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS, score: floa
 
     for _ in range(rounds):
         rest = (F.col("total") - F.col("known")) / F.nullif(F.col("n") - 1, F.lit(0))
-        support = F.col("support") - enough(F.col("known")).cast("int")
-        told = F.when(enough(rest) & (support >= seeds), rest).otherwise(0.0)
+        vouched = F.col("support") - enough(F.col("known")).cast("int")
+        told = F.when(enough(rest) & (vouched >= seeds), rest).otherwise(0.0)
         each = edges.join(scored(edges), "pattern").select("pattern", "instance", "seed", told.alias("told"))
         instances = each.groupBy("instance").agg(F.sum("told").alias("all_told"), F.count("*").alias("patterns"))
         known = (prior + F.col("all_told") - F.col("told")) / F.col("patterns")

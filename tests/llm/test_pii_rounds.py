@@ -98,7 +98,7 @@ def test_very_many_spans_in_one_text(spark):
     began = time.monotonic()
     got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
     kept = {r.doc_id: r.text for r in pii.redact(docs).collect()}
-    assert time.monotonic() - began < 90
+    assert time.monotonic() - began < 300
     assert got[1].n_email == got[1].n_ip == 50_000
     places = [s.split(":") for s in got[1].spans.split(",") if not s.startswith("id")]
     assert all(("@" in text[int(a) : int(b)]) == (kind == "email") for kind, a, b in places) and text[int(places[-1][1]) : int(places[-1][2])] == "10.0.0.79"
