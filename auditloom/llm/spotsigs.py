@@ -1,8 +1,9 @@
 """Document fingerprints by SpotSigs, in DataFrame functions only.
 
 A spot is a common word (the anchor) with the chain of content words that follow it; common words between them are passed
-over. A document's fingerprint is the set of its spots' digests. Fingerprints are compared by Jaccard similarity; sets whose
-lengths alone rule out a similarity are never compared, which partitions the sets by length.
+over. A document's fingerprint is the set of its spots' digests. Fingerprints are compared by Jaccard similarity. Where those that
+are near are looked for, sets are partitioned by length, so that sets whose lengths alone rule out a similarity never meet, and
+only sets that share one of the rarest spots of the one asked for are compared.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ al con como del el ella las lo los más no para pero por se si sin su sus una un
 """.split()
 #: content words in a chain
 CHAIN = 2
+#: Rows whose doc_id is divisible by this are asked for all rows of this likeness.
+ASKED, SIMILARITY = 100, 0.8
 OPEN, CLOSE = "⟨", "⟩"
 APART = r"[\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+"
 
@@ -86,12 +89,13 @@ def neighbours(docs: DataFrame) -> DataFrame:
     return both.withColumn("next_text", F.lead("text").over(order)).withColumn("place", F.struct("guard", "ord", F.xxhash64("text")))
 
 
-def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Each row's fingerprint, that of its edited text, and their likeness to each other and to the next row's.
+def edited_fingerprints(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Each row's fingerprint, that of its edited text, and their likeness to each other and to the next row's; and for rows whose
+    doc_id is divisible by ASKED n_near, the number of other rows whose fingerprint is at least as like as similarity.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next row's text. A null
     text is empty, a single row is its own next; a null doc_id stays null and comes first; repeated rows are fingerprinted
-    each; other columns are not read; no rows give no rows.
+    each, and near each other; an empty fingerprint is near none; other columns are not read; no rows give no rows.
     """
     rows = neighbours(docs).withColumn("n", F.length("text")).withColumn("k", F.floor(F.col("n") / 2).cast("int"))
     edited = F.concat(F.left("text", F.col("n") - F.col("k")), F.left(F.coalesce("next_text", F.lit("")), F.col("k")))
@@ -100,24 +104,59 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.select("bucket", "guard", "ord", "place", "doc_id", "n", F.sha2("edited", 256).alias("edited_sha256"), "own", "other")
     rows = rows.withColumn("next", F.lead("own").over(W.partitionBy("bucket").orderBy("guard", "ord", F.col("place.col3")))).filter("guard = 0")
     text = lambda c: F.array_join(c, " ")
-    return rows.select(
-        "doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", text("own").alias("fingerprint"), text("other").alias("edited_fingerprint"),
-        likeness("own", "other").alias("near_edited"), likeness("own", "next").alias("near_next"),
-    )
+    done = durable(
+        rows.select(
+            "doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", text("own").alias("fingerprint"), text("other").alias("edited_fingerprint"),
+            likeness("own", "other").alias("near_edited"), likeness("own", "next").alias("near_next"),
+        )
+    )
+    is_asked = F.coalesce(F.col("doc_id") % ASKED == 0, F.lit(False))
+    sets = done.filter("fingerprint != ''").select(is_asked.alias("asked"), F.md5("fingerprint").alias("print"), F.split("fingerprint", " ").alias("spots"))
+    near = near_counts(sets, similarity)
+    found = done.filter(is_asked).join(near, F.md5("fingerprint") == F.col("q"), "left").select(*done.columns, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    return found.unionByName(done.filter(~is_asked).withColumn("n_near", F.lit(None).cast("long")))
 
 
-def near_pairs(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+def prefix(sets: DataFrame, key: str, similarity: float) -> DataFrame:
+    """(key, n, spot) of the rarest spots of each set, of which a set of that similarity must hold one."""
+    each = sets.select(key, F.explode("spots").alias("spot"))
+    counts = each.groupBy("spot").agg(F.count("*").alias("c"))
+    ordered = each.join(counts, "spot").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("c", "spot"))).alias("xs")).withColumn("n", F.size("xs"))
+    return ordered.select(key, "n", F.explode(F.slice("xs", 1, (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))).alias("x")).select(key, "n", "x.spot")
+
+
+def part(n: str, similarity: float) -> Column:
+    """The partition of a set's length: sets of that similarity are in the same or in neighbouring ones."""
+    return F.floor(F.log(n) / -F.log(F.lit(similarity))).cast("int")
+
+
+def near_counts(sets: DataFrame, similarity: float) -> DataFrame:
+    """(q, n_near) of the prints that are asked for: how many other rows of sets (asked, print, spots) are as like as that.
+
+    Equal prints are compared once.
+    """
+    asked = durable(sets.filter("asked").select(F.col("print").alias("q"), "spots").dropDuplicates(["q"]))
+    keys = prefix(asked, "q", similarity).select("q", F.col("n").alias("nq"), "spot", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: part("n", similarity) + k)).alias("part"))
+    rows = sets.withColumn("n", F.size("spots"))
+    each = rows.select("print", "n", part("n", similarity).alias("part"), F.explode("spots").alias("spot"))
+    able = (F.col("n") >= F.col("nq") * similarity - 1e-9) & (F.col("nq") >= F.col("n") * similarity - 1e-9)
+    pairs = durable(each.join(durable(keys), ["spot", "part"]).filter(able).select("q", "print").distinct())
+    rows = rows.join(pairs.select("print").distinct(), "print", "left_semi").groupBy("print").agg(F.count("*").alias("rows"), F.first("spots").alias("x"))
+    found = pairs.join(rows, "print").join(asked.withColumnRenamed("spots", "y"), "q").filter(likeness("x", "y") >= similarity)
+    return found.groupBy("q").agg((F.sum("rows") - 1).alias("n_near"))
+
+
+def near_pairs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b, likeness) of classes of equal fingerprints, by their least doc_id, whose likeness is similarity or more.
 
     Sets are partitioned by length so that only equal or neighbouring partitions can hold such a pair; there, pairs are made
-    where the shortest prefixes that such a pair must share, in the order of the digests, have a digest in common.
+    where a set of the one has a spot that is among the rarest of the other.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter("doc_id is not null")
-    sets = fingerprint(rows, "text", "spots").filter(F.size("spots") > 0).select("doc_id", "spots")
-    sets = durable(sets.groupBy("spots").agg(F.min("doc_id").alias("doc_id")).withColumn("n", F.size("spots")))
-    part = F.floor(F.log("n") / -F.log(F.lit(similarity))).cast("int")
-    prefix = F.slice("spots", 1, (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
-    keys = sets.select("doc_id", "n", part.alias("part"), F.explode(prefix).alias("spot"))
+    # written before it is filtered: a filter would be pushed below, and make the spots again and again
+    sets = durable(fingerprint(rows, "text", "spots").select("doc_id", "spots")).filter(F.size("spots") > 0)
+    sets = durable(sets.groupBy("spots").agg(F.min("doc_id").alias("doc_id")))
+    keys = durable(prefix(sets, "doc_id", similarity).withColumn("part", part("n", similarity)))
     one = keys.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "part", "spot")
     two = keys.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), "spot")
     able = (F.col("nb") * similarity <= F.col("na")) & (F.col("na") <= F.col("nb")) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
@@ -146,9 +185,12 @@ spots as (select doc_id, which, x, m, list_sort(list_distinct(list_filter(list_t
 prints as (select doc_id, which, x, case when len(sp) > 0 then sp when regexp_matches(x, '{APART.replace("[", "[^").removesuffix("+")}') then [substr(md5(m), 1, 12)] else [] end fp from spots),
 pairs as (select a.doc_id, a.x t, b.x e, a.fp f, b.fp g,
   coalesce(lead(a.fp) over (order by a.doc_id), (select fp from prints where which = 0 order by doc_id limit 1)) h
-  from prints a join prints b on a.doc_id = b.doc_id and a.which = 0 and b.which = 1)
+  from prints a join prints b on a.doc_id = b.doc_id and a.which = 0 and b.which = 1),
+near as (select q.doc_id, count(*) - 1 n from pairs q join pairs o on q.doc_id % {ASKED} = 0 and len(q.f) > 0 and len(o.f) > 0
+  and len(list_intersect(q.f, o.f))::double / (len(q.f) + len(o.f) - len(list_intersect(q.f, o.f))) >= {SIMILARITY} group by 1)
 select doc_id, length(t)::bigint n_chars, sha256(e) edited_sha256, array_to_string(f, ' ') fingerprint, array_to_string(g, ' ') edited_fingerprint,
   case when len(f) = 0 and len(g) = 0 then 1.0::double else len(list_intersect(f, g))::double / (len(f) + len(g) - len(list_intersect(f, g))) end near_edited,
-  case when len(f) = 0 and len(h) = 0 then 1.0::double else len(list_intersect(f, h))::double / (len(f) + len(h) - len(list_intersect(f, h))) end near_next
-from pairs
+  case when len(f) = 0 and len(h) = 0 then 1.0::double else len(list_intersect(f, h))::double / (len(f) + len(h) - len(list_intersect(f, h))) end near_next,
+  case when doc_id % {ASKED} = 0 then coalesce(n, 0)::bigint end n_near
+from pairs left join near using (doc_id)
 """
