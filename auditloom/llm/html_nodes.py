@@ -21,6 +21,8 @@ KIND = {tag: k for k, tags in enumerate(KINDS) for tag in tags.split()}
 RUN = KIND["#run"]
 # FIXED VALUES: elements whose content is no text of the page
 SKIPPED = frozenset("script style title textarea noscript template svg iframe object canvas select math head".split())
+# FIXED VALUES: of these, those that hold no markup and so go on to the end of a page that never ends them
+RAW = frozenset("script style textarea iframe".split())
 CONTROLS = frozenset("input button label option select textarea".split())
 # FIXED VALUES: an element of the key's kind ends an open one of its values
 ENDS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}
@@ -149,7 +151,7 @@ def parse(html: str) -> Nodes:
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|$)", re.I).search(html, pos)
                 if end:
                     pos = end.end()
-                elif tag not in ("head", "title"):
+                elif tag in RAW:
                     pos = size
             continue
         kind = KIND.get(tag)

@@ -1,4 +1,4 @@
-"""Labelled pages for the extraction model, generated from a seed: invented words in many page layouts.
+"""Labelled pages for the extraction model, generated from a seed: invented words in many page layouts, all freely combined.
 
 The label of a node is 1 if any of its text belongs to the article. Article text carries a mark that is taken out again.
 """
@@ -59,7 +59,7 @@ class Page:
 
     def advert(self) -> str:
         inner = self.r.choice([self.prose(1, 3), f"<p>{self.prose(1, 4)}</p>", f'<a href="//x">{self.words(5)}</a>', f"<h3>{self.words(3)}</h3><p>{self.prose(1, 3)}</p>"])
-        return self.r.choice(["<!-- ad -->", ""]) + f"<{(t := self.r.choice(['div', 'div', 'aside', 'section']))}{self.named('ad', 'ads', 'advert', 'sponsored', 'promo', 'banner', often=0.97)}>{inner}</{t}>"
+        return f"<{(t := self.r.choice(['div', 'div', 'aside', 'section']))}{self.named('ad', 'ads', 'advert', 'sponsored', 'promo', 'banner', often=0.97)}>{inner}</{t}>"
 
     def notice(self) -> str:
         inner = self.r.choice([self.prose(1, 3), f"<p>{self.prose(1, 3)}</p><button>{self.words(1)}</button>", f"<p>{self.prose(1, 2)} <a href='#'>{self.words(2)}</a></p>"])
@@ -84,6 +84,18 @@ class Page:
         top = f"<h2>{self.words(2)}</h2>" if self.r.random() < 0.6 else ""
         return f"<{(t := self.r.choice(['div', 'section', 'section']))}{self.named('comments', 'comments', 'disqus', 'replies', often=0.97)}>{top}{self.r.choice([lists, flat])}</{t}>"
 
+    def emphasised(self) -> str:
+        """A paragraph with inline markup somewhere in it, sometimes left open."""
+        tag = self.r.choice("b i em strong span a u code".split())
+        parts = [self.prose(1, 2) if self.r.random() < 0.5 else "", f"<{tag}>{self.prose(1, 3)}" + (f"</{tag}>" if self.r.random() < 0.7 else ""), self.prose(1, 2) if self.r.random() < 0.5 else ""]
+        text = self.r.choice([" ", "<br>", "<br/>"]).join(x for x in parts if x)
+        return f"<p>{MARK}{text}" + self.r.choice(["</p>", "</p>", "\n"])
+
+    def head(self) -> str:
+        parts = [f"<title>{self.words(5)}</title>", f'<meta name="description" content="{self.words(6)}">', '<link rel="stylesheet" href="/main.css">', f"<style>.{self.words(1)} {{ color: #333 }}</style>", f'<script type="application/ld+json">{{"name": "{self.words(2)}"}}</script>', "<script>window.dataLayer = [];</script>"]
+        self.r.shuffle(parts)
+        return f"<head>{''.join(parts[: self.r.randint(1, len(parts))])}</head>"
+
     def article(self) -> str:
         r, m = self.r, MARK
         out = [f"<{(h := r.choice(['h1', 'h1', 'h2']))}>{m}{self.words(r.randint(3, 14))}</{h}>"] if r.random() < 0.9 else []
@@ -92,7 +104,7 @@ class Page:
             if x < 0.68:
                 out.append(f"<p>{m}{self.prose()}" + r.choice(["</p>", "</p>", "</p>", "<br>", "\n"]))
             elif x < 0.76:
-                out.append(f"<p><b>{m}{self.prose(1, 4)}" + r.choice(["</b></p>", "<br>", "</p>"]))
+                out.append(self.emphasised())
             elif x < 0.82:
                 out.append(f"<h{(k := r.randint(2, 4))}>{m}{self.words(r.randint(1, 6))}</h{k}>")
             elif x < 0.87:
@@ -127,8 +139,9 @@ class Page:
         body = "".join(before) + side + self.article() + "".join(after)
         if r.random() < 0.35:
             body = f"<div{self.named('page', 'wrapper', 'container', 'site', often=0.6)}>{body}</div>"
-        head = f"<!DOCTYPE html><html><head><title>{self.words(5)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>"
-        return head + body + r.choice(["</body></html>", ""])
+        script = "<script>if (1 < 2) { load(); }</script>" if r.random() < 0.3 else ""
+        opened = r.choice(["<!DOCTYPE html><html>", "<html>", '<!doctype html>\n<html class="no-js">'])
+        return f"{opened}{self.head()}<body>{body}{script}" + r.choice(["</body></html>", ""])
 
 
 def labelled_page(seed: int) -> tuple[Nodes, list[int]]:
