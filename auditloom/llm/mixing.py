@@ -7,6 +7,8 @@ probability. Only the cells take part in the iterations: their number depends on
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Without given targets, the target share of a category is its own share to this power, normalised.
 TEMPER = 0.7
 #: Raking ends when no factor of a sweep is further than this from 1, or after so many sweeps.
-CLOSE, SWEEPS = 1e-4, 20
+CLOSE, SWEEPS = 1e-4, 60
 #: share of all tokens to draw
 FRACTION = 0.6
 
@@ -34,20 +36,23 @@ def register(text: Column) -> Column:
     )
 
 
-def labelled(docs: DataFrame, topic: Column | None = None, tokens: Column | None = None) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens (words, unless given) and a uniform number in [0, 1) from doc_id and text."""
+def labels(topic: Column | None = None, tokens: Column | None = None) -> list[Column]:
+    """source, lang, topic, n_tokens (words, unless given) and a uniform number in [0, 1) from doc_id and text."""
     text = text_of()
     known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c)
     words = F.size(F.array_remove(F.split(text, GAP), "")).cast("long")
-    drawn = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", text), 11) / F.lit(2.0**53)
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+    return [
         known("source"),
         known("lang"),
         (register(text) if topic is None else F.coalesce(topic.cast("string"), F.lit("unknown"))).alias("topic"),
         (words if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))).alias("n_tokens"),
-        drawn.alias("drawn"),
-    )
+        (F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", text), 11) / F.lit(2.0**53)).alias("drawn"),
+    ]
+
+
+def labelled(docs: DataFrame, topic: Column | None = None, tokens: Column | None = None) -> DataFrame:
+    """doc_id and the labels of each row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *labels(topic, tokens))
 
 
 def tempered(cells: DataFrame, dimension: str, power: float = TEMPER) -> DataFrame:
@@ -59,7 +64,8 @@ def tempered(cells: DataFrame, dimension: str, power: float = TEMPER) -> DataFra
 def rake(cells: DataFrame, targets: dict[str, DataFrame], close: float = CLOSE, sweeps: int = SWEEPS) -> DataFrame:
     """cells with weight, whose sums have the target shares of every dimension.
 
-    Categories without target keep no weight; targets of categories without cells are ignored and the others rescaled.
+    Categories without target keep no weight; targets of categories without cells are ignored and the others rescaled. A warning
+    tells how far a factor still moves after the last sweep: where empty cells leave no solution, the sums only come close.
     """
     goal = {}
     for d in DIMENSIONS:
@@ -78,8 +84,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], close: float = CLOSE,
             cells = cells.join(now, d).withColumn("factor", factor).drop("now")
             cells = cells.withColumns({"weight": F.col("weight") * F.col("factor"), "moved": F.greatest("moved", F.abs(F.col("factor") - 1))}).drop("factor")
         cells = durable(cells)
-        if (cells.filter("weight > 0").agg(F.max("moved")).first()[0] or 0.0) <= close:
+        moved = cells.filter("weight > 0").agg(F.max("moved")).first()[0] or 0.0
+        if moved <= close:
             break
+    else:
+        warnings.warn(f"raking did not converge in {sweeps} sweeps: a factor still moves by {moved:.2g}", stacklevel=2)
     return cells.select(*DIMENSIONS, "tokens", "weight")
 
 
@@ -110,25 +119,24 @@ def mixed_cells(rows: DataFrame, targets: dict[str, DataFrame] | None = None, fr
     return durable(calibrated(rake(cells, goal), fraction).select(*DIMENSIONS, per_token, "probability"))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, fraction: float = FRACTION, topic: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, fraction: float = FRACTION, topic: Column | None = None, tokens: Column | None = None) -> DataFrame:
     """Each row's cell, tokens, weight, probability and whether it is drawn.
 
     A null text is empty (no tokens, so weight 0 unless its cell has other texts); a null source or language is the category
     "unknown"; a null doc_id stays null; repeated rows are drawn alike; other columns are not read; no rows give no rows.
     """
-    rows = durable(labelled(docs, topic))
+    rows = durable(labelled(docs, topic, tokens))
     drawn = rows.join(mixed_cells(rows, targets, fraction), list(DIMENSIONS)).withColumn("sampled", F.col("drawn") < F.col("probability"))
     return drawn.select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", "sampled")
 
 
-def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, fraction: float = FRACTION) -> DataFrame:
-    """The rows of docs that are drawn, in docs' columns. Only the cells are joined, so texts stay where they are."""
+def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, fraction: float = FRACTION, topic: Column | None = None, tokens: Column | None = None) -> DataFrame:
+    """The rows of docs that are drawn, in docs' columns.
+
+    The rows are written with their labels once; only the cells are joined, so texts stay where they are.
+    """
     names = docs.columns
-    labels = labelled(docs)
-    cells = mixed_cells(labels, targets, fraction)
-    text = text_of()
-    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c)
-    drawn = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", text), 11) / F.lit(2.0**53)
-    rows = docs.select(F.struct(*names).alias("row"), known("source"), known("lang"), register(text).alias("topic"), drawn.alias("drawn"))
-    kept = rows.join(cells, list(DIMENSIONS)).filter(F.col("drawn") < F.col("probability"))
+    rows = durable(docs.select(F.struct(*names).alias("row"), *labels(topic, tokens)))
+    cells = mixed_cells(rows.select(*DIMENSIONS, "n_tokens"), targets, fraction)
+    kept = rows.select("row", *DIMENSIONS, "drawn").join(cells, list(DIMENSIONS)).filter(F.col("drawn") < F.col("probability"))
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
