@@ -16,6 +16,8 @@ from auditloom.llm.common import durable, lower_ascii, text_of, words_of
 WINDOW = 5
 #: A line is boilerplate of its host above this share of the host's different texts, and above this many of them.
 SHARE, LEAST = 0.10, 10
+#: Whatever the host's size, so is a line of so many words above this number of different texts.
+MOST, LONG = 1000, 6
 #: A document is depleted if less than this share of its words is left.
 LEFT = 0.30
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -70,17 +72,18 @@ def figures(docs: DataFrame, host: str = "source") -> DataFrame:
     return durable(rows.select("doc_id", "host", "digest", "hashes", *FIGURES))
 
 
-def boilerplate(rows: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(host, h) of the lines above their host's limit; equal texts of a host count once."""
-    each = rows.select("host", "digest", F.explode(F.array_distinct(F.col("hashes.h"))).alias("h"))
-    counts = each.groupBy("host", "h").agg(F.countDistinct("digest").alias("n")).filter(F.col("n") > least)
+def boilerplate(rows: DataFrame, share: float = SHARE, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """(host, h) of the lines above either of their host's limits; equal texts of a host count once."""
+    each = rows.select("host", "digest", F.explode(F.array_distinct("hashes")).alias("x")).select("host", "digest", "x.h", F.col("x.n").alias("words"))
+    counts = each.groupBy("host", "h", "words").agg(F.countDistinct("digest").alias("n")).filter(F.col("n") > least)
     hosts = rows.groupBy("host").agg(F.countDistinct("digest").alias("texts"))
-    return counts.join(hosts, "host").filter(F.col("n") > share * F.col("texts")).select("host", "h")
+    high = (F.col("n") > share * F.col("texts")) | ((F.col("n") > most) & (F.col("words") >= LONG))
+    return counts.join(hosts, "host").filter(high).select("host", "h")
 
 
-def lines_to_remove(rows: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def lines_to_remove(rows: DataFrame, share: float = SHARE, least: int = LEAST, most: int = MOST) -> DataFrame:
     """doc_id, host, digest and the hashes of the lines to remove, of the documents that have any."""
-    high = boilerplate(rows, share, least)
+    high = boilerplate(rows, share, least, most)
     each = rows.select("doc_id", "host", "digest", F.explode(F.array_distinct(F.col("hashes.h"))).alias("h"))
     return each.join(high, ["host", "h"]).groupBy("doc_id", "host", "digest").agg(F.collect_set("h").alias("remove"))
 
@@ -95,20 +98,20 @@ def judged(rows: DataFrame, remove: DataFrame, left: float = LEFT) -> DataFrame:
     return joined.withColumn("kept", ~F.col("base_failed") & ~spent)
 
 
-def quality(docs: DataFrame, host: str = "source", share: float = SHARE, least: int = LEAST, left: float = LEFT) -> DataFrame:
+def quality(docs: DataFrame, host: str = "source", share: float = SHARE, least: int = LEAST, left: float = LEFT, most: int = MOST) -> DataFrame:
     """The figures and the verdict of each row; no text is shuffled.
 
     A null text is empty (no words: base_failed); a null host is a host of its own; a null doc_id stays null; repeated rows
     get the same figures each, and count once as a text of their host; other columns are not read; no rows give no rows.
     """
     rows = figures(docs, host)
-    return judged(rows, lines_to_remove(rows, share, least), left).select("doc_id", *FIGURES, "kept")
+    return judged(rows, lines_to_remove(rows, share, least, most), left).select("doc_id", *FIGURES, "kept")
 
 
-def keep_good(docs: DataFrame, host: str = "source", share: float = SHARE, least: int = LEAST, left: float = LEFT) -> DataFrame:
+def keep_good(docs: DataFrame, host: str = "source", share: float = SHARE, least: int = LEAST, left: float = LEFT, most: int = MOST) -> DataFrame:
     """The rows of docs that are kept, in docs' columns, without the lines above their host's limit."""
     names, rows = docs.columns, figures(docs, host)
-    kept = judged(rows, lines_to_remove(rows, share, least), left).filter("kept").select("doc_id", "digest", "remove").dropDuplicates(["doc_id", "digest"])
+    kept = judged(rows, lines_to_remove(rows, share, least, most), left).filter("kept").select("doc_id", "digest", "remove").dropDuplicates(["doc_id", "digest"])
     whole = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("key"), F.xxhash64(text_of()).alias("sum"))
     both = whole.join(kept, F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("sum") == F.col("digest")))
     lines = F.filter(F.split(F.col("row.text"), "\n"), lambda x: ~F.array_contains("remove", F.xxhash64(normal_line(x))))
@@ -130,8 +133,8 @@ norm as (select doc_id, host, t, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))
   trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') l
   from (select doc_id, host, t, unnest(ls) l from w)),
 hosts as (select host, count(distinct t) texts from base group by 1),
-high as (select host, l from (select host, l, count(distinct t) n from norm group by 1, 2) join hosts using (host)
-  where n > {LEAST} and n > {SHARE} * texts),
+high as (select host, l from (select host, l, n words, count(distinct t) n from norm group by 1, 2, 3) join hosts using (host)
+  where n > {LEAST} and (n > {SHARE} * texts or (n > {MOST} and words >= {LONG}))),
 gone as (select doc_id, sum(n) gone from norm join high using (host, l) group by 1)
 select w.doc_id, len(ws)::bigint n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint word_chars,
   (length(t) - length(translate(t, '{SYMBOLS}', '')))::bigint n_symbols,
