@@ -21,6 +21,8 @@ from auditloom.llm.common import text_of
 
 #: id that ends each document
 END = 0
+#: texts that the two libraries are held against each other by: letters, numbers, marks, white space and special strings
+PROBES = ["", "It's they'll WE'VE 'd", "  two  spaces\t\n\n x \u00a0\u2003y", "1234567 3.14e-10 ½ ٣", "naïve Straße 東京 🙂👍🏽 e\u0301", "{}[]();:==!=->//***", "<|endoftext|> <s></s> [PAD]", "internationalization " * 3, "\x00\x7f\u0085\u2028\ufeff"]
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 
 
@@ -28,7 +30,7 @@ class ByteEncoder:
     """Ids of a tokenizers byte-level BPE file, special strings inside texts taken as that library takes them by default.
 
     tiktoken makes the same ids several times faster from the same vocabulary, so it goes first where the file is of that
-    kind; a text that its pattern engine gives up on is encoded by tokenizers.
+    kind and its ids of some probes are those of tokenizers; a text that its pattern engine gives up on is encoded by tokenizers.
     """
 
     def __init__(self, path: str):
@@ -36,6 +38,8 @@ class ByteEncoder:
 
         self.exact = Tokenizer.from_file(path)
         self.fast = self._tiktoken()
+        if self.fast is not None and any(self.encode(t).tolist() != self.exact.encode(t, add_special_tokens=False).ids for t in PROBES):
+            self.fast = None
 
     def _tiktoken(self) -> Any:
         import json
@@ -70,8 +74,10 @@ class ByteEncoder:
         if self.fast is not None:
             try:
                 return self.fast.encode_to_numpy(text, allowed_special="all")
-            except (ValueError, BaseException) as e:  # noqa: B014  a panic of the pattern engine is no Exception
-                if isinstance(e, (KeyboardInterrupt, SystemExit, GeneratorExit)):
+            except ValueError:
+                pass
+            except BaseException as e:  # a panic of the pattern engine is no Exception
+                if type(e).__name__ != "PanicException":
                     raise
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 

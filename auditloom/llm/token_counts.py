@@ -22,6 +22,8 @@ from auditloom.llm.common import text_of
 SPACE = "▁"
 #: Segments whose counts a worker keeps; beyond it the table is emptied and fills anew.
 KEPT_SEGMENTS = 600_000
+#: texts that a model's own counts are held against: normalisation, special strings, byte fallback and white space would show
+PROBES = ["", " a  b\tc\n\nd ", "ﬁ Å ½ Ａ e\u0301 \u00a0\u3000x", "<s></s> <unk> <pad> <0x41>", "▁ ▁▁x", "🙂👍🏽 東京 \x00\x7f\ufeff", "internationalization 1234567 3.14"]
 
 
 class SegmentCounts(dict):
@@ -88,6 +90,9 @@ class TokenCounter:
         inner = "" if any("\n" in p for p in pieces) else "\n"
         self.find = re.compile(f"{SPACE}*[^{SPACE}{inner}]+|{SPACE}+" + (f"|{inner}" if inner else "")).findall
 
+        if wrong := [t for t in PROBES if self.count(t) != len(model.encode(t))]:
+            raise ValueError(f"the model does more to a text than these counts do: {wrong[0]!r}")
+
     def count(self, text: str) -> int:
         if not text:
             return 0

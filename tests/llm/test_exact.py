@@ -13,11 +13,12 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from auditloom.llm import html_extract, html_training, licences, mixing, neardup, packing, pii, queries, spotsigs, substrings, token_counts
+from auditloom.llm import html_extract, html_training, licences, mixing, neardup, packing, pii, quality, queries, spotsigs, substrings, token_counts
 from auditloom.llm import suffix_runs as R
 from auditloom.llm.html_nodes import decode, features
 
@@ -358,3 +359,26 @@ def test_pipeline_stages_hold_their_contracts(spark, docs):
             assert set(after) == set(before) and not any(base_spans(t or "") for t in after.values())
         current = new
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+
+
+def test_long_lines_of_a_large_host_have_an_absolute_limit(spark):
+    banner, short = "Subscribe to our weekly letter and never miss a story", "See also"
+    own = lambda i: " ".join("abcdefghij"[int(c)] + "o" for c in f"{i:04d}")
+    rows = [(i, f"story {own(i)} tells of many things that only it has, at some length\n" + (banner if i % 20 == 0 else short if i % 20 == 1 else "plain end"), "big") for i in range(2000)]
+    rows += [(5000 + i, banner + f"\nand ten other words of my own, number {own(i)} of many", "small") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = quality.figures(docs)
+    high = lambda **limits: {(r.host, r.h) for r in quality.boilerplate(found, **limits).collect()}
+    of = {x: spark.createDataFrame([(x,)], "t string").select(F.xxhash64(quality.normal_line(F.col("t")))).first()[0] for x in (banner, short)}
+    # 100 of 2,000 documents are below the share of the large host, and above an absolute limit of 80; the short line has too few words
+    assert ("small", of[banner]) in high() and ("big", of[banner]) not in high()
+    assert ("big", of[banner]) in high(most=80) and ("big", of[short]) not in high(most=80)
+    kept = {r.doc_id: r.text for r in quality.keep_good(docs, most=80).collect()}
+    assert banner not in kept[20] and kept[21].endswith(short)
+
+
+def test_raking_warns_where_it_does_not_converge(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 10)], "source string, lang string, topic string, tokens long")
+    share = lambda d, **x: spark.createDataFrame(list(x.items()), f"{d} string, target double")
+    with pytest.warns(UserWarning, match="did not converge"):
+        mixing.rake(cells, {"source": share("source", a=0.9, b=0.1), "lang": share("lang", x=0.1, y=0.9), "topic": share("topic", t=1.0)}, sweeps=3)
