@@ -21,6 +21,20 @@ def finding(rows: DataFrame, code: str, severity: int, message: Column, *, file:
     return rows.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), message.alias("message"), text(file).alias("file"), at.alias("line"), text(path).alias("path"), cut.alias("value"))
 
 
+def several(rows: DataFrame, rules: list[tuple], *, file: Column | None = None, line: Column | None = None, path: Column | None = None) -> DataFrame:
+    """The findings of many rules (condition, code, severity, message, value or None) from one pass over rows."""
+    text = lambda c: F.lit(None).cast("string") if c is None else c.cast("string")
+
+    def one(condition: Column, code: str, severity: int, message: Column, value: Column | None) -> Column:
+        v = text(value)
+        cut = F.when(F.length(v) > 200, F.concat(F.left(v, F.lit(200)), F.lit("…"))).otherwise(v)
+        return F.when(condition, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), message.alias("message"), cut.alias("value")))
+
+    each = F.explode(F.array_compact(F.array(*[one(*r) for r in rules]))).alias("x")
+    at = F.lit(None).cast("int") if line is None else line.cast("int")
+    return rows.select(each, text(file).alias("file"), at.alias("line"), text(path).alias("path")).select("x.code", "x.severity", "x.message", "file", "line", "path", "x.value")
+
+
 def distinct(findings: DataFrame) -> DataFrame:
     return findings.dropDuplicates(["code", "file", "line", "path", "value", "message"])
 

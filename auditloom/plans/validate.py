@@ -53,39 +53,39 @@ def of_reading(files: Files) -> DataFrame:
 
 
 def of_detection(files: Files) -> list[DataFrame]:
-    rows, file = files.files, {"file": F.col("file")}
-    status = lambda s: rows.filter(F.col("status") == s)
-    return [
-        O.finding(status("documented-variant"), "XAF3002", WARNING, say("a documented variant of the namespace"), value=F.col("namespace"), **file),
-        O.finding(status("known-bogus"), "XAF3003", WARNING, say("a namespace that does not officially exist"), value=F.col("namespace"), **file),
-        O.finding(status("unknown"), "XAF3004", WARNING, say("an unknown namespace"), value=F.col("namespace"), **file),
-        O.finding(rows.filter("continuation is not null"), "XAF3006", INFO, say("a continuation file", F.col("continuation")), **file),
-        O.finding(rows.filter("confidence < 0.7"), "XAF3007", WARNING, say("the version is uncertain:", F.col("version")), **file),
-        O.finding(rows.filter("confidence >= 0.7 and confidence < 1"), "XAF3001", INFO, say("detected as", F.col("version")), **file),
+    status = lambda s: F.col("status") == s
+    space, version = F.col("namespace"), F.col("version")
+    rules = [
+        (status("documented-variant"), "XAF3002", WARNING, say("a documented variant of the namespace"), space),
+        (status("known-bogus"), "XAF3003", WARNING, say("a namespace that does not officially exist"), space),
+        (status("unknown"), "XAF3004", WARNING, say("an unknown namespace"), space),
+        (F.col("continuation").isNotNull(), "XAF3006", INFO, say("a continuation file", F.col("continuation")), None),
+        (F.col("confidence") < 0.7, "XAF3007", WARNING, say("the version is uncertain:", version), None),
+        ((F.col("confidence") >= 0.7) & (F.col("confidence") < 1), "XAF3001", INFO, say("detected as", version), None),
     ]
+    return [O.several(files.files, rules, file=F.col("file"))]
 
 
 def of_values(files: Files) -> list[DataFrame]:
     """Lexical rules: each (field, text) is judged in place, by built-in expressions over the exploded fields."""
     each = files.rows.filter("kind not like '#%' and kind not like 'adf%'").select("file", "line", "path", F.explode("fields").alias("name", "text"))
-    s, at = F.col("text"), {"file": F.col("file"), "line": F.col("line"), "path": F.concat_ws("/", "path", "name"), "value": F.col("text")}
-    of = lambda names: each.filter(F.col("name").isin(names))
-    return [
-        O.finding(of(DATES).filter(parse_date(s).isNull()), "XAF3017", ERROR, say("not a date:", F.col("name")), **at),
-        O.finding(of(MONEY_FIELDS).filter(~F.coalesce(clean(s).rlike(AMOUNT), F.lit(False))), "XAF3018", ERROR, say("not a decimal:", F.col("name")), **at),
-        O.finding(of(COUNTS).filter(parse_int(s).isNull()), "XAF3019", ERROR, say("not an integer:", F.col("name")), **at),
-        O.finding(of(SIDES).filter(~F.coalesce(F.upper(clean(s)).isin("D", "C"), F.lit(False))), "XAF3015", ERROR, say("neither D nor C:", F.col("name")), **at),
-        O.finding(of(DATES).filter(had_zone(s)), "XAF7008", INFO, say("the time zone of a date was dropped"), **at),
-        O.finding(of([n for n in MONEY_FIELDS if n != "vatPerc"]).filter(s.rlike(r"^\s*-") & ~s.rlike(r"^\s*-[0.]*\s*$")), "XAF7001", INFO, say("negative amount:", F.col("name")), **at),
+    each = each.filter(F.col("name").isin(DATES + MONEY_FIELDS + COUNTS + SIDES))
+    s, name = F.col("text"), F.col("name")
+    among = lambda names: name.isin(names)
+    rules = [
+        (among(DATES) & parse_date(s).isNull(), "XAF3017", ERROR, say("not a date:", name), s),
+        (among(MONEY_FIELDS) & ~F.coalesce(clean(s).rlike(AMOUNT), F.lit(False)), "XAF3018", ERROR, say("not a decimal:", name), s),
+        (among(COUNTS) & parse_int(s).isNull(), "XAF3019", ERROR, say("not an integer:", name), s),
+        (among(SIDES) & ~F.coalesce(F.upper(clean(s)).isin("D", "C"), F.lit(False)), "XAF3015", ERROR, say("neither D nor C:", name), s),
+        (among(DATES) & had_zone(s), "XAF7008", INFO, say("the time zone of a date was dropped"), s),
+        (among([n for n in MONEY_FIELDS if n != "vatPerc"]) & s.rlike(r"^\s*-") & ~s.rlike(r"^\s*-[0.]*\s*$"), "XAF7001", INFO, say("negative amount:", name), s),
     ]
+    return [O.several(each, rules, file=F.col("file"), line=F.col("line"), path=F.concat_ws("/", "path", "name"))]
 
 
 def of_required(files: Files) -> list[DataFrame]:
-    return [
-        O.finding(files.of(kind).filter(field(*names.split()).isNull()), "XAF3010", ERROR, say(f"{kind} without {names.split()[0]}"), file=F.col("file"), line=F.col("line"), path=F.col("path"))
-        for kind, wanted in REQUIRED.items()
-        for names in wanted
-    ]
+    rules = [((F.col("kind") == kind) & field(*names.split()).isNull(), "XAF3010", ERROR, say(f"{kind} without {names.split()[0]}"), None) for kind, wanted in REQUIRED.items() for names in wanted]
+    return [O.several(files.of(*REQUIRED), rules, file=F.col("file"), line=F.col("line"), path=F.col("path"))]
 
 
 def of_masters(files: Files) -> list[DataFrame]:
@@ -168,22 +168,32 @@ def of_ledger(files: Files, ledger: Ledger, known: set_rules.Facts, fixed_width:
         O.finding(references.outside_period(ledger.transactions, ledger.periods.select("key", "start_date", "end_date")), "XAF7003", WARNING, say("transaction", F.col("number"), "is outside its period"), value=F.col("date"), **at),
         O.finding(ledger.transactions.join(lines.select("tx"), "tx", "left_anti"), "XAF7011", WARNING, say("transaction without lines:", F.col("number")), **at),
         O.finding(of_master(tables.relations(ledger).filter("relation_kind = 'unknown' and relation_type is not null"), ledger.relations), "XAF7012", WARNING, say("unknown relation type:", F.col("relation_type")), value=F.col("relation_type"), **at),
-        O.finding(of_master(tables.accounts(ledger).filter("rgs_placeholder"), ledger.accounts), "XAF8001", WARNING, say("placeholder instead of a reference code:", F.col("rgs_raw")), value=F.col("rgs_raw"), **at),
-        O.finding(of_master(tables.accounts(ledger).filter("rgs_raw is not null and rgs_code is null and not rgs_placeholder"), ledger.accounts), "XAF8002", WARNING, say("unrecognisable reference code:", F.col("rgs_raw")), value=F.col("rgs_raw"), **at),
+        O.several(
+            of_master(tables.accounts(ledger).filter("rgs_raw is not null"), ledger.accounts),
+            [
+                (F.col("rgs_placeholder"), "XAF8001", WARNING, say("placeholder instead of a reference code:", F.col("rgs_raw")), F.col("rgs_raw")),
+                (F.col("rgs_code").isNull() & ~F.col("rgs_placeholder"), "XAF8002", WARNING, say("unrecognisable reference code:", F.col("rgs_raw")), F.col("rgs_raw")),
+            ],
+            **at,
+        ),
     ]
     outside = lines.crossJoin(year).filter("effective_date < start_date or effective_date > end_date").agg(F.count("*").alias("n")).filter("n > 0")
     return made + [O.finding(outside, "XAF7010", INFO, say(F.col("n").cast("string"), "effective dates are outside the fiscal year"))]
 
 
-def of_declared(both: DataFrame, what: str, codes: tuple[str, str, str | None, str]) -> list[DataFrame]:
+def of_declared(both: DataFrame, what: str, codes: tuple[str, str, str | None, str, str | None]) -> DataFrame:
     """Declared debit, credit and count (rows with file and line) against the sums d and c and the number n."""
-    at, text = {"file": F.col("file"), "line": F.col("line")}, lambda c: plain(F.col(c))
-    out = [
-        O.finding(both.filter("debit <> d"), codes[0], ERROR, say(f"{what}: declared debit", text("debit"), "is not the sum", text("d")), value=text("debit"), **at),
-        O.finding(both.filter("credit <> c"), codes[1], ERROR, say(f"{what}: declared credit", text("credit"), "is not the sum", text("c")), value=text("credit"), **at),
-        O.finding(both.filter("count <> n"), codes[3], ERROR, say(f"{what}: declared lines", F.col("count").cast("string"), "are not", F.col("n").cast("string")), value=F.col("count"), **at),
+    text = lambda c: plain(F.col(c))
+    rules = [
+        (F.col("debit") != F.col("d"), codes[0], ERROR, say(f"{what}: declared debit", text("debit"), "is not the sum", text("d")), text("debit")),
+        (F.col("credit") != F.col("c"), codes[1], ERROR, say(f"{what}: declared credit", text("credit"), "is not the sum", text("c")), text("credit")),
+        (F.col("count") != F.col("n"), codes[3], ERROR, say(f"{what}: declared lines", F.col("count").cast("string"), "are not", F.col("n").cast("string")), F.col("count")),
     ]
-    return out + ([O.finding(both.filter("debit <> credit"), codes[2], ERROR, say(f"{what}: declared debit and credit differ"), **at)] if codes[2] else [])
+    if codes[2]:
+        rules.append((F.col("debit") != F.col("credit"), codes[2], ERROR, say(f"{what}: declared debit and credit differ"), None))
+    if codes[4]:
+        rules.append((F.col("d") != F.col("c"), codes[4], WARNING, say(f"{what}: its lines do not balance"), None))
+    return O.several(both, rules, file=F.col("file"), line=F.col("line"))
 
 
 def against(heads: DataFrame, counts: DataFrame, sums: DataFrame) -> DataFrame:
@@ -195,13 +205,11 @@ def against(heads: DataFrame, counts: DataFrame, sums: DataFrame) -> DataFrame:
 def of_totals(files: Files) -> list[DataFrame]:
     """Declared totals of files and opening balances against the sums of what they hold, as written."""
     out, amounts = [], written(files)
-    for section, kinds, codes in (("transactions", ("trLine", "line"), ("XAF5007", "XAF5008", "XAF5009", "XAF5012")), ("openingBalance", ("obLine",), ("XAF5004", "XAF5005", "XAF5006", "XAF5011"))):
+    for section, kinds, codes in (("transactions", ("trLine", "line"), ("XAF5007", "XAF5008", "XAF5009", "XAF5012", None)), ("openingBalance", ("obLine",), ("XAF5004", "XAF5005", "XAF5006", "XAF5011", "XAF5013"))):
         count = parse_int(field("linesCount", "numberEntries"))
         heads = files.of(section).select("file", "line", count.alias("count"), *[parse_amount(field(n)).alias(a) for n, a in (("totalDebit", "debit"), ("totalCredit", "credit"))])
         both = against(heads, files.of(*kinds).groupBy("file").agg(F.count("*").alias("n")), amounts.filter(F.col("kind").isin(*kinds)).groupBy("file").agg(*both_sums()))
-        out += of_declared(both, section, codes)
-        if section == "openingBalance":
-            out.append(O.finding(both.filter("d <> c"), "XAF5013", WARNING, say("the lines of the opening balance do not balance"), file=F.col("file"), line=F.col("line")))
+        out.append(of_declared(both, section, codes))
     return out
 
 
@@ -210,7 +218,7 @@ def of_fixed_totals(files: Files) -> list[DataFrame]:
     sums = [F.coalesce(F.sum(parse_adf_amount(field(n))), F.lit(0)).cast(WIDE).alias(a) for n, a in (("debet", "written_debit"), ("credit", "written_credit"))]
     heads = files.of("adfHeader").select("file", "line", parse_int(field("aantalMutaties")).alias("count"), parse_adf_amount(field("tellingDebet")).alias("debit"), parse_adf_amount(field("tellingCredit")).alias("credit"))
     lines = files.of("adfLine").groupBy("file")
-    return of_declared(against(heads, lines.agg(F.count("*").alias("n")), lines.agg(*sums)), "header", ("XAF5007", "XAF5008", None, "XAF5012"))
+    return [of_declared(against(heads, lines.agg(F.count("*").alias("n")), lines.agg(*sums)), "header", ("XAF5007", "XAF5008", None, "XAF5012", None))]
 
 
 def all_findings(files: Files, fixed_width: bool = False, chart_release: str | None = None) -> DataFrame:

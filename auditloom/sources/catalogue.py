@@ -92,3 +92,8 @@ def read_schema(path: str) -> list[tuple]:
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(read_schema(path), SCHEMA)
+
+
+def vocabulary(path: str) -> frozenset[str]:
+    """The element names of a schema file, to tell versions by."""
+    return frozenset(row[1] for row in read_schema(path))

@@ -7,7 +7,7 @@ their place (ord), their parent's place (up), their path and line, so nothing ne
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -118,13 +118,15 @@ def parse_xml(file: str, data: bytes, leaves: bool) -> Iterator[Row]:
     yield from out
 
 
-def parse_file(file: str, data: bytes, encoding: str | None, repair: frozenset[str], most: int | None, leaves: bool) -> Iterator[Row]:
+def parse_file(file: str, data: bytes, encoding: str | None, repair: frozenset[str], most: int | None, leaves: bool, vocabularies: dict[str, frozenset[str]] | None = None) -> Iterator[Row]:
     """All rows of a document: what it is, what was noted, its records, and why it ended early if it did."""
     try:
         data, packed = content.decompressed(data, file, most)
         adf = formats.ADF_MARK in data[:64]
         text, used, notes = (data, encoding or "cp1252", []) if adf else content.utf8(data, encoding, repair)
-        kind = formats.detect(text[: 1 << 16], "cp1252" if adf else "utf-8") | {"encoding": used, "compression": packed}
+        kind = formats.detect(text[: 1 << 16], "cp1252" if adf else "utf-8", vocabularies) | {"encoding": used, "compression": packed}
+        if not encoding and formats.forbidden(kind["version"], used):
+            notes.append(("XAF1003", f"the version doesn't allow the encoding {used}"))
         if not adf and not kind["continuation"] and not text[:1024].lstrip().startswith(b"<?xml"):
             notes.append(("XAF1002", "no XML declaration"))
         if packed:
@@ -138,13 +140,16 @@ def parse_file(file: str, data: bytes, encoding: str | None, repair: frozenset[s
 
 
 def read(
-    spark: SparkSession, paths: str | list[str], *, encoding: str | None = None, repair: frozenset[str] = frozenset(), max_decompressed_size: int | None = None, elements: bool = False, documents: dict[str, str] | None = None
-) -> DataFrame:
+    spark: SparkSession, paths: str | list[str], *, encoding: str | None = None, repair: frozenset[str] = frozenset(), max_decompressed_size: int | None = None, elements: bool = False, documents: dict[str, str] | None = None,
+    vocabularies: dict[str, Iterable[str]] | None = None,
+) -> DataFrame:
     """The rows (see SCHEMA) of audit files on any file system that Spark reads; a task parses one document at a time.
 
     documents maps the names of continuation files to the document they are parts of; its parts are joined by name order, and
-    only these go through a shuffle. A file that can't be read further ends in a note and never fails the job.
+    only these go through a shuffle. A file that can't be read further ends in a note and never fails the job. vocabularies (element
+    names by version) tell the version of files whose namespace doesn't.
     """
+    known_names = {v: frozenset(names) for v, names in (vocabularies or {}).items()}
     if unknown := set(repair) - content.REPAIRS:
         raise ValueError(f"unknown repairs: {sorted(unknown)}")
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
@@ -168,7 +173,7 @@ def read(
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield from batches_of(parse_file(path, data.as_py(), encoding, frozenset(repair), max_decompressed_size, elements))
+                yield from batches_of(parse_file(path, data.as_py(), encoding, frozenset(repair), max_decompressed_size, elements, known_names))
 
     if not documents:
         return files.mapInArrow(parsed, SCHEMA)
@@ -180,7 +185,7 @@ def read(
         rows = sorted(zip(table.column("name").to_pylist(), table.column("content").to_pylist(), strict=True))
         data = b"".join(re.sub(rb"^(\xef\xbb\xbf)?(\s*<\?xml.*?\?>)?(\s*<!--.*?-->)*", b"", d, flags=re.S) if k else d for k, (_, d) in enumerate(rows))
         document = table.column("document")[0].as_py()
-        made = list(batches_of(parse_file(document, data, encoding, frozenset(repair), max_decompressed_size, elements)))
+        made = list(batches_of(parse_file(document, data, encoding, frozenset(repair), max_decompressed_size, elements, known_names)))
         if wrong := formats.misnumbered([d for _, d in rows]):
             made.append(as_batch([(document, NOTE, 2**61, None, None, None, {"code": "XAF3009", "message": f"continuation files are numbered inconsistently: {wrong}"})]))
         return pa.Table.from_batches(made)

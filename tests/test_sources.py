@@ -7,7 +7,7 @@ import zipfile
 import pytest
 
 from auditloom.operators import references, totals
-from auditloom.sources import records
+from auditloom.sources import formats, records
 from auditloom.sources.ledger import open_files
 
 SPACE = "http://www.odb.belastingdienst.nl/Belastingdienst/BCPP/1.1/structures/XmlauditfileXAF_4.0"
@@ -65,7 +65,7 @@ def test_containers_and_encodings_read_alike(spark, tmp_path, pack):
     (tmp_path / "a.xaf").write_bytes(data)
     files = open_files(spark, str(tmp_path / "a.xaf"))
     assert {r.description for r in files.ledger().accounts.collect()} == {"Débiteuren", "Omzet"}
-    assert notes(files) == {"gzip": {"XAF1020"}, "zip": {"XAF1020"}, "latin1": set(), "utf16": {"XAF1001"}, "mark": {"XAF1001"}}[pack]
+    assert notes(files) == {"gzip": {"XAF1020"}, "zip": {"XAF1020"}, "latin1": set(), "utf16": {"XAF1001", "XAF1003"}, "mark": {"XAF1001"}}[pack]
 
 
 @pytest.mark.parametrize(
@@ -118,3 +118,23 @@ def test_fixed_width_lines_form_transactions(spark, tmp_path):
     ledger = open_files(spark, str(tmp_path / "old.adf")).fixed_width()
     assert ledger.transactions.count() == 2
     assert [(str(r.written_debit), str(r.written_credit)) for r in totals.unbalanced(ledger.lines).collect()] == [("5.00", "4.00")]
+
+
+def test_versions_are_told_by_their_vocabulary():
+    names = {"3.1": frozenset("auditfile header company trLine nr".split()), "4.0": frozenset("auditfile header company trLine nr RGScode Commercenr".split()), "CLAIR2": frozenset("auditfile header line recordID".split())}
+    say = lambda root, *inside: f"<auditfile{root}><header/><company><{'/><'.join(inside)}/></company></auditfile>".encode()
+    told = lambda *args: (lambda d: (d["version"], d["confidence"], d["status"]))(formats.detect(say(*args), "utf-8", names))
+    assert told("", "RGScode") == ("4.0", "0.5", "none") and told("", "trLine") == ("3.1", "0.5", "none")
+    assert told(' xmlns="urn:x"', "RGScode", "other") == ("4.0", "0.3", "unknown")
+    official, bogus = ' xmlns="http://www.auditfiles.nl/XAF/3.1"', ' xmlns="HTTP://www.auditfiles.nl/XAF/4.0/"'
+    assert told(official, "trLine") == ("3.1", "1.0", "official") and told(official, "RGScode") == ("3.1", "0.6", "official")
+    assert told(bogus, "RGScode") == ("4.0", "0.7", "known-bogus") and told(bogus, "recordID")[0] == "4.0"
+    assert formats.detect(say("", "trLine"), "utf-8")["version"] == "3.2"
+
+
+def test_encodings_that_a_version_forbids(spark, tmp_path):
+    text = audit_file(GOOD)
+    (tmp_path / "w.xaf").write_bytes(text.replace('encoding="UTF-8"', 'encoding="windows-1252"').encode("cp1252"))
+    (tmp_path / "l.xaf").write_bytes(text.replace('encoding="UTF-8"', 'encoding="ISO-8859-1"').encode("latin-1"))
+    assert notes(open_files(spark, str(tmp_path / "w.xaf"))) == {"XAF1003"} and notes(open_files(spark, str(tmp_path / "l.xaf"))) == set()
+    assert notes(open_files(spark, str(tmp_path / "w.xaf"), encoding="cp1252")) == {"XAF1004"}
