@@ -374,55 +374,102 @@ def answers(rows: list[tuple], *columns: str) -> str:
     return f"select {', '.join(casts)} from (values {made}) v({', '.join(names)})"
 
 
-AMOUNTS = [("121", "121"), ("609.90", "609.9"), ("-12.5", "-12.5"), (" 7. ", "7"), (".5", "0.5"), ("+3", "3"), ("1e3", None), ("NaN", None), ("1,5", None), ("", None), ("--1", None), ("1 2", None), ("1.000.0", None)]
-QUERIES["parse_amounts"] = over([a for a, _ in AMOUNTS], amount=values.parse_amount, inexact=lambda t: F.coalesce(values.inexact(t), F.lit(False)))
-ORACLES["parse_amounts"] = answers([(a, b, False) for a, b in AMOUNTS], "amount decimal(28,8)", "inexact boolean")
-DATES = [("2024-01-31", "2024-01-31", False), ("2024-02-30", None, False), ("2024-1-5", None, False), ("2024", None, False), ("2024-03-01Z", "2024-03-01", True), ("2024-03-01+14:00", "2024-03-01", True), ("2024-03-01+14:01", None, False), (" 2024-03-01 ", "2024-03-01", False), ("01-02-2024", None, False), ("", None, False)]
-QUERIES["parse_dates"] = over([d[0] for d in DATES], date=values.parse_date, zone=values.had_zone)
-ORACLES["parse_dates"] = answers(DATES, "date date", "zone boolean")
-INTS = [("12", "12"), ("+7", "7"), ("-003", "-3"), ("1.0", None), ("", None), ("x", None), ("99999999999999999999", None)]
-QUERIES["parse_ints"] = over([i for i, _ in INTS], number=values.parse_int)
-ORACLES["parse_ints"] = answers(INTS, "number bigint")
-DOUBLES = [("21", "21", True), ("2.1E1", "21", True), ("-1e-2", "-0.01", True), ("INF", None, True), ("NaN", None, True), ("1e401", None, True), ("1e", None, False), ("1,0", None, False)]
-QUERIES["parse_doubles"] = over([d[0] for d in DOUBLES], number=values.parse_double, valid=values.is_double)
-ORACLES["parse_doubles"] = answers(DOUBLES, "number decimal(38,18)", "valid boolean")
-ADF = [("10.239,87", "10239.87"), ("10239,87", "10239.87"), ("10239.87", "10239.87"), ("1023987", "10239.87"), ("-1,00", "-1"), ("100-", "-1"), ("1,0", None), ("", None), ("abc", None), ("12,345", None)]
-QUERIES["adf_amounts"] = over([a for a, _ in ADF], amount=values.parse_adf_amount)
-ORACLES["adf_amounts"] = answers(ADF, "amount decimal(28,2)")
-ADF_DATES = [("31-01-1999", "1999-01-31"), ("31011999", "1999-01-31"), ("1999-01-31", None), ("30-02-1999", None), ("", None)]
-QUERIES["adf_dates"] = over([a for a, _ in ADF_DATES], date=values.parse_adf_date)
-ORACLES["adf_dates"] = answers(ADF_DATES, "date date")
-TEXTS = [("  a b ", "a b"), (" x ", "x"), ("\t\n", None), ("", None), ("y", "y")]
-QUERIES["strip_text"] = over([t for t, _ in TEXTS], clean=values.clean)
-ORACLES["strip_text"] = answers(TEXTS, "clean varchar")
-JOURNALS = [("B", "bank"), ("c", "cash"), ("Z", "other"), ("Bankboek", "bank"), ("kasboek", "cash"), ("Inkoopboek", "purchases"), ("Beginbalans", "opening"), ("Verkoop NL", "sales"), ("q", "unknown"), ("", "unknown")]
+# texts in every form that a value can be written in are made from the columns of orders, by the order's key
+PRICE_SQL, DAY_SQL = "cast(cast(o_totalprice as decimal(20,2)) as varchar)", "strftime(cast(o_orderdate as date), '%Y-%m-%d')"
+
+
+def written(spark: SparkSession, folder: str, value: Column, *forms: Callable[[Column], Column]) -> DataFrame:
+    """o_orderkey and text: the value in the form that the key chooses."""
+    k = F.col("o_orderkey") % len(forms)
+    text = F.coalesce(*[F.when(k == n, form(value)) for n, form in enumerate(forms)])
+    return spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", text.alias("text"))
+
+
+def price() -> Column:
+    return F.col("o_totalprice").cast("decimal(20,2)").cast("string")
+
+
+def day() -> Column:
+    return F.col("o_orderdate").cast("date").cast("string")
+
+
+@on_tables(f"""select o_orderkey, text, case when k in (0, 1, 2) then cast(p as decimal(28,8)) when k = 5 then -cast(p as decimal(28,8)) end amount, false inexact from (select o_orderkey, o_orderkey % 6 k, {PRICE_SQL} p,
+case o_orderkey % 6 when 0 then {PRICE_SQL} when 1 then '+' || {PRICE_SQL} when 2 then '  ' || {PRICE_SQL} || chr(9) when 3 then replace({PRICE_SQL}, '.', ',') when 4 then {PRICE_SQL} || 'e0' else '-' || {PRICE_SQL} || '0000' end text from orders)""")
+def parse_amounts(spark: SparkSession, folder: str) -> DataFrame:
+    forms = (lambda p: p, lambda p: F.concat(F.lit("+"), p), lambda p: F.concat(F.lit("  "), p, F.lit("\t")), lambda p: F.translate(p, ".", ","), lambda p: F.concat(p, F.lit("e0")), lambda p: F.concat(F.lit("-"), p, F.lit("0000")))
+    return written(spark, folder, price(), *forms).select("o_orderkey", "text", values.parse_amount(F.col("text")).alias("amount"), F.coalesce(values.inexact(F.col("text")), F.lit(False)).alias("inexact"))
+
+
+@on_tables(f"""select o_orderkey, text, case when k < 3 then cast(o_orderdate as date) end date, k in (1, 2) as zone from (select o_orderkey, o_orderdate, o_orderkey % 5 k,
+case o_orderkey % 5 when 0 then {DAY_SQL} when 1 then {DAY_SQL} || 'Z' when 2 then {DAY_SQL} || '-02:30' when 3 then strftime(cast(o_orderdate as date), '%d-%m-%Y') else {DAY_SQL} || '+15:00' end text from orders)""")
+def parse_dates(spark: SparkSession, folder: str) -> DataFrame:
+    turned = lambda d: F.concat_ws("-", F.substring(d, 9, 2), F.substring(d, 6, 2), F.substring(d, 1, 4))
+    forms = (lambda d: d, lambda d: F.concat(d, F.lit("Z")), lambda d: F.concat(d, F.lit("-02:30")), turned, lambda d: F.concat(d, F.lit("+15:00")))
+    return written(spark, folder, day(), *forms).select("o_orderkey", "text", values.parse_date(F.col("text")).alias("date"), F.coalesce(values.had_zone(F.col("text")), F.lit(False)).alias("zone"))
+
+
+@on_tables("""select o_orderkey, text, case when k < 3 then cast(o_orderkey as bigint) * case when k = 2 then -1 else 1 end end number from (select o_orderkey, o_orderkey % 4 k,
+case o_orderkey % 4 when 0 then cast(o_orderkey as varchar) when 1 then '+00' || cast(o_orderkey as varchar) when 2 then ' -' || cast(o_orderkey as varchar) else cast(o_orderkey as varchar) || '.0' end text from orders)""")
+def parse_ints(spark: SparkSession, folder: str) -> DataFrame:
+    forms = (lambda n: n, lambda n: F.concat(F.lit("+00"), n), lambda n: F.concat(F.lit(" -"), n), lambda n: F.concat(n, F.lit(".0")))
+    return written(spark, folder, F.col("o_orderkey").cast("string"), *forms).select("o_orderkey", "text", values.parse_int(F.col("text")).alias("number"))
+
+
+@on_tables(f"""select o_orderkey, text, cast(case k when 0 then cast(p as decimal(20,2)) * 10 when 1 then cast(p as decimal(20,2)) end as decimal(38,18)) number, k < 3 as valid from (select o_orderkey, o_orderkey % 4 k, {PRICE_SQL} p,
+case o_orderkey % 4 when 0 then {PRICE_SQL} || 'E1' when 1 then {PRICE_SQL} when 2 then '-INF' else {PRICE_SQL} || 'e' end text from orders)""")
+def parse_doubles(spark: SparkSession, folder: str) -> DataFrame:
+    forms = (lambda p: F.concat(p, F.lit("E1")), lambda p: p, lambda p: F.lit("-INF"), lambda p: F.concat(p, F.lit("e")))
+    return written(spark, folder, price(), *forms).select("o_orderkey", "text", values.parse_double(F.col("text")).alias("number"), values.is_double(F.col("text")).alias("valid"))
+
+
+@on_tables(f"""select o_orderkey, text, cast(case when k < 3 then cast(p as decimal(20,2)) when k = 3 then -cast(p as decimal(20,2)) end as decimal(28,2)) amount from (select o_orderkey, o_orderkey % 5 k, {PRICE_SQL} p,
+case o_orderkey % 5 when 0 then {PRICE_SQL} when 1 then replace({PRICE_SQL}, '.', ',') when 2 then replace({PRICE_SQL}, '.', '') when 3 then {PRICE_SQL} || '-' else {PRICE_SQL} || '5' end text from orders)""")
+def adf_amounts(spark: SparkSession, folder: str) -> DataFrame:
+    forms = (lambda p: p, lambda p: F.translate(p, ".", ","), lambda p: F.translate(p, ".", ""), lambda p: F.concat(p, F.lit("-")), lambda p: F.concat(p, F.lit("5")))
+    return written(spark, folder, price(), *forms).select("o_orderkey", "text", values.parse_adf_amount(F.col("text")).alias("amount"))
+
+
+@on_tables(f"""select o_orderkey, text, case when k < 2 then cast(o_orderdate as date) end date from (select o_orderkey, o_orderdate, o_orderkey % 3 k,
+case o_orderkey % 3 when 0 then strftime(cast(o_orderdate as date), '%d-%m-%Y') when 1 then strftime(cast(o_orderdate as date), '%d%m%Y') else {DAY_SQL} end text from orders)""")
+def adf_dates(spark: SparkSession, folder: str) -> DataFrame:
+    turned = lambda d, by: F.concat_ws(by, F.substring(d, 9, 2), F.substring(d, 6, 2), F.substring(d, 1, 4))
+    return written(spark, folder, day(), lambda d: turned(d, "-"), lambda d: turned(d, ""), lambda d: d).select("o_orderkey", "text", values.parse_adf_date(F.col("text")).alias("date"))
+
+
+@on_tables("""select c_custkey, case when c_custkey % 7 <> 0 then c_name end clean from customer""")
+def strip_text(spark: SparkSession, folder: str) -> DataFrame:
+    padded = F.concat(F.lit("\u00a0 "), F.when(F.col("c_custkey") % 7 == 0, "").otherwise(F.col("c_name")), F.lit("\t\n"))
+    return spark.read.parquet(f"{folder}/customer.parquet").select("c_custkey", values.clean(padded).alias("clean"))
+
+
+JOURNALS = [("S", "sales"), ("m", "memo"), ("Kas hoofdkantoor", "cash"), ("bank 2", "bank"), ("Loonjournaal", "payroll"), ("Productiehal", "production"), ("Goederen in", "goods"), ("T", "production"), ("onbekend", "unknown"), ("  ", "unknown")]
 QUERIES["journal_kinds"] = over([j for j, _ in JOURNALS], kind=codes.journal_kind)
 ORACLES["journal_kinds"] = answers(JOURNALS, "kind varchar")
-ACCOUNTS = [("B", "balance"), ("W&V", "profit_loss"), ("M", "mixed"), ("Activa vast", "balance"), ("Kosten", "profit_loss"), ("x", "unknown"), (" p ", "profit_loss"), ("", "unknown")]
+ACCOUNTS = [("w", "profit_loss"), ("Balans", "balance"), ("gemengd", "mixed"), ("Opbrengsten 2020", "profit_loss"), ("passiva kort", "balance"), ("p&l", "profit_loss"), ("overig", "unknown")]
 QUERIES["account_kinds"] = over([a for a, _ in ACCOUNTS], kind=codes.account_kind)
 ORACLES["account_kinds"] = answers(ACCOUNTS, "kind varchar")
-RELATIONS = [("B", "both"), ("D", "customer"), ("f", "supplier"), ("O", "other"), ("Debiteur/crediteur", "both"), ("klant", "customer"), ("Vendor", "supplier"), ("beide", "both"), ("?", "unknown"), ("", "unknown")]
+RELATIONS = [("c", "customer"), ("S", "supplier"), ("Leverancier hout", "supplier"), ("afnemer", "customer"), ("klant en leverancier", "both"), ("o", "other"), ("partner", "unknown")]
 QUERIES["relation_kinds"] = over([r for r, _ in RELATIONS], kind=codes.relation_kind)
 ORACLES["relation_kinds"] = answers(RELATIONS, "kind varchar")
-RELEASES = [("3.8", "3.8"), ("RGS 3.7-def", "3.7"), ("rgs-3,07", "3.7"), ("3.5.0", "3.5"), ("none", None)]
+RELEASES = [("release 3.6", "3.6"), ("versie 3,05", "3.5"), ("3.4.0.0", "3.4"), ("nog geen", None)]
 QUERIES["rgs_releases"] = over([r for r, _ in RELEASES], release=codes.release)
 ORACLES["rgs_releases"] = answers(RELEASES, "release varchar")
-REFS = [("BIvaKouVvp", "BIvaKouVvp", None, False), ("WOmzNop.01", "WOmzNop", "01", False), ("0000", None, None, True), ("n.v.t.", None, None, True), ("1234", None, None, False), (" BLim-X ", "BLim", "X", False)]
+REFS = [("BVooGroMat", "BVooGroMat", None, False), ("WKosHui-07", "WKosHui", "07", False), ("nvt", None, None, True), ("77", None, None, False), (" WKos.A ", "WKos", "A", False)]
 QUERIES["rgs_refs"] = over([r[0] for r in REFS], code=codes.rgs_code, extension=codes.rgs_extension, placeholder=codes.rgs_placeholder)
 ORACLES["rgs_refs"] = answers(REFS, "code varchar", "extension varchar", "placeholder boolean")
 
-# ---- reference chart, over literal codes
-CHART = [("B", 1), ("BIva", 2), ("BIvaKou", 3), ("BIvaKouVvp", 4), ("W", 1), ("WOmz", 2), ("WOmzNop", 3), ("WOmzNopNod", 4)]
-RENAMES = [("WOmzNopOud", "WOmzNopNod"), ("BMvaOld", "BIvaKouVvp")]
+# ---- reference chart, over invented codes
+CHART = [("B", 1), ("BVoo", 2), ("BVooGro", 3), ("BVooGroMat", 4), ("BVooGroMatHou", 5), ("W", 1), ("WKos", 2), ("WKosHui", 3), ("WKosHuiHur", 4)]
+RENAMES = [("WKosPan", "WKosHuiHur"), ("BVooHou", "BVooGroMatHou")]
 CHART_SQL = "chart(code, level) as (values {}), renames(old, new) as (values {}), refs as (select distinct id, rgs_code code from ({}))".format(
     ", ".join(f"('{c}', {n})" for c, n in CHART), ", ".join(f"('{a}', '{b}')" for a, b in RENAMES),
-    "select cast(p_partkey as varchar) id, case p_size % 5 when 0 then 'BIvaKouVvp' when 1 then 'WOmzNopOud' when 2 then 'BIvaXyz' when 3 then 'WOmz' else 'WOmzNopNod' end rgs_code from part",
+    "select cast(p_partkey as varchar) id, case p_size % 5 when 0 then 'BVooGroMat' when 1 then 'WKosPan' when 2 then 'BVooNie' when 3 then 'WKos' else 'WKosHuiHur' end rgs_code from part",
 )
 
 
 def chart_of(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     size = F.col("p_size") % 5
-    code = F.when(size == 0, "BIvaKouVvp").when(size == 1, "WOmzNopOud").when(size == 2, "BIvaXyz").when(size == 3, "WOmz").otherwise("WOmzNopNod")
+    code = F.when(size == 0, "BVooGroMat").when(size == 1, "WKosPan").when(size == 2, "BVooNie").when(size == 3, "WKos").otherwise("WKosHuiHur")
     refs = spark.read.parquet(f"{folder}/part.parquet").select(F.col("p_partkey").cast("string").alias("id"), code.alias("code"))
     return refs, spark.createDataFrame(CHART, "code string, level int"), spark.createDataFrame(RENAMES, "old string, new string")
 

@@ -30,18 +30,18 @@ def workbook(path, sheets: dict[str, list[list[str | None]]], extra: str = "") -
         z.writestr("xl/sharedStrings.xml", f"<sst {NS}>" + "".join(f"<si><t>{escape(s)}</t></si>" for s in shared) + "</sst>")
 
 
-MAIN = [["Chart", None], ["Referentiecode", "Omschrijving", "Nivo", "Basis", "ZZP"], ["B", "Balans", "1", "1", None], ["BIva", "Vaste activa", "2", "1", "nee"], ["BIvaKou", "Kosten", "3", None, "1"], ["BIvaKouVvp", "Waarde", "4", None, None], ["BIva", "again", "2", None, None], [None, "Totaal", None, None, None]]
-COMPARED = [["Referentiecode", "Referentiecode", "Referentiecode"], ["BMvaOld", "BIvaKouVvp", "BIvaKouVvp"], ["BIva", "BIva", "BIva"]]
+MAIN = [["Chart", None], ["Referentiecode", "Omschrijving", "Nivo", "Basis", "ZZP"], ["B", "Balans", "1", "1", None], ["BVoo", "Voorraden", "2", "1", "nee"], ["BVooGro", "Grondstoffen", "3", None, "1"], ["BVooGroMat", "Waarde", "4", None, None], ["BVoo", "again", "2", None, None], [None, "Totaal", None, None, None]]
+COMPARED = [["Referentiecode", "Referentiecode", "Referentiecode"], ["BVooHou", "BVooGroMat", "BVooGroMat"], ["BVoo", "BVoo", "BVoo"]]
 
 
 def test_chart_renames_and_checks(spark, tmp_path):
     path = tmp_path / "chart.xlsx"
     workbook(path, {"Uitleg": [["text"]], "Totaal": MAIN, "Vergelijking": COMPARED})
     chart, renames = load_chart(spark, str(path))
-    assert {(r.code, r.level, tuple(r.entities)) for r in chart.collect()} == {("B", 1, ("Basis",)), ("BIva", 2, ("Basis",)), ("BIvaKou", 3, ("ZZP",)), ("BIvaKouVvp", 4, ())}
-    assert [(r.old, r.new) for r in renames.collect()] == [("BMvaOld", "BIvaKouVvp")]
-    refs = spark.createDataFrame([("1", "BIvaKouVvp"), ("2", "BMvaOld"), ("3", "BIvaXyz"), ("4", "BIva"), ("5", None)], "id string, code string")
-    assert {(r.id, r.finding, r.hint) for r in rgs.checked(refs, chart, renames).collect()} == {("2", "XAF8004", "BIvaKouVvp"), ("3", "XAF8003", "BIva"), ("4", "XAF8006", "2")}
+    assert {(r.code, r.level, tuple(r.entities)) for r in chart.collect()} == {("B", 1, ("Basis",)), ("BVoo", 2, ("Basis",)), ("BVooGro", 3, ("ZZP",)), ("BVooGroMat", 4, ())}
+    assert [(r.old, r.new) for r in renames.collect()] == [("BVooHou", "BVooGroMat")]
+    refs = spark.createDataFrame([("1", "BVooGroMat"), ("2", "BVooHou"), ("3", "BVooNie"), ("4", "BVoo"), ("5", None)], "id string, code string")
+    assert {(r.id, r.finding, r.hint) for r in rgs.checked(refs, chart, renames).collect()} == {("2", "XAF8004", "BVooGroMat"), ("3", "XAF8003", "BVoo"), ("4", "XAF8006", "2")}
 
 
 def test_declarations_are_refused(spark, tmp_path):
