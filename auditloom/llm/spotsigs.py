@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import durable, lower_ascii, text_of
+from auditloom.llm.common import durable, lower_ascii, salt, text_of, told_of
 
 # FIXED VALUES: common words of English, German, French and Spanish
 COMMON = """
@@ -111,9 +111,11 @@ def edited_fingerprints(docs: DataFrame, similarity: float = SIMILARITY) -> Data
         )
     )
     is_asked = F.coalesce(F.col("doc_id") % ASKED == 0, F.lit(False))
-    sets = done.filter("fingerprint != ''").select(is_asked.alias("asked"), F.md5("fingerprint").alias("print"), F.split("fingerprint", " ").alias("spots"))
-    near = near_counts(sets, similarity)
-    found = done.filter(is_asked).join(near, F.md5("fingerprint") == F.col("q"), "left").select(*done.columns, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    sets = done.filter("fingerprint != ''").select("doc_id", is_asked.alias("asked"), F.xxhash64("fingerprint").alias("print"), "fingerprint", F.split("fingerprint", " ").alias("spots"))
+    near = near_counts(sets, similarity).select(F.md5("fingerprint").alias("key"), "n_near")
+    asked = done.filter(is_asked).withColumns({"key": F.md5("fingerprint"), "salt": salt("doc_id")})
+    parts = asked.groupBy("key", "salt").agg(F.count("*").alias("n"))
+    found = asked.join(told_of(parts, ["key"], near), ["key", "salt"], "left").select(*done.columns, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
     return found.unionByName(done.filter(~is_asked).withColumn("n_near", F.lit(None).cast("long")))
 
 
@@ -131,19 +133,23 @@ def part(n: str, similarity: float) -> Column:
 
 
 def near_counts(sets: DataFrame, similarity: float) -> DataFrame:
-    """(q, n_near) of the prints that are asked for: how many other rows of sets (asked, print, spots) are as like as that.
+    """(fingerprint, n_near) of those that are asked for: how many other rows of sets (doc_id, asked, print, fingerprint, spots) are as
+    like as that.
 
-    Equal prints are compared once.
+    Equal prints are compared once. A spot meets its like by a hash with its set's partition, so only two numbers are moved for each,
+    and by a merge at every size; what comes up by chance is told apart by the spots themselves.
     """
-    asked = durable(sets.filter("asked").select(F.col("print").alias("q"), "spots").dropDuplicates(["q"]))
-    keys = prefix(asked, "q", similarity).select("q", F.col("n").alias("nq"), "spot", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: part("n", similarity) + k)).alias("part"))
-    rows = sets.withColumn("n", F.size("spots"))
-    each = rows.select("print", "n", part("n", similarity).alias("part"), F.explode("spots").alias("spot"))
-    able = (F.col("n") >= F.col("nq") * similarity - 1e-9) & (F.col("nq") >= F.col("n") * similarity - 1e-9)
-    pairs = durable(each.join(durable(keys), ["spot", "part"]).filter(able).select("q", "print").distinct())
-    rows = rows.join(pairs.select("print").distinct(), "print", "left_semi").groupBy("print").agg(F.count("*").alias("rows"), F.first("spots").alias("x"))
-    found = pairs.join(rows, "print").join(asked.withColumnRenamed("spots", "y"), "q").filter(likeness("x", "y") >= similarity)
-    return found.groupBy("q").agg((F.sum("rows") - 1).alias("n_near"))
+    asked = durable(sets.filter("asked").select(F.col("print").alias("q"), "fingerprint", "spots").dropDuplicates(["fingerprint"]))
+    parts = F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: part("n", similarity) + k)
+    keys = durable(prefix(asked.select("q", "spots"), "q", similarity).select("q", "spot", F.explode(parts).alias("part")).select("q", F.xxhash64("spot", "part").alias("key")))
+    rows = sets.withColumn("part", F.floor(F.log(F.size("spots")) / -F.log(F.lit(similarity))).cast("int"))
+    each = rows.select("print", F.explode(F.transform("spots", lambda x: F.xxhash64(x, F.col("part")))).alias("key"))
+    pairs = durable(each.hint("merge").join(keys.hint("merge"), "key").select("q", "print").distinct())
+    some = sets.select("doc_id", "print", "spots", salt("doc_id"))
+    wanted = told_of(some.groupBy("print", "salt").agg(F.count("*").alias("n")), ["print"], pairs.select("print").distinct())
+    some = some.join(wanted, ["print", "salt"], "left_semi").groupBy("print", "spots").agg(F.count("*").alias("rows")).withColumnRenamed("spots", "x")
+    found = pairs.join(some, "print").join(asked.withColumnRenamed("spots", "y"), "q").filter(likeness("x", "y") >= similarity)
+    return found.groupBy("fingerprint").agg((F.sum("rows") - 1).alias("n_near"))
 
 
 def near_pairs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
