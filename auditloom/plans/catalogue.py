@@ -119,7 +119,7 @@ def accounts_used(ledger: Ledger) -> DataFrame:
 # ---- opening balance
 def opening_lines(ledger: Ledger) -> DataFrame:
     kinds = tables.journals(ledger).select(F.col("id").alias("journal_id"), F.col("journal_kind").alias("kind"))
-    heads = ledger.transactions.join(F.broadcast(kinds), "journal_id", "left").filter(OPENING).select("tx", "journal_id")
+    heads = ledger.transactions.join(kinds, "journal_id", "left").filter(OPENING).select("tx", "journal_id")
     return totals.signed_lines(ledger.lines).join(heads, "tx")
 
 
