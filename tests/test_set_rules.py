@@ -112,6 +112,6 @@ def test_the_year_is_that_of_the_first_file(spark, tmp_path):
     ledger = files.ledger()
     known = set_rules.facts(files, ledger)
     for first in ledger.header.orderBy(F.desc("start_date")), ledger.header.orderBy("start_date"):
-        found = reduce(DataFrame.unionByName, of_ledger(replace(ledger, header=first), known)).filter("code in ('XAF7002', 'XAF7010')")
+        found = reduce(DataFrame.unionByName, of_ledger(files, replace(ledger, header=first), known)).filter("code in ('XAF7002', 'XAF7010')")
         assert {(r.code, r.value or r.message.split()[0]) for r in found.collect()} == {("XAF7002", "2023-03-01"), ("XAF7010", "2")}
     files.rows.unpersist()
