@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import html_extract, licences, mixing, neardup, packing, pii, quality, spotsigs, substrings, token_counts
+from auditloom.llm import fill_middle, html_extract, licences, mixing, neardup, packing, pii, quality, spotsigs, substrings, token_counts
 from auditloom.llm.common import table
 
 
@@ -53,10 +53,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.cut(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_licence_scan, op2_html_extraction, op3_mixing, op4_packing, op5_token_counts, op6_minhash, op7_spotsigs, op8_suffix_dedup, op9_quality_rules, op10_pii]
+    found = [op1_licence_scan, op2_html_extraction, op3_mixing, op4_packing, op5_token_counts, op6_minhash, op7_spotsigs, op8_suffix_dedup, op9_quality_rules, op10_pii, op11_fill_middle]
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licence_scan": licences.sql(), "op7_spotsigs": spotsigs.SQL, "op9_quality_rules": quality.SQL}
+    return {"op1_licence_scan": licences.sql(), "op7_spotsigs": spotsigs.SQL, "op9_quality_rules": quality.SQL, "op11_fill_middle": fill_middle.SQL}
