@@ -71,39 +71,58 @@ def sniff(data: bytes) -> tuple[str, bool, str | None]:
     return name or "utf-8", False, name
 
 
-def utf8(data: bytes, encoding: str | None, repair: frozenset[str]) -> tuple[bytes, str, list[tuple[str, str]]]:
-    """(UTF-8 bytes without mark, encoding used, what was noted on the way as (code, message))."""
-    used, marked, declared = sniff(data)
+def settled(head: bytes, encoding: str | None) -> tuple[str, list[tuple[str, str]]]:
+    """(encoding to read with, what was noted about it as (code, message)), from the first bytes of a file."""
+    used, marked, _ = sniff(head)
     notes = [("XAF1001", "the file has a byte-order mark")] if marked else []
     if encoding:
         used = encoding
         notes.append(("XAF1004", f"read as {encoding}, as asked for"))
     try:
-        used = codecs.lookup(used).name
+        return codecs.lookup(used).name, notes
     except LookupError:
-        notes.append(("XAF1003", f"unknown encoding {used}"))
-        used = "utf-8"
-    if used == "iso8859-1" and re.search(rb"[\x80-\x9f]", data):
-        if "latin1-as-cp1252" in repair:
-            used = "cp1252"
-            notes.append(("XAF1011", "read as windows-1252"))
-        else:
-            notes.append(("XAF1005", "declared ISO-8859-1, but holds bytes that only windows-1252 has"))
+        return "utf-8", [*notes, ("XAF1003", f"unknown encoding {used}")]
+
+
+def without_mark(data: bytes, used: str) -> bytes:
     for mark, name in MARKS:
         if data.startswith(mark) and used in (name, "utf-8", "utf-16"):
             data = data[len(mark) :]
+    return data
+
+
+def converted(data: bytes, used: str, repair: frozenset[str]) -> tuple[bytes, dict[str, int]]:
+    """(UTF-8 bytes of data or of any part of it that begins and ends between characters, counts of what was met and mended)."""
+    counts = dict.fromkeys(("c1", "lost", "control", "bare"), 0)
+    if used == "iso8859-1" and re.search(rb"[\x80-\x9f]", data):
+        counts["c1"] = 1
+        used = "cp1252" if "latin1-as-cp1252" in repair else used
     text = data.decode(used, "replace")
-    lost = text.count("�") - (data.count("�".encode()) if used == "utf-8" else 0)
-    if lost > 0:
-        notes.append(("XAF1006", f"{lost} undecodable bytes were replaced"))
+    counts["lost"] = max(0, text.count("\ufffd") - (data.count("\ufffd".encode()) if used == "utf-8" else 0))
     out = text.encode()
     if "control-chars" in repair:
         kept = out.translate(None, CONTROL)
-        if len(kept) < len(out):
-            notes.append(("XAF1010", f"removed {len(out) - len(kept)} control characters"))
+        counts["control"] = len(out) - len(kept)
         out = kept
     if "bare-ampersand" in repair:
-        out, n = BARE.subn(b"&amp;", out)
-        if n:
-            notes.append(("XAF1012", f"escaped {n} bare ampersands"))
-    return out, used, notes
+        out, counts["bare"] = BARE.subn(b"&amp;", out)
+    return out, counts
+
+
+def counted(counts: dict[str, int], repair: frozenset[str]) -> list[tuple[str, str]]:
+    """Notes from the counts of a whole file."""
+    c1 = ("XAF1011", "read as windows-1252") if "latin1-as-cp1252" in repair else ("XAF1005", "declared ISO-8859-1, but holds bytes that only windows-1252 has")
+    said = {
+        "c1": c1,
+        "lost": ("XAF1006", f"{counts['lost']} undecodable bytes were replaced"),
+        "control": ("XAF1010", f"removed {counts['control']} control characters"),
+        "bare": ("XAF1012", f"escaped {counts['bare']} bare ampersands"),
+    }
+    return [note for name, note in said.items() if counts[name]]
+
+
+def utf8(data: bytes, encoding: str | None, repair: frozenset[str]) -> tuple[bytes, str, list[tuple[str, str]]]:
+    """(UTF-8 bytes without mark, encoding used, what was noted on the way as (code, message))."""
+    used, notes = settled(data, encoding)
+    out, counts = converted(without_mark(data, used), used, repair)
+    return out, "cp1252" if counts["c1"] and "latin1-as-cp1252" in repair else used, notes + counted(counts, repair)
