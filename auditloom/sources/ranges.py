@@ -33,76 +33,66 @@ TOKEN = re.compile(rb"""(?s)<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<\?.*?(
 #: what a chunk may end within: its mark, how it ends, what the next chunk is to begin with
 OPEN = ((b"<!--", b"-->", b"<!--"), (b"<![CDATA[", b"]]>", b"<![CDATA["), (b"<?", b"?>", b"<?x "))
 LEADING = re.compile(rb"^(\xef\xbb\xbf)?(\s*<\?xml.*?\?>)?(\s*<!--.*?-->)*", re.S)
-KEY = ("document", "part", "block", "seq")
-CUT = "document string, part string, block long, seq int, size long, bytes long, data binary"
+#: A chunk is known by its file's number, the block that it lies in and its place there.
+KEY = ("id", "block", "seq")
+CUT = "id long, block long, seq int, bytes long, data binary"
 SUMMARY = (
-    "document string, part string, block long, seq int, size long, bytes long, carried binary, carries binary, closer binary, aside int, starts long, lines long, text long, closes long, ends int, "
+    "id long, block long, seq int, bytes long, carried binary, carries binary, closer binary, aside int, starts long, lines long, led long, text long, closes long, ends int, "
     "opens array<struct<name: binary, ord: long, line: long, inner: boolean>>, head binary, follows string"
 )
 START = (
-    "document string, part string, block long, seq int, at int, stale boolean, whole boolean, carried binary, closer binary, aside int, "
+    "id long, block long, seq int, document string, later boolean, at int, stale boolean, whole boolean, carried binary, closer binary, aside int, "
     "stack array<struct<name: string, ord: long, line: long, inner: boolean>>, ord long, line long, text long, closed boolean, last boolean, encoding string, wrong string, parts int"
 )
 PLACED = f"{records.SCHEMA}, at int"
 COUNT = "#count"
 
 
-def pieces_of(spark: SparkSession, paths: str | list[str], wanted: Column, document: Column) -> DataFrame:
-    """The wanted files as written chunks (CUT): document, the file's name as part, its block and the chunk's place there."""
-    path, name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
+def numbered(name: Column) -> Column:
+    """A file's number: one for each path."""
+    return F.xxhash64(name).alias("id")
+
+
+def pieces_of(spark: SparkSession, paths: str | list[str], wanted: Column) -> DataFrame:
+    """The wanted files as written chunks (CUT)."""
     lines = spark.read.option("lineSep", "<").text(paths).filter(wanted)
-    piece = F.concat(F.lit("<"), "value").cast("binary").alias("data")
-    lines = lines.select(piece, document.alias("document"), name.alias("part"), path.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"))
+    lines = lines.select(F.concat(F.lit("<"), "value").cast("binary").alias("data"), numbered(F.col("_metadata.file_path")), F.col("_metadata.file_block_start").alias("block"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, seq = None, [], 0
+        key, held, size, seq = None, [], 0, 0
 
         def made() -> pa.RecordBatch:
-            document_, part, _, block, size = key
             data = b"".join(held)
-            if block == 0 and seq == 0:
+            if key[1] == 0 and seq == 0:
                 data = data[1:]  # the file doesn't begin with the '<' that stands before each piece
-            return pa.RecordBatch.from_pylist([{"document": document_, "part": part, "block": block, "seq": seq, "size": size, "bytes": len(data), "data": data}], schema)
+            return pa.RecordBatch.from_pylist([{"id": key[0], "block": key[1], "seq": seq, "bytes": len(data), "data": data}], schema)
 
         for batch in batches:
-            names = [batch.column(k) for k in range(1, 6)]
+            ids, blocks = (batch.column(k).to_numpy() for k in (1, 2))
             ends = np.frombuffer(batch.column(0).buffers()[1], np.int32, len(batch) + 1, batch.column(0).offset * 4)
             bytes_ = batch.column(0).buffers()[2]
-            first = 0
-            while first < len(batch):
-                now = tuple(c[first].as_py() for c in names)
-                last = first + same_run(names, first)
+            turns = np.flatnonzero((ids[1:] != ids[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+            for first, last in zip([0, *turns.tolist()], [*turns.tolist(), len(batch)], strict=True):
+                now = int(ids[first]), int(blocks[first])
                 if now != key:
                     if held:
                         yield made()
-                    key, held, seq = now, [], 0
+                    key, held, size, seq = now, [], 0, 0
                 while first < last:
-                    room = CHUNK - sum(map(len, held))
-                    upto = min(last, max(first + 1, int(np.searchsorted(ends, ends[first] + room, "right")) - 1))
+                    upto = min(last, max(first + 1, int(np.searchsorted(ends, ends[first] + CHUNK - size, "right")) - 1))
                     held.append(bytes_[int(ends[first]) : int(ends[upto])].to_pybytes())
+                    size += len(held[-1])
                     first = upto
-                    if sum(map(len, held)) >= CHUNK or (first < last):
+                    if size >= CHUNK or first < last:
                         yield made()
-                        held, seq = [], seq + 1
+                        held, size, seq = [], 0, seq + 1
         if held:
             yield made()
 
-    schema = pa.schema([("document", pa.string()), ("part", pa.string()), ("block", pa.int64()), ("seq", pa.int32()), ("size", pa.int64()), ("bytes", pa.int64()), ("data", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("block", pa.int64()), ("seq", pa.int32()), ("bytes", pa.int64()), ("data", pa.binary())])
     return written(lines.mapInArrow(cut, CUT))
 
 
-def same_run(columns: list[pa.Array], first: int) -> int:
-    """How many rows from the first on agree with it in all columns."""
-    n = len(columns[0]) - first
-    if all(c[first] == c[len(c) - 1] for c in columns):  # a file's block is read at one go
-        return n
-    for c in (columns[3], columns[2]):  # the block, then the path: the others follow it
-        rest = c.slice(first, n)
-        other = np.flatnonzero(rest.to_numpy(zero_copy_only=False) != rest[0].as_py())
-        n = int(other[0]) if len(other) else n
-    return n
-
-
 def summarise(data: bytes, carried: bytes) -> dict:
     """What a chunk does to what is open, and what its end lies within."""
     text = carried + data
@@ -146,25 +136,28 @@ def mended(data: bytes, repair: frozenset[str]) -> bytes:
 
 
 def summaries(chunks: DataFrame, repair: frozenset[str]) -> DataFrame:
-    """The summary of every chunk (with carried, what it begins with). Continuations lose their heads here and in the parse."""
+    """The summary of every chunk (with carried, what it begins with)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 data = row.pop("data")
-                begins = row["block"] == 0 and row["seq"] == 0
-                head = data[:HEAD] if begins else None
-                said = formats.FOLLOWS.search(head) if begins else None
-                told = summarise(mended(continued(data) if begins and row.pop("later") else data, repair), row["carried"] or b"")
-                row.pop("later", None)
-                yield pa.RecordBatch.from_pylist([row | told | {"head": head, "follows": f"{int(said[1])}/{int(said[2])}" if said else None}], kinds)
-
-    kinds = pa.schema([(f.name, ARROW[f.name] if f.name in ARROW else pa.int64()) for f in chunks.sparkSession.createDataFrame([], SUMMARY).schema])
+                told = row | {"led": 0, "head": None, "follows": None} | summarise(mended(data, repair), row["carried"] or b"")
+                if row["block"] == 0 and row["seq"] == 0:
+                    said = formats.FOLLOWS.search(data[:HEAD])
+                    led = data[: len(data) - len(continued(data))].count(b"\n")
+                    told |= {"led": led, "head": data[:HEAD], "follows": f"{int(said[1])}/{int(said[2])}" if said else None}
+                yield pa.RecordBatch.from_pylist([told], kinds)
+
+    opened = pa.list_(pa.struct([("name", pa.binary()), ("ord", pa.int64()), ("line", pa.int64()), ("inner", pa.bool_())]))
+    kinds = arrow(SUMMARY, {c: pa.binary() for c in ("carried", "carries", "closer", "head")} | {c: pa.int32() for c in ("seq", "aside", "ends")} | {"follows": pa.string(), "opens": opened})
     return written(chunks.mapInArrow(each, SUMMARY))
 
 
-OPENED = pa.list_(pa.struct([("name", pa.binary()), ("ord", pa.int64()), ("line", pa.int64()), ("inner", pa.bool_())]))
-ARROW = {c: pa.string() for c in ("document", "part", "follows")} | {c: pa.binary() for c in ("carried", "carries", "closer", "head")} | {"seq": pa.int32(), "aside": pa.int32(), "ends": pa.int32(), "opens": OPENED}
+def arrow(schema: str, other: dict[str, pa.DataType]) -> pa.Schema:
+    """The columns of a schema, long but for the others named."""
+    names = [x.split()[0] for x in re.sub(r"<[^>]*>", "", schema).split(", ")]
+    return pa.schema([(n, other.get(n, pa.int64())) for n in names])
 
 
 def continued(data: bytes) -> bytes:
@@ -208,7 +201,9 @@ def scan(encoding: str | None):
             if within is not None and not r["ends"] >> within & 1:  # all of it lies within a comment or the like: nothing to learn
                 size_ = r["bytes"] if OPEN[within][0] == b"<![CDATA[" else 0
                 r = r | {"carried": carried, "carries": carried, "closer": OPEN[within][1], "aside": 0, "starts": 0, "text": size_, "closes": 0, "opens": []}
-            out.append({k: r[k] for k in KEY} | {"at": at, "stale": carried != (r["carried"] or b""), "whole": whole, "carried": carried, "closer": r["closer"], "aside": r["aside"], "stack": [dict(x) for x in stack], "ord": ord_, "line": line - carried.count(b"\n"), "text": text, "closed": closed, "last": at == len(rows) - 1, "encoding": used + ("+mark" if marked else ""), "wrong": wrong if at == len(rows) - 1 else None, "parts": len(parts)})
+            if r["led"] and r["part"] != parts[0]:  # the head of a later file is no part of the document
+                r = r | {"lines": r["lines"] - r["led"], "opens": [x | {"line": x["line"] - r["led"]} for x in r["opens"]]}
+            out.append({k: r[k] for k in KEY} | {"document": r["document"], "later": r["part"] != parts[0] and r["block"] == 0 and r["seq"] == 0, "at": at, "stale": carried != (r["carried"] or b""), "whole": whole, "carried": carried, "closer": r["closer"], "aside": r["aside"], "stack": [dict(x) for x in stack], "ord": ord_, "line": line - carried.count(b"\n"), "text": text, "closed": closed, "last": at == len(rows) - 1, "encoding": used + ("+mark" if marked else ""), "wrong": wrong if at == len(rows) - 1 else None, "parts": len(parts)})
             began = bool(stack) or closed
             if r["closes"]:
                 del stack[max(0, len(stack) - r["closes"]) :]
@@ -222,32 +217,28 @@ def scan(encoding: str | None):
             ord_, line, carried = ord_ + r["starts"], line + r["lines"], r["carries"]
         return pa.Table.from_pylist(out, kinds)
 
-    names = [x.split()[0] for x in re.sub(r"<[^>]*>", "", START).split(", ")]
     stacked = pa.list_(pa.struct([("name", pa.string()), ("ord", pa.int64()), ("line", pa.int64()), ("inner", pa.bool_())]))
-    other = {c: pa.string() for c in ("document", "part", "encoding", "wrong")} | {c: pa.bool_() for c in ("stale", "whole", "closed", "last")} | {c: pa.binary() for c in ("carried", "closer")} | {"stack": stacked} | {c: pa.int32() for c in ("seq", "at", "aside", "parts")}
-    kinds = pa.schema([(n, other.get(n, pa.int64())) for n in names])
+    other = {c: pa.string() for c in ("document", "encoding", "wrong")} | {c: pa.bool_() for c in ("later", "stale", "whole", "closed", "last")} | {c: pa.binary() for c in ("carried", "closer")} | {"stack": stacked} | {c: pa.int32() for c in ("seq", "at", "aside", "parts")}
+    kinds = arrow(START, other)
     return one
 
 
-def starts(chunks: DataFrame, encoding: str | None, repair: frozenset[str]) -> DataFrame:
+def starts(chunks: DataFrame, files: DataFrame, encoding: str | None, repair: frozenset[str]) -> DataFrame:
     """Where each chunk begins (START), from summaries that agree with it."""
-    later = F.col("part") != F.first("part").over(Window.partitionBy("document").orderBy("part"))
-    firsts = chunks.filter("block = 0 and seq = 0").select("document", "part").withColumn("later", later)
-    told = chunks.join(firsts.filter("later"), ["document", "part"], "left").withColumn("later", F.coalesce("later", F.lit(False)))
-    order = [*KEY, "size", "bytes", "carried", "later", "data"]
-    found = summaries(told.withColumn("carried", F.lit(b"")).select(*order), repair)
+    order = [*KEY, "bytes", "carried", "data"]
+    found = summaries(chunks.withColumn("carried", F.lit(b"")).select(*order), repair)
     while True:
-        begun = written(found.groupBy("document").applyInArrow(scan(encoding), START))
+        begun = written(found.join(files, "id").groupBy("document").applyInArrow(scan(encoding), START))
         stale = begun.filter("stale and not whole").select(*KEY, "carried")
         if stale.isEmpty():
             return begun
-        again = summaries(told.join(stale, list(KEY)).select(*order), repair)
+        again = summaries(chunks.join(stale, list(KEY)).select(*order), repair)
         found = written(found.join(stale.drop("carried"), list(KEY), "left_anti").unionByName(again))
 
 
 def parse(chunks: DataFrame, begun: DataFrame, repair: frozenset[str], elements: bool, vocabularies: dict[str, frozenset[str]], encoding: str | None, kinds: frozenset[str] | None) -> DataFrame:
     """The rows of all chunks, with the place of their chunk: records, notes, pieces of elements that chunks share, and counts."""
-    order = [*KEY, "at", "carried", "closer", "aside", "stack", "ord", "line", "text", "closed", "last", "encoding", "wrong", "data"]
+    order = ["document", "later", "at", "carried", "closer", "aside", "stack", "ord", "line", "text", "closed", "last", "encoding", "wrong", "data"]
     rows = chunks.join(begun.filter("not whole"), list(KEY)).select(*order)
 
     def one(r: dict) -> Iterator[records.Row]:
@@ -265,7 +256,7 @@ def parse(chunks: DataFrame, begun: DataFrame, repair: frozenset[str], elements:
             yield file, records.FILE, -1, None, None, None, {k: v for k, v in kind.items() if v is not None}
             for k, (code, message) in enumerate(notes):
                 yield file, NOTE, -2 - k, None, None, None, {"code": code, "message": message}
-        elif r["block"] == 0 and r["seq"] == 0:
+        elif r["later"]:
             data = continued(data)
         if r["wrong"]:
             yield file, NOTE, 2**61, None, None, None, {"code": "XAF3009", "message": f"continuation files are numbered inconsistently: {r['wrong']}"}
@@ -345,8 +336,10 @@ def read_ranges(
 
     wanted and document are columns over a file's _metadata. Parts of one document are taken by name.
     """
-    chunks = pieces_of(spark, paths, wanted, document)
-    begun = starts(chunks, encoding, repair)
+    chunks = pieces_of(spark, paths, wanted)
+    path, name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
+    files = spark.read.format("binaryFile").load(paths).filter(wanted).select(numbered(path), document.alias("document"), name.alias("part"), F.col("length").alias("size"))
+    begun = starts(chunks, written(files), encoding, repair)
     rows = parse(chunks, begun, repair, elements, vocabularies, encoding, kinds)
     # what stands behind the first error of a document is left out
     errors = rows.filter((F.col("kind") == NOTE) & (F.col("ord") == 2**62)).groupBy("file").agg(F.min("at").alias("stop"))
