@@ -76,7 +76,7 @@ def parse_xml(file: str, data: bytes, leaves: bool, place: Place | None = None,
     the error is raised.
 
     An element that the range doesn't hold whole gives pieces (PIECE): the fields, and the text of what may be a leaf, that lie here.
-    With kinds, only records of these kinds are made.
+    With kinds, only records of these kinds are made, and only their texts are collected (and bounded).
     """
     place = place or Place()
     out: list[Row] = []
@@ -108,6 +108,8 @@ def parse_xml(file: str, data: bytes, leaves: bool, place: Place | None = None,
         stack.append([name.rpartition(":")[2], count, at(), {}, [], False, True])
         count += 1
         size = 0
+        if kinds is not None and not leaves:  # only leaves of wanted records need their text
+            parser.CharacterDataHandler = data_ if len(stack) > 1 and stack[-2][0] in kinds else None
 
     def data_(text: str) -> None:
         nonlocal size
@@ -141,7 +143,7 @@ def parse_xml(file: str, data: bytes, leaves: bool, place: Place | None = None,
                 out.append((file, tag, ord_, up, path, line, fields))
             return
         text = "".join(texts)
-        if stack:
+        if stack and (kinds is None or stack[-1][0] in kinds):
             stack[-1][3].setdefault(tag, text)
         if leaves:
             out.append((file, LEAF, ord_, up, path, line, {"name": tag, "text": text}))
