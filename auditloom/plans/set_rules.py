@@ -17,6 +17,7 @@ from auditloom.operators import findings as O
 from auditloom.operators import references, uniqueness
 from auditloom.plans.frames import Ledger
 from auditloom.sources.ledger import Files, field
+from auditloom.sources.trees import grown
 
 # FIXED VALUES: sections that references point to, the records that they hold and what these are called
 SECTIONS = {
@@ -69,7 +70,7 @@ def say(*parts: str | Column) -> Column:
 
 
 def of_agreement(files: Files, known: Facts) -> list[DataFrame]:
-    """Versions, administrations and master data that differ from the first file's; fields are compared, not sub-records."""
+    """Versions, administrations and master data that differ from the first file's; whole trees are compared, by one digest each."""
     out, at = [], {"file": F.col("file")}
     others = files.files.filter(F.col("file") != F.lit(known.first))
     out.append(O.finding(others.filter(~F.col("version").eqNullSafe(F.lit(known.version))), "XAF3008", O.WARNING, say("the version is", F.col("version"), "but the first file's is", F.lit(known.version)), value=F.col("version"), **at))
@@ -83,12 +84,16 @@ def of_agreement(files: Files, known: Facts) -> list[DataFrame]:
     both = companies.filter(F.col("file") != F.lit(known.first)).join(F.broadcast(first))
     differs = lambda c: F.coalesce(F.col(c) != F.col(f"first_{c}"), F.lit(False))
     other = F.coalesce(*[F.when(differs(c), F.col(c)) for c in ids])
-    folded = lambda c: F.lower(F.regexp_replace(c, r"\s+", " "))
+    # capitals first: they write ß as SS, as case folding does
+    folded = lambda c: F.lower(F.upper(F.regexp_replace(c, r"\s+", " ")))
     out.append(O.finding(both.filter(other.isNotNull()), "XAF6011", O.ERROR, say("another administration than the first file's:", other), value=other, **at))
     out.append(O.finding(both.filter(other.isNull() & (folded("name") != folded("first_name"))), "XAF6011", O.WARNING, say("the company name differs from the first file's:", F.col("name")), value=F.col("name"), **at))
 
+    if others.isEmpty():
+        return out
+    trees = grown(files, *[kind for kind, *_ in MASTERS]).select("file", "ord", F.col("digest").alias("raw"))
     for kind, what, names in MASTERS:
-        rows = files.of(kind).select("file", "line", "ord", field(*names).alias("id"), F.array_sort(F.map_entries("fields")).alias("raw")).filter("id is not null")
+        rows = files.of(kind).select("file", "line", "ord", field(*names).alias("id")).filter("id is not null").join(trees, ["file", "ord"])
         firsts = rows.groupBy("id").agg(F.min_by(F.struct("file", "raw"), F.struct("file", "ord")).alias("x")).select(F.col("id").alias("first_id"), F.col("x.file").alias("first_file"), F.col("x.raw").alias("first_raw"))
         changed = rows.join(firsts, F.col("id") == F.col("first_id")).filter((F.col("file") != F.col("first_file")) & (F.col("file") != F.lit(known.first)) & ~F.col("raw").eqNullSafe(F.col("first_raw")))
         out.append(O.finding(changed, "XAF6010", O.WARNING, say(f"{what} differs from its first definition:", F.col("id")), line=F.col("line"), value=F.col("id"), **at))
