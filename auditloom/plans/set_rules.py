@@ -84,8 +84,7 @@ def of_agreement(files: Files, known: Facts) -> list[DataFrame]:
     both = companies.filter(F.col("file") != F.lit(known.first)).join(F.broadcast(first))
     differs = lambda c: F.coalesce(F.col(c) != F.col(f"first_{c}"), F.lit(False))
     other = F.coalesce(*[F.when(differs(c), F.col(c)) for c in ids])
-    # capitals first: they write ß as SS, as case folding does
-    folded = lambda c: F.lower(F.upper(F.regexp_replace(c, r"\s+", " ")))
+    folded = lambda c: F.upper(F.regexp_replace(c, r"\s+", " "))  # noqa: E731  capitals write ß as SS
     out.append(O.finding(both.filter(other.isNotNull()), "XAF6011", O.ERROR, say("another administration than the first file's:", other), value=other, **at))
     out.append(O.finding(both.filter(other.isNull() & (folded("name") != folded("first_name"))), "XAF6011", O.WARNING, say("the company name differs from the first file's:", F.col("name")), value=F.col("name"), **at))
 
