@@ -11,6 +11,9 @@ SCHEMA = "code string, severity int, message string, file string, line int, path
 ERROR, WARNING, INFO = 30, 20, 10
 SERVICE = r"^(1[0-9]{3}|2[0-9]{3}|30(1[0-9]|2[01])|3040|50(0[4-9]|10)|600[1-3])$"
 
+#: parts of a code's findings that are cut to a report's limit apart
+SLOTS = 64
+
 
 def finding(rows: DataFrame, code: str, severity: int, message: Column, *, file: Column | None = None, line: Column | None = None, path: Column | None = None, value: Column | None = None) -> DataFrame:
     """rows as findings; a value of more than 200 characters is cut."""
@@ -53,8 +56,15 @@ def overridden(findings: DataFrame, severities: dict[str, int | None]) -> DataFr
 
 
 def limited(findings: DataFrame, per_code: int, order: list[str], total: int | None = None) -> DataFrame:
-    """The first so many of each code, then of all; a feature of reports, counts are taken before it."""
-    kept = findings.withColumn("nth", F.row_number().over(W.partitionBy("code").orderBy(*order))).filter(F.col("nth") <= per_code)
+    """The first so many of each code, then of all; a feature of reports, counts are taken before it.
+
+    A code's findings are dealt to SLOTS tasks, each of which keeps its first ones, so one task never meets more than SLOTS times
+    per_code rows of a code however many there are; equal rows share a slot.
+    """
+    slot = F.pmod(F.xxhash64(*order), F.lit(SLOTS))
+    nth = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    kept = findings.withColumn("__slot", slot).withColumn("nth", nth("code", "__slot")).filter(F.col("nth") <= per_code).drop("__slot")
+    kept = kept.withColumn("nth", nth("code")).filter(F.col("nth") <= per_code)
     return kept if total is None else kept.orderBy("code", "nth").limit(total)
 
 

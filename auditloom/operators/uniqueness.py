@@ -42,15 +42,33 @@ def conflicts(first: DataFrame, other: DataFrame, key: str, fields: list[str]) -
     return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}")).filter(~same).select(F.col(f"a.{key}").alias(key))
 
 
-def islands(rows: DataFrame, keys: list[str], within: list[str], order: list[str]) -> DataFrame:
-    """Adds island: the running number, from 0, of the run of consecutive rows with equal keys."""
-    window = W.partitionBy(*within).orderBy(*order)
+def islands(rows: DataFrame, keys: list[str], within: list[str], order: list[str], block: Column) -> DataFrame:
+    """Adds island: the running number, from 0, of the run of consecutive rows with equal keys.
+
+    block is a column that never falls along the order, such as a place divided by some number. Runs are numbered within each block, in
+    as many tasks as there are blocks; then the first and last keys of neighbouring blocks tell whether a run goes on over
+    the border, and only a row a block is windowed by within.
+    """
+    at = [*within, "__block"]
+    window = W.partitionBy(*at).orderBy(*order)
     changed: Column = F.lit(False)
     for k in keys:
         changed = changed | ~F.col(k).eqNullSafe(F.lag(k).over(window))
     first = F.row_number().over(window) == 1
-    rows = rows.withColumn("starts", F.when(first, 0).otherwise(changed.cast("int")))
-    return rows.withColumn("island", F.sum("starts").over(window.rowsBetween(W.unboundedPreceding, 0))).drop("starts")
+    rows = rows.withColumn("__block", block).withColumn("__starts", F.when(first, 0).otherwise(changed.cast("int")))
+    rows = rows.withColumn("__island", F.sum("__starts").over(window.rowsBetween(W.unboundedPreceding, 0))).drop("__starts")
+    key, place = F.struct(*keys), F.struct(*order)
+    edges = rows.groupBy(*at).agg(F.min_by(key, place).alias("first"), F.max_by(key, place).alias("last"), F.max("__island").alias("changes"))
+    along = W.partitionBy(*within).orderBy("__block")
+    before = F.lag("last").over(along)
+    edges = edges.withColumn("border", F.when(F.row_number().over(along) == 1, 0).otherwise((~F.col("first").eqNullSafe(before)).cast("int")))
+    number = F.sum("border").over(along.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce(F.sum("changes").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    edges = edges.select(*[F.col(c).alias(f"{c}__") for c in at], number.alias("__before"))
+    same = F.lit(True)
+    for c in at:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}__"))
+    joined = rows.join(edges, same).withColumn("island", F.col("__before") + F.col("__island"))
+    return joined.drop("__block", "__island", "__before", *[f"{c}__" for c in at])
 
 
 def running_numbers(parts: DataFrame, counts: DataFrame) -> DataFrame:

@@ -240,7 +240,7 @@ when journal_id is distinct from lag(journal_id) over w then 1 else 0 end starts
 
 @on_ledger(ISLANDS)
 def adf_islands(ledger: Ledger) -> DataFrame:
-    return uniqueness.islands(ledger.transactions, ["journal_id"], ["relation_id"], ["date", "tx"]).select("journal_id", "relation_id", "tx", "island")
+    return uniqueness.islands(ledger.transactions, ["journal_id"], ["relation_id"], ["date", "tx"], F.unix_date("date").bitwiseAND(-1024)).select("journal_id", "relation_id", "tx", "island")
 
 
 # ---- quality

@@ -11,6 +11,9 @@ from auditloom.operators.uniqueness import first_wins, islands
 from auditloom.plans.frames import MONEY, Ledger
 from auditloom.sources import records
 
+#: lines of a fixed-width file that are numbered by one task
+BLOCK = 100_000
+
 
 def field(*names: str) -> Column:
     """The first of the named fields that isn't empty."""
@@ -87,7 +90,7 @@ class Files:
         """The frames of fixed-width files: runs of lines with one journal, period, number and identification are transactions."""
         lines = self.of("adfLine")
         keys = {"journal_id": "dagboekcode", "period_key": "periode", "sequence": "volgnummer", "mark": "identificatieJournaalpost"}
-        rows = islands(lines.withColumns({k: field(v) for k, v in keys.items()}), list(keys), ["file"], ["ord"]).withColumn("tx", F.xxhash64("file", "island"))
+        rows = islands(lines.withColumns({k: field(v) for k, v in keys.items()}), list(keys), ["file"], ["ord"], F.floor(F.col("ord") / BLOCK)).withColumn("tx", F.xxhash64("file", "island"))
         amounts = (F.coalesce(parse_adf_amount(field(n)), F.lit(0)) for n in ("debet", "credit"))
         debit, credit = amounts
         net = (debit - credit).cast(MONEY)

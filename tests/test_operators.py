@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -65,3 +67,27 @@ def test_long_values_are_cut(spark):
     rows = spark.createDataFrame([("x" * 300,)], "v string")
     cut = findings.finding(rows, "XAF3014", 30, F.lit("too long"), value=F.col("v")).first()["value"]
     assert cut == "x" * 200 + "…"
+
+
+@pytest.mark.parametrize("size", [1, 3, 50, 10_000])
+def test_islands_go_on_over_blocks(spark, size):
+    r = random.Random(size)
+    rows = [(f, k, r.choice(["a", "b", None]), r.choice([None, 1])) for f in ("x", "y", None) for k in sorted(r.sample(range(400), 120))]
+    want, number, before = {}, {}, {}
+    for f, k, a, b in rows:
+        number[f] = number[f] + (before[f] != (a, b)) if f in number else 0
+        before[f] = a, b
+        want[f, k] = number[f]
+    df = spark.createDataFrame(rows, "file string, ord long, a string, b int").repartition(5).withColumns({c: F.lit("clash") for c in ("first", "last", "changes", "border", "island")})
+    got = uniqueness.islands(df, ["a", "b"], ["file"], ["ord"], F.floor(F.col("ord") / size))
+    assert {(x.file, x.ord): x.island for x in got.collect()} == want and got.columns == df.columns
+    assert uniqueness.islands(df.filter("false"), ["a", "b"], ["file"], ["ord"], F.floor(F.col("ord") / size)).count() == 0
+
+
+def test_limits_of_a_code_with_most_findings(spark):
+    rows = spark.range(20_000).selectExpr("if(id % 10 = 0, 'B', 'A') code", "cast((id * 7919) % 20000 as int) line", "'m' message", "cast(null as string) value")
+    rows = rows.unionAll(rows.filter("line < 50"))
+    got = findings.limited(rows, 70, ["line", "message", "value"]).collect()
+    for code in "AB":
+        lines = sorted(x.line for x in rows.filter(f"code = '{code}'").collect())[:70]
+        assert sorted(x.line for x in got if x.code == code) == lines and sorted(x.nth for x in got if x.code == code) == list(range(1, 71))
