@@ -14,6 +14,7 @@ from auditloom.operators.export import FORMATS, export
 from auditloom.operators.totals import control_totals
 from auditloom.plans.file_tables import FileTables
 from auditloom.plans.validate import validate
+from auditloom.sources.catalogue import catalogue
 from auditloom.sources.ledger import open_files
 
 
@@ -32,6 +33,8 @@ def main(arguments: list[str] | None = None) -> int:
             command.add_argument("--strict", action="store_true", help="warnings count as well")
             command.add_argument("--max-findings", type=int, default=100, help="listed for each code")
             command.add_argument("-o", "--output", help="a file for the report")
+            command.add_argument("--text", action="store_true", help="a report as text")
+            command.add_argument("--schema", action="append", default=[], metavar="VERSION=FILE", help="the schema file of a version")
         if name == "export":
             command.add_argument("-o", "--output", required=True)
             command.add_argument("-f", "--format", choices=FORMATS, default="csv")
@@ -40,7 +43,8 @@ def main(arguments: list[str] | None = None) -> int:
             command.add_argument("--negative-amounts", choices=["flip", "abs"], default="flip")
     args = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("auditloom").getOrCreate()
-    files = open_files(spark, args.paths, encoding=args.encoding, repair=frozenset(args.repair))
+    given = dict(x.partition("=")[::2] for x in getattr(args, "schema", []))
+    files = open_files(spark, args.paths, encoding=args.encoding, repair=frozenset(args.repair), elements=bool(given))
     kinds = files.files.collect()
     bad = files.notes.filter("code in ('XAF1021', 'XAF2002')").limit(1000).collect()
     if args.command == "detect":
@@ -51,11 +55,12 @@ def main(arguments: list[str] | None = None) -> int:
         return 3
     fixed = {r.family for r in kinds} == {"ADF"}
     if args.command == "validate":
-        report = validate(files, rules=args.rules, per_code=args.max_findings, fixed_width=fixed)
+        report = validate(files, rules=args.rules, per_code=args.max_findings, fixed_width=fixed, schemas={v: catalogue(spark, path) for v, path in given.items()})
+        said = report.to_text() if args.text else report.to_json()
         if args.output:
-            Path(args.output).write_text(report.to_json(), "utf-8")
+            Path(args.output).write_text(said, "utf-8")
         else:
-            print(report.to_json())
+            print(said)
         return int((report.max_severity or 0) >= (20 if args.strict else 30))
     ledger = files.fixed_width() if fixed else files.ledger()
     if args.command == "info":

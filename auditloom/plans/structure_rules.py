@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditloom.functions.values import AMOUNT, is_double, parse_date, parse_int, significant_digits, stripped
-from auditloom.operators.findings import ERROR, distinct, finding
+from auditloom.operators.findings import ERROR, distinct, finding, several
 from auditloom.plans.validate import say
 from auditloom.sources import records
 from auditloom.sources.ledger import Files
@@ -26,8 +26,10 @@ def elements(files: Files) -> DataFrame:
 
 def value_rules(known: DataFrame) -> list[DataFrame]:
     """Facets of leaves, judged once for each different (path, text) of the specification."""
-    s, raw, at = stripped(F.col("text")), F.col("text"), {"file": F.col("file"), "line": F.col("line"), "path": F.col("path"), "value": F.col("text")}
-    rows = known.filter("kind <> 'complex' and text is not null")
+    s, raw = stripped(F.col("text")), F.col("text")
+    leaves = known.filter("kind <> 'complex' and text is not null")
+    # most texts occur again and again, and few are wrong: each is judged once, and only the wrong ones meet the elements
+    rows = leaves.drop("file", "up", "ord", "line").dropDuplicates(["path", "text"])
     kind = lambda *k: F.col("kind").isin(*k)
     all_, after = significant_digits(raw)
     number = F.when(s.rlike(AMOUNT), s.try_cast("decimal(38,10)"))
@@ -46,7 +48,11 @@ def value_rules(known: DataFrame) -> list[DataFrame]:
         ("XAF3019", kind("integer") & (parse_int(raw).isNull() | (all_ > F.col("total_digits"))), "not a valid integer"),
         ("XAF3021", kind("decimal", "integer") & ((number < F.col("min_inclusive").try_cast("decimal(38,10)")) | (number > F.col("max_inclusive").try_cast("decimal(38,10)"))), "out of bounds"),
     ]
-    return [finding(rows.filter(F.coalesce(test, F.lit(False))), code, ERROR, say(F.col("name"), text), **at) for code, test, text in tests]
+    wrong = [F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(text).alias("said"))) for code, test, text in tests]
+    judged = rows.select("path", "text", F.explode(F.array_compact(F.array(*wrong))).alias("x")).select("path", "text", "x.*")
+    found = leaves.select("file", "line", "path", "name", "text").join(judged, ["path", "text"])
+    codes = [(F.col("code") == c, c, ERROR, say(F.col("name"), F.col("said")), F.col("text")) for c in sorted({c for c, *_ in tests})]
+    return [several(found, codes, file=F.col("file"), line=F.col("line"), path=F.col("path"))]
 
 
 def structure(files: Files, spec: DataFrame) -> DataFrame:

@@ -10,20 +10,27 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.values import AMOUNT, clean, had_zone, inexact, parse_adf_amount, parse_amount, parse_date, parse_int
 from auditloom.operators import findings as O
-from auditloom.operators import references, tables, totals, uniqueness
+from auditloom.operators import references, rgs, tables, totals, uniqueness
 from auditloom.plans import set_rules
 from auditloom.plans.frames import Ledger
 from auditloom.sources.ledger import Files, field
+from auditloom.sources.records import LEAF
 
 ERROR, WARNING, INFO = O.ERROR, O.WARNING, O.INFO
 #: sums of amounts
 WIDE = "decimal(38,8)"
 # FIXED VALUES: severity of what is noted while reading
 NOTED = {"XAF1001": INFO, "XAF1002": WARNING, "XAF1003": ERROR, "XAF1004": INFO, "XAF1005": WARNING, "XAF1006": WARNING, "XAF1010": WARNING, "XAF1011": WARNING, "XAF1012": WARNING, "XAF1013": WARNING, "XAF1020": INFO, "XAF1021": ERROR, "XAF2001": ERROR, "XAF2002": ERROR, "XAF2003": ERROR, "XAF3009": WARNING, "XAF3050": ERROR}
+# FIXED VALUES: severity of what is found by a reference chart
+CHART = {"XAF8003": WARNING, "XAF8004": WARNING, "XAF8006": WARNING}
 # FIXED VALUES: fields of each lexical kind, and required fields by record
 DATES = "startDate endDate dateCreated startDatePeriod endDatePeriod trDt effDate settDate transactionDate effectiveDate".split()
 MONEY_FIELDS = "amnt vatAmnt curAmnt totalDebit totalCredit opBalDesc clBalDesc debitAmount creditAmount vatPerc".split()
 COUNTS, SIDES = "linesCount numberEntries".split(), "amntTp vatAmntTp opBalTp clBalTp".split()
+#: notes of files that can't be read further
+FATAL = ("XAF1021", "XAF2001", "XAF2002", "XAF2003")
+#: lexical rules that no schema has
+BESIDES = ("XAF7001", "XAF7008")
 REQUIRED = {"ledgerAccount": ["accID accountID"], "customerSupplier": ["custSupID"], "transaction": ["nr transactionID"], "trLine": ["nr", "accID", "amnt", "amntTp"], "journal": ["jrnID journalID"]}
 
 
@@ -36,10 +43,22 @@ class Report:
     counts: dict[str, int]
     stats: dict[str, int]
     findings: list[dict]
+    #: the layers of rules that ran, and how many files left before the last of them
+    checked: list[str]
+    failed: int
 
     def to_json(self) -> str:
         return json.dumps({"schema_version": 1} | asdict(self), ensure_ascii=False)
 
+    def to_text(self) -> str:
+        """A line for each listed finding, and what there is in all."""
+        words = {ERROR: "error", WARNING: "warning", INFO: "info"}
+        said = [f"{f['file'] or '-'}:{f['line'] or 0}: {words.get(f['severity'], f['severity'])} {f['code']}: {f['message']}" for f in self.findings]
+        total = sum(self.counts.values())
+        more = [f"{total - len(said)} more findings are not listed"] if total > len(said) else []
+        counts = ", ".join(f"{n} {name.replace('_', ' ')}" for name, n in self.stats.items() if n)
+        return "\n".join([*said, *more, f"{'ok' if self.ok else 'not ok'}: {total} findings; {counts or 'no records'}", f"checked: {', '.join(self.checked)}" + f"; {self.failed} files could not be read to their end" * bool(self.failed)])
+
 
 def say(*parts: str | Column) -> Column:
     return F.concat_ws(" ", *[F.lit(p) if isinstance(p, str) else p for p in parts])
@@ -221,20 +240,86 @@ def of_fixed_totals(files: Files) -> list[DataFrame]:
     return [of_declared(against(heads, lines.agg(F.count("*").alias("n")), lines.agg(*sums)), "header", ("XAF5007", "XAF5008", None, "XAF5012", None))]
 
 
-def all_findings(files: Files, fixed_width: bool = False, chart_release: str | None = None) -> DataFrame:
-    ledger = files.fixed_width() if fixed_width else files.ledger()
-    known = set_rules.facts(files, ledger)
-    parts = [of_reading(files), *of_detection(files), *of_ledger(files, ledger, known, fixed_width), *set_rules.of_set(files, ledger, known, chart_release)]
-    parts += of_fixed_totals(files) if fixed_width else [*of_values(files), *of_required(files), *of_masters(files), *of_totals(files)]
+def of_structure(files: Files, schemas: dict[str, DataFrame]) -> list[DataFrame]:
+    """Structure and values by the catalogue of each file's version; by the fields that any version has where none is given."""
+    from auditloom.plans.structure_rules import structure
+
+    version = files.files.select("file", "version")
+    rows = files.rows
+    out: list[DataFrame] = []
+    for v, spec in schemas.items():
+        own = Files(rows.join(version.filter(F.col("version") == v).select("file"), "file", "left_semi"))
+        out += [structure(own, spec), *[found.filter(F.col("code").isin(*BESIDES)) for found in of_values(own)]]
+    other = files if not schemas else Files(rows.join(version.filter(F.coalesce(F.col("version").isin(*schemas), F.lit(False))).select("file"), "file", "left_anti"))
+    return [*out, *of_values(other), *of_required(other)]
+
+
+def of_chart(ledger: Ledger, chart: DataFrame, renames: DataFrame | None) -> list[DataFrame]:
+    """Reference codes of accounts against a chart (code, level) and its renamed codes (old, new)."""
+    renames = renames if renames is not None else chart.sparkSession.createDataFrame([], "old string, new string")
+    accounts = tables.accounts(ledger).filter("rgs_code is not null").select("id", F.col("rgs_code").alias("code"))
+    wrong = rgs.checked(accounts, chart, renames).join(ledger.accounts.select("id", "file", "line"), "id")
+    known = F.col("finding")
+    message = (
+        F.when(known == "XAF8006", say("account", F.col("id"), "has a reference code of level", F.col("hint"), "which is no account:", F.col("code")))
+        .when(known == "XAF8004", say("account", F.col("id"), "has an old reference code, now", F.col("hint"), ":", F.col("code")))
+        .otherwise(say("account", F.col("id"), "has a reference code that the chart lacks:", F.col("code")))
+    )
+    return [O.finding(wrong.filter(known == code), code, severity, message, file=F.col("file"), line=F.col("line"), value=F.col("code")) for code, severity in CHART.items()]
+
+
+def failed_files(files: Files) -> DataFrame:
+    """The files that could not be read to their end."""
+    return files.notes.filter(F.col("code").isin(*FATAL)).select("file").distinct()
+
+
+def all_findings(
+    files: Files, fixed_width: bool = False, chart_release: str | None = None, *, schemas: dict[str, DataFrame] | None = None, chart: DataFrame | None = None, renames: DataFrame | None = None, failed: DataFrame | None = None
+) -> DataFrame:
+    """Every finding. Rules of content (references, totals, uniqueness, quality, the chart) leave out the files that failed."""
+    failed = failed_files(files) if failed is None else failed
+    parts = [of_reading(files), *of_detection(files)]
+    if not fixed_width:
+        parts += of_structure(files, schemas or {})
+    sound = files if failed.isEmpty() else Files(files.rows.join(failed, "file", "left_anti"))
+    if sound is files or not sound.files.isEmpty():
+        ledger = sound.fixed_width() if fixed_width else sound.ledger()
+        known = set_rules.facts(sound, ledger)
+        parts += [*of_ledger(sound, ledger, known, fixed_width), *set_rules.of_set(sound, ledger, known, chart_release)]
+        parts += of_fixed_totals(sound) if fixed_width else [*of_masters(sound), *of_totals(sound)]
+        if chart is not None:
+            parts += of_chart(ledger, chart, renames)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return O.distinct(out)
 
 
-def validate(files: Files, *, rules: str | None = None, severities: dict[str, int | None] | None = None, per_code: int = 100, total: int = 10_000, fixed_width: bool = False, chart_release: str | None = None) -> Report:
-    """A bounded report; counts and verdict cover all findings, the listed ones are the first of each code."""
-    found = O.overridden(all_findings(files, fixed_width, chart_release), severities or {})
+def layers(files: Files, failed: int, rules: str | None, schemas: dict[str, DataFrame], chart: bool) -> list[str]:
+    """What runs: content is checked if a file at least can be read to its end."""
+    ran = ["L1 encoding", "L2 xml", "L3 version", *["L4 structure"] * bool(schemas)]
+    if files.files.count() <= failed:
+        return ran
+    if rules == "vts":
+        return [*ran, "L6 totals (4.0 rules)", "L7 uniqueness (4.0 rules)"]
+    return [*ran, "L5 references", "L6 totals", "L7 uniqueness", "L8 data quality", *["L8 RGS"] * chart]
+
+
+def validate(
+    files: Files, *, rules: str | None = None, severities: dict[str, int | None] | None = None, per_code: int = 100, total: int = 10_000, fixed_width: bool = False, chart_release: str | None = None,
+    schemas: dict[str, DataFrame] | None = None, chart: DataFrame | None = None, renames: DataFrame | None = None,
+) -> Report:
+    """A bounded report; counts and verdict cover all findings, the listed ones are the first of each code.
+
+    schemas: the catalogue (sources.catalogue) of each version that is to be checked by its schema; the files must have been read with
+    elements=True. chart (code, level) and renames (old, new): a release of the reference chart. A file that can't be read to its
+    end is left out of the rules of content, and the others are not.
+    """
+    if schemas and files.of(LEAF).isEmpty() and not files.of("auditfile").isEmpty():
+        raise ValueError("schemas need files that were read with elements=True")
+    failed = failed_files(files)
+    n_failed = failed.count()
+    found = O.overridden(all_findings(files, fixed_width, chart_release, schemas=schemas, chart=chart, renames=renames, failed=failed), severities or {})
     found = (O.service_rules(found.withColumn("code", F.substring("code", 4, 4))).withColumn("code", F.concat(F.lit("XAF"), "code")) if rules == "vts" else found).persist()
     try:
         counts = {r.code: r.findings for r in O.by_code(found).collect()}
@@ -245,6 +330,6 @@ def validate(files: Files, *, rules: str | None = None, severities: dict[str, in
         stats: dict[str, int] = dict.fromkeys(kinds.values(), 0)
         for r in files.of(*kinds).groupBy("kind").count().collect():
             stats[kinds[r["kind"]]] += r["count"]
-        return Report(verdict["ok"], verdict["max_severity"], counts, stats, rows)
+        return Report(verdict["ok"], verdict["max_severity"], counts, stats, rows, layers(files, n_failed, rules, schemas or {}, chart is not None), n_failed)
     finally:
         found.unpersist()
