@@ -1,7 +1,7 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Base rules look at one document: too few words, or too many of its words in 5-word windows that the text repeats. The
-method's rule looks across documents: lines are normalised and hashed, the different texts of a host that hold each line are
+method's rule looks across documents: lines are normalised and hashed, the documents of a host that hold each line are
 counted, lines above the host's limit are removed, and a document whose removal leaves too little is rejected.
 """
 
@@ -14,9 +14,9 @@ from auditloom.llm.common import durable, lower_ascii, text_of, words_of
 
 #: words in a window of the repetition rule
 WINDOW = 5
-#: A line is boilerplate of its host above this share of the host's different texts, and above this many of them.
+#: A line is boilerplate of its host above this share of the host's documents, and above this many of them.
 SHARE, LEAST = 0.10, 10
-#: Whatever the host's size, so is a line of so many words above this number of different texts.
+#: Whatever the host's size, so is a line of so many words above this number of documents.
 MOST, LONG = 1000, 6
 #: A document is depleted if less than this share of its words is left.
 LEFT = 0.30
@@ -73,11 +73,11 @@ def figures(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def boilerplate(rows: DataFrame, share: float = SHARE, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """(host, h) of the lines above either of their host's limits; equal texts of a host count once."""
-    each = rows.select("host", "digest", F.explode(F.array_distinct("hashes")).alias("x")).select("host", "digest", "x.h", F.col("x.n").alias("words"))
-    counts = each.groupBy("host", "h", "words").agg(F.countDistinct("digest").alias("n")).filter(F.col("n") > least)
-    hosts = rows.groupBy("host").agg(F.countDistinct("digest").alias("texts"))
-    high = (F.col("n") > share * F.col("texts")) | ((F.col("n") > most) & (F.col("words") >= LONG))
+    """(host, h) of the lines that more documents of their host hold than either limit allows; every row is a document."""
+    each = rows.select("host", F.explode(F.array_distinct("hashes")).alias("x")).select("host", "x.h", F.col("x.n").alias("words"))
+    counts = each.groupBy("host", "h", "words").agg(F.count("*").alias("n")).filter(F.col("n") > least)
+    hosts = rows.groupBy("host").agg(F.count("*").alias("documents"))
+    high = (F.col("n") > share * F.col("documents")) | ((F.col("n") > most) & (F.col("words") >= LONG))
     return counts.join(hosts, "host").filter(high).select("host", "h")
 
 
@@ -102,7 +102,7 @@ def quality(docs: DataFrame, host: str = "source", share: float = SHARE, least:
     """The figures and the verdict of each row; no text is shuffled.
 
     A null text is empty (no words: base_failed); a null host is a host of its own; a null doc_id stays null; repeated rows
-    get the same figures each, and count once as a text of their host; other columns are not read; no rows give no rows.
+    get the same figures each, and each is a document of its host; other columns are not read; no rows give no rows.
     """
     rows = figures(docs, host)
     return judged(rows, lines_to_remove(rows, share, least, most), left).select("doc_id", *FIGURES, "kept")
@@ -132,9 +132,9 @@ rep as (select doc_id, count(distinct p) n_repeat_words from (select doc_id, unn
 norm as (select doc_id, host, t, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) n,
   trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') l
   from (select doc_id, host, t, unnest(ls) l from w)),
-hosts as (select host, count(distinct t) texts from base group by 1),
-high as (select host, l from (select host, l, n words, count(distinct t) n from norm group by 1, 2, 3) join hosts using (host)
-  where n > {LEAST} and (n > {SHARE} * texts or (n > {MOST} and words >= {LONG}))),
+hosts as (select host, count(*) documents from base group by 1),
+high as (select host, l from (select host, l, n words, count(distinct doc_id) n from norm group by 1, 2, 3) join hosts using (host)
+  where n > {LEAST} and (n > {SHARE} * documents or (n > {MOST} and words >= {LONG}))),
 gone as (select doc_id, sum(n) gone from norm join high using (host, l) group by 1)
 select w.doc_id, len(ws)::bigint n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint word_chars,
   (length(t) - length(translate(t, '{SYMBOLS}', '')))::bigint n_symbols,

@@ -382,3 +382,12 @@ def test_raking_warns_where_it_does_not_converge(spark):
     share = lambda d, **x: spark.createDataFrame(list(x.items()), f"{d} string, target double")
     with pytest.warns(UserWarning, match="did not converge"):
         mixing.rake(cells, {"source": share("source", a=0.9, b=0.1), "lang": share("lang", x=0.1, y=0.9), "topic": share("topic", t=1.0)}, sweeps=3)
+
+
+def test_copies_of_a_banner_count_as_documents(spark):
+    own = lambda i: " ".join("abcdefghij"[int(c)] + "o" for c in f"{i:04d}")
+    page = "Subscribe to our weekly letter and never miss a story\na page of nothing but its banner and very little else today"
+    rows = [(i, page, "h") for i in range(40)] + [(100 + i, f"story {own(i)} tells of many things that only it has, at some length", "h") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r.doc_id: r.kept for r in quality.quality(docs).collect()}
+    assert not any(kept[i] for i in range(40)) and all(kept[100 + i] for i in range(60))
