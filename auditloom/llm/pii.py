@@ -38,8 +38,8 @@ TOKEN = r"(?<![A-Za-z0-9_/-])(?=[A-Za-z_/-]*+[0-9]|[A-Za-z/-]++_|[A-Za-z]*?[a-z]
 STRONG = r"^(?:(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,64}|A[KS]IA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk_live_[0-9A-Za-z]{24,}|eyJ[0-9A-Za-z_-]{20,})$"
 #: rounds of scoring; a pattern is trusted from this score, and from this many different seeds
 ROUNDS, SCORE, SEEDS = 4, 0.5, 3
-#: A pattern takes part if it holds this share of all different instances: in a larger corpus chance brings more of them together.
-SUPPORT = 0.001
+#: In this part of the documents the ordinary words of patterns are counted first.
+PART = 1 / 32
 #: score of a token of which nothing is known
 PRIOR = 1 / 3
 
@@ -157,23 +157,56 @@ def ordinary_words(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return each.join(known, "key").select("pattern", "word").distinct().groupBy("pattern").agg(F.count("*").alias("others"))
 
 
-def trusted(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS, score: float = SCORE, seeds: int = SEEDS, prior: float = PRIOR, support: float = SUPPORT) -> DataFrame:
+def possible(edges: DataFrame, others: DataFrame | None, rounds: int, score: float, seeds: int, prior: float) -> DataFrame:
+    """The patterns of edges (pattern, instance, seed) that could be trusted, or believed in some round, if all went well for them.
+
+    An instance is known by more than the prior only if it is a seed or another pattern is believed. So, round by round, the instances
+    of patterns that could be believed could be vouched for, and a pattern needs enough of these, and of all its instances and ordinary
+    words (others, or as many as are known yet) such a share that their mean could reach the score without its worst instance.
+    What is left out tells nothing in any round.
+    """
+    hoped = edges.filter("seed = 1").select("instance").distinct()
+    found, before = None, -1
+    for _ in range(rounds + 1):
+        # with a prior that high every instance counts from the start
+        marked = edges.join(hoped.withColumn("hope", F.lit(1)), "instance", "left") if prior < score else edges.withColumn("hope", F.lit(1))
+        sums = marked.groupBy("pattern").agg(F.count("*").alias("n"), F.count("hope").alias("hopes"))
+        sums = sums if others is None else sums.join(others, "pattern", "left")
+        more = F.lit(0) if others is None else F.coalesce("others", F.lit(0))
+        reached = F.col("hopes") + prior * (F.col("n") - F.col("hopes")) >= score * (F.col("n") + more - 1) - 1e-6
+        found = durable(sums.filter((F.col("hopes") >= seeds) & reached).select("pattern"))
+        now = found.count()
+        if now == before:  # the patterns only become more
+            break
+        before = now
+        hoped = durable(edges.join(found, "pattern", "left_semi").select("instance").unionByName(edges.filter("seed = 1").select("instance")).distinct())
+    return found
+
+
+def trusted(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS, score: float = SCORE, seeds: int = SEEDS, prior: float = PRIOR, part: float = PART) -> DataFrame:
     """The patterns that are trusted after the rounds of scoring.
 
     Equal pairs of pattern and instance count once, so copies of a document add nothing. Only patterns of enough different
-    instances, in number and as a share of all, take part: another tells nothing of its instances.
+    instances take part: another can't be trusted, and tells nothing of its instances.
+
+    Ordinary words are counted for the patterns that could be trusted without any; of these, in a part of the documents first: most
+    have too many even there, and only the others meet all texts. Neither changes the result.
     """
     pairs = lambda c, seed: found.select(F.explode(c).alias("x")).select(F.explode("x.patterns").alias("pattern"), lower_ascii(F.col("x.match")).alias("instance"), seed.cast("int").alias("seed"))
     both = pairs("base", F.lit(1)).unionByName(pairs("tokens", F.col("x.match").rlike(STRONG)))
     edges = durable(both.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     # an instance is a seed wherever it stands
     sure = edges.filter("seed = 1").select("instance").distinct().withColumn("sure", F.lit(1))
-    # one row, with the number of all different instances
-    whole = F.broadcast(edges.agg(F.count_distinct("instance").alias("whole")))
-    able = edges.groupBy("pattern").agg(F.count("*").alias("n")).crossJoin(whole)
-    able = durable(able.filter((F.col("n") >= seeds) & (F.col("n") >= support * F.col("whole"))).select("pattern"))
-    words = durable(ordinary_words(docs, able))
+    able = durable(edges.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= seeds).select("pattern"))
     edges = edges.join(able, "pattern").join(sure, "instance", "left").select("pattern", "instance", F.coalesce("sure", F.lit(0)).alias("seed"))
+    # how many patterns an instance stands in, those that tell nothing among them
+    edges = durable(edges)
+    stands = edges.groupBy("instance").agg(F.count("*").alias("patterns"))
+    hopeful = possible(edges, None, rounds, score, seeds, prior)
+    some = F.pmod(F.xxhash64(text_of()), F.lit(2**20)) < int(part * 2**20)
+    hopeful = durable(possible(edges.join(hopeful, "pattern", "left_semi"), durable(ordinary_words(docs.filter(some), hopeful)), rounds, score, seeds, prior))
+    words = durable(ordinary_words(docs, hopeful))
+    edges = edges.join(hopeful, "pattern", "left_semi").join(stands, "instance")
     enough = lambda c: c >= score - 1e-9
     # known: what the instance tells the pattern, without what this pattern told it
     edges = durable(edges.withColumn("known", F.when(F.col("seed") == 1, 1.0).otherwise(prior)))
@@ -186,10 +219,10 @@ def trusted(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS, score: floa
         rest = (F.col("total") - F.col("known")) / F.nullif(F.col("n") - 1, F.lit(0))
         vouched = F.col("support") - enough(F.col("known")).cast("int")
         told = F.when(enough(rest) & (vouched >= seeds), rest).otherwise(0.0)
-        each = edges.join(scored(edges), "pattern").select("pattern", "instance", "seed", told.alias("told"))
-        instances = each.groupBy("instance").agg(F.sum("told").alias("all_told"), F.count("*").alias("patterns"))
+        each = edges.join(scored(edges), "pattern").select("pattern", "instance", "seed", "patterns", told.alias("told"))
+        instances = each.groupBy("instance").agg(F.sum("told").alias("all_told"))
         known = (prior + F.col("all_told") - F.col("told")) / F.col("patterns")
-        edges = durable(each.join(instances, "instance").select("pattern", "instance", "seed", F.when(F.col("seed") == 1, 1.0).otherwise(known).alias("known")))
+        edges = durable(each.join(instances, "instance").select("pattern", "instance", "seed", "patterns", F.when(F.col("seed") == 1, 1.0).otherwise(known).alias("known")))
     return scored(edges).filter(enough(F.col("total") / F.col("n")) & (F.col("support") >= seeds)).select("pattern")
 
 
