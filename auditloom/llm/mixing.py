@@ -111,32 +111,32 @@ def calibrated(cells: DataFrame, fraction: float = FRACTION) -> DataFrame:
     return cells.withColumn("probability", F.least(F.lit(1.0), F.col("ratio") * scale)).drop("ratio")
 
 
-def mixed_cells(rows: DataFrame, targets: dict[str, DataFrame] | None = None, fraction: float = FRACTION) -> DataFrame:
+def mixed_cells(rows: DataFrame, targets: dict[str, DataFrame] | None = None, fraction: float = FRACTION, **raking: float) -> DataFrame:
     """The cells of labelled() rows with weight (per token) and probability, as a small written table."""
     cells = durable(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
     goal = {d: (targets or {}).get(d) or tempered(cells, d) for d in DIMENSIONS}
     per_token = (F.col("weight") / F.greatest("tokens", F.lit(1))).alias("weight")
-    return durable(calibrated(rake(cells, goal), fraction).select(*DIMENSIONS, per_token, "probability"))
+    return durable(calibrated(rake(cells, goal, **raking), fraction).select(*DIMENSIONS, per_token, "probability"))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, fraction: float = FRACTION, topic: Column | None = None, tokens: Column | None = None) -> DataFrame:
-    """Each row's cell, tokens, weight, probability and whether it is drawn.
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, fraction: float = FRACTION, topic: Column | None = None, tokens: Column | None = None, **raking: float) -> DataFrame:
+    """Each row's cell, tokens, weight, probability and whether it is drawn. raking: close and sweeps of rake().
 
     A null text is empty (no tokens, so weight 0 unless its cell has other texts); a null source or language is the category
     "unknown"; a null doc_id stays null; repeated rows are drawn alike; other columns are not read; no rows give no rows.
     """
     rows = durable(labelled(docs, topic, tokens))
-    drawn = rows.join(mixed_cells(rows, targets, fraction), list(DIMENSIONS)).withColumn("sampled", F.col("drawn") < F.col("probability"))
+    drawn = rows.join(mixed_cells(rows, targets, fraction, **raking), list(DIMENSIONS)).withColumn("sampled", F.col("drawn") < F.col("probability"))
     return drawn.select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", "sampled")
 
 
-def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, fraction: float = FRACTION, topic: Column | None = None, tokens: Column | None = None) -> DataFrame:
+def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, fraction: float = FRACTION, topic: Column | None = None, tokens: Column | None = None, **raking: float) -> DataFrame:
     """The rows of docs that are drawn, in docs' columns.
 
     The rows are written with their labels once; only the cells are joined, so texts stay where they are.
     """
     names = docs.columns
     rows = durable(docs.select(F.struct(*names).alias("row"), *labels(topic, tokens)))
-    cells = mixed_cells(rows.select(*DIMENSIONS, "n_tokens"), targets, fraction)
+    cells = mixed_cells(rows.select(*DIMENSIONS, "n_tokens"), targets, fraction, **raking)
     kept = rows.select("row", *DIMENSIONS, "drawn").join(cells, list(DIMENSIONS)).filter(F.col("drawn") < F.col("probability"))
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
