@@ -7,7 +7,9 @@ joined with the digests of known licence notices.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -184,10 +186,29 @@ def canonical(text: Column) -> Column:
     low = F.when(low.rlike("copyright|\\(c\\)|©|all rights reserved"), F.regexp_replace(low, MARK, "")).otherwise(low)
     flat = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, APART, " ")), F.lit(" "))
     some = flat.rlike(f" (?:{'|'.join(SPELLINGS)}) ")
-    same = flat
+    same = F.replace(flat, F.lit(" "), F.lit("  "))  # so that neighbours don't share a space
     for a, b in SPELLINGS.items():
-        same = F.replace(same, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(F.when(some, same).otherwise(flat))
+        same = F.replace(same, F.lit(apart(a)), F.lit(apart(b)))
+    return F.trim(F.when(some, F.replace(same, F.lit("  "), F.lit(" "))).otherwise(flat))
+
+
+def apart(words: str) -> str:
+    """Words as they stand where each space is doubled."""
+    return f" {words.replace(' ', '  ')} "
+
+
+def plain(text: str) -> str:
+    """The canonical form of one text of the registry, as the column has it."""
+    low = "\n" + text.translate({k: k + 32 for k in range(ord("A"), ord("Z") + 1)})
+    low = re.sub(python_pattern(MARK), "", low, flags=re.ASCII)
+    same = f" {re.sub(python_pattern(APART), ' ', low).strip(' ')} ".replace(" ", "  ")
+    for a, b in SPELLINGS.items():
+        same = same.replace(apart(a), apart(b))
+    return same.replace("  ", " ").strip(" ")
+
+
+def python_pattern(pattern: str) -> str:
+    return pattern.replace(r"\x{80}", "\x80").replace(r"\x{10FFFF}", "\U0010ffff").replace(r"\z", r"\Z")
 
 
 def digests(known: DataFrame) -> DataFrame:
@@ -224,6 +245,41 @@ def scan(docs: DataFrame, licences: DataFrame, notices: DataFrame) -> DataFrame:
     return joined.select("doc_id", "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
 
 
+@lru_cache
 def sql() -> str:
-    """DuckDB SQL that the scan of documents is held against; it holds three short texts and ten notices of its own."""
-    return Path(__file__).with_name("licence_scan.sql").read_text("utf-8")
+    """DuckDB SQL that the scan of documents is held against, with the digests of the whole registry.
+
+    DuckDB's patterns can't look ahead. So what makes "copyright" the body of a licence is marked first, a statement that goes on in
+    the next line is put into one, and then whole lines are kept or not.
+    """
+
+    def known(values: list[tuple[str, str]]) -> str:
+        first: dict[str, str] = {}
+        for licence, text in sorted(values, reverse=True):
+            if flat := plain(text):
+                first[hashlib.sha256(flat.encode()).hexdigest()] = licence
+        return ", ".join(f"('{d}', '{licence}')" for d, licence in sorted(first.items()))
+
+    def flat(x: str) -> str:
+        out = f"regexp_replace(chr(10) || translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(1), 'abcdefghijklmnopqrstuvwxyz' || chr(2)), '{BODY}', 'copyright' || chr(1) || '\\1', 'g')"
+        out = f"regexp_replace({out}, '{OVER_LINES}', '\\1 \\2', 'g')"
+        out = f"array_to_string(list_filter(string_split({out}, chr(10)), lambda l: not regexp_matches(l, '{STATEMENT}')), chr(10))"
+        out = f"replace(' ' || trim(regexp_replace({out}, '{APART}', ' ', 'g'), ' ') || ' ', ' ', '  ')"
+        for a, b in SPELLINGS.items():
+            out = f"replace({out}, '{apart(a)}', '{apart(b)}')"
+        return f"trim(replace({out}, '  ', ' '), ' ')"
+
+    blank = r"[ \t\n\x0B\f\r]"
+    lead = r"[^\na-z0-9(©\x{80}-\x{10FFFF}]*"
+    BODY = f"copyright({blank}+(?:{GOES_ON.replace(chr(92) + 's', blank)})(?:[^a-z]|\\z))"
+    OVER_LINES = rf"(\n{lead}\(c\)[ \t\x0B\f\r]*)\n{blank}*(copyright|©|[<\[])"
+    STATEMENT = rf"^{lead}(?:copyright(?:[^a-z,.;)''”\x22/\x01-]|\z)|©|\(c\){blank}*(?:copyright|©|[<\[])|\(c\).*(?:19|20)[0-9]{{2}}|all rights reserved[^a-z0-9]*\z)"
+    return f"""
+with known(digest, licence) as (values {known(LICENCES)}),
+notes(digest, notice) as (values {known(NOTICES)}),
+base as (select doc_id, coalesce(text, '') t from documents),
+found as (select doc_id, array_to_string(list_sort(list_distinct(list(notice))), ',') notices, count(*) n_notices
+  from (select doc_id, sha256({flat("s")}) digest from (select doc_id, unnest(string_split(t, chr(10))) s from base)) join notes using (digest) group by 1),
+whole as (select doc_id, sha256(nullif({flat("t")}, '')) digest from base)
+select doc_id, digest, licence, coalesce(notices, '') notices, coalesce(n_notices, 0)::bigint n_notices
+from whole left join known using (digest) left join found using (doc_id)"""

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import textwrap
 
+import duckdb
+import pyarrow as pa
+
 from auditloom.llm import licences
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
@@ -85,3 +89,26 @@ def test_headers_of_files_are_known(spark):
 def test_tables_of_digests_are_small_enough_to_broadcast(spark):
     known = licences.digests(licences.registry(spark, licences.NOTICES))
     assert known._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 256 * 1024
+
+
+def test_neighbouring_spellings(spark):
+    rows = ["the centre centre of labour labour labour", "the center center of labor labor labor", "per cent per cent sub licence sub licence", "percent percent sublicense sublicense"]
+    got = scanned(spark, rows)
+    assert got[0].digest == got[1].digest and got[2].digest == got[3].digest
+    assert [licences.plain(x) for x in rows[::2]] == rows[1::2]
+
+
+def test_the_sql_holds_the_whole_registry(spark):
+    """Every registered text, in several line breaks, with what only just is a statement or isn't, in Spark and in DuckDB."""
+    texts = [t for _, t in licences.LICENCES if len(t) < 40_000]
+    texts += [wrapped(t, w) for name, t in licences.read(licences.TEXTS) for w in (24, 51, 79, 10_000)]
+    texts += [line for _, line in licences.NOTICES[::7]]
+    marks = ["Copyright\n\n notices stay", "copyright\nSome Body\nstays", "(c)\n copyright 2020 me\nstays", "(c)\n[year] me\nstays", "(c) 2020 me", "(c) item", "# © me", "all rights reserved. \nx", "all rights reserved to me", "copyright\x01 me", "copyrighted work", "a copyright 2020", "copyright (c) on\ncopyright on copyright notice", "", "\u00a0copyright me", "(c)\n(c)\ncopyright x", "* Copyright the\nlibrary", "copyright", "the sub\nlicence centre centre"]
+    texts += [a + "\n" + b for a in marks for b in marks]
+    spark_rows = [tuple(r) for r in scanned(spark, texts)]
+    documents = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert con.sql(licences.sql() + " order by doc_id").fetchall() == spark_rows
+    assert len({r[2] for r in spark_rows} - {None}) >= 25 and len({r[3] for r in spark_rows}) > 35
+    assert not re.search("above notice and this", licences.sql())
