@@ -27,6 +27,19 @@ CHART = {"XAF8003": WARNING, "XAF8004": WARNING, "XAF8006": WARNING}
 DATES = "startDate endDate dateCreated startDatePeriod endDatePeriod trDt effDate settDate transactionDate effectiveDate".split()
 MONEY_FIELDS = "amnt vatAmnt curAmnt totalDebit totalCredit opBalDesc clBalDesc debitAmount creditAmount vatPerc".split()
 COUNTS, SIDES = "linesCount numberEntries".split(), "amntTp vatAmntTp opBalTp clBalTp".split()
+# FIXED VALUES: records that an id defines, the names of the id, and what a later definition is
+MASTERS = [
+    ("ledgerAccount", "accID accountID", "XAF6002", ERROR),
+    ("customerSupplier", "custSupID", "XAF6001", ERROR),
+    ("vatCode", "vatID", "XAF6008", ERROR),
+    ("period", "periodNumber", "XAF6009", ERROR),
+    ("journal", "jrnID journalID", "XAF6007", WARNING),
+]
+# FIXED VALUES: sections with declared totals, the records that they hold, and the codes of what is wrong with them
+SECTIONS = {
+    "transactions": (("trLine", "line"), ("XAF5007", "XAF5008", "XAF5009", "XAF5012", None)),
+    "openingBalance": (("obLine",), ("XAF5004", "XAF5005", "XAF5006", "XAF5011", "XAF5013")),
+}
 #: notes of files that can't be read further
 FATAL = ("XAF1021", "XAF2001", "XAF2002", "XAF2003")
 #: lexical rules that no schema has
@@ -110,7 +123,7 @@ def of_required(files: Files) -> list[DataFrame]:
 def of_masters(files: Files) -> list[DataFrame]:
     """Later definitions of an id in a file."""
     out = []
-    for kind, names, code, severity in (("ledgerAccount", "accID accountID", "XAF6002", ERROR), ("customerSupplier", "custSupID", "XAF6001", ERROR), ("vatCode", "vatID", "XAF6008", ERROR), ("period", "periodNumber", "XAF6009", ERROR), ("journal", "jrnID journalID", "XAF6007", WARNING)):
+    for kind, names, code, severity in MASTERS:
         rows = files.of(kind).select("file", "line", "path", "ord", field(*names.split()).alias("id"))
         later = uniqueness.later(rows.filter("id is not null"), ["file", "id"], ["ord"])
         out.append(O.finding(later, code, severity, say(f"{kind} defined again:", F.col("id")), file=F.col("file"), line=F.col("line"), path=F.col("path"), value=F.col("id")))
@@ -224,7 +237,7 @@ def against(heads: DataFrame, counts: DataFrame, sums: DataFrame) -> DataFrame:
 def of_totals(files: Files) -> list[DataFrame]:
     """Declared totals of files and opening balances against the sums of what they hold, as written."""
     out, amounts = [], written(files)
-    for section, kinds, codes in (("transactions", ("trLine", "line"), ("XAF5007", "XAF5008", "XAF5009", "XAF5012", None)), ("openingBalance", ("obLine",), ("XAF5004", "XAF5005", "XAF5006", "XAF5011", "XAF5013"))):
+    for section, (kinds, codes) in SECTIONS.items():
         count = parse_int(field("linesCount", "numberEntries"))
         heads = files.of(section).select("file", "line", count.alias("count"), *[parse_amount(field(n)).alias(a) for n, a in (("totalDebit", "debit"), ("totalCredit", "credit"))])
         both = against(heads, files.of(*kinds).groupBy("file").agg(F.count("*").alias("n")), amounts.filter(F.col("kind").isin(*kinds)).groupBy("file").agg(*both_sums()))
