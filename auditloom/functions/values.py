@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # FIXED VALUES: what counts as white space around a value
-SPACE = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACE = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 AMOUNT = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"
 DOUBLE = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([Ee][+-]?[0-9]+)?$"
 DATE = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(Z|[+-]([0-9]{2}):([0-9]{2}))?$"
@@ -15,7 +15,7 @@ FAST = "decimal(28,8)"
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(text, F.lit(SPACE))
 
 
 def clean(text: Column) -> Column:
@@ -99,9 +99,8 @@ def significant_digits(text: Column) -> tuple[Column, Column]:
 def sided(amount: Column, side: Column, policy: str = "flip") -> tuple[Column, Column]:
     """(side, signed amount, debit-positive). flip: a negative debit is a credit; abs: the sign is dropped."""
     s = F.upper(stripped(side))
-    s = F.when(s.isin("D", "C"), s)
     value = F.abs(amount) if policy == "abs" else amount
-    return s, F.when(s == "D", value).when(s == "C", -value)
+    return F.when(s.isin("D", "C"), s), F.when(s == "D", value).when(s == "C", -value)
 
 
 def split(signed: Column) -> tuple[Column, Column]:

@@ -21,7 +21,7 @@ def summed(value: Column) -> Column:
 def signed_lines(lines: DataFrame, policy: str = "flip") -> DataFrame:
     """Adds signed_amount (debit-positive), debit and credit."""
     side, signed = sided(F.col("amount"), F.col("side"), policy)
-    rows = lines.withColumn("side", side).withColumn("signed_amount", signed)
+    rows = lines.withColumns({"side": side, "signed_amount": signed})
     debit, credit = split(F.col("signed_amount"))
     return rows.withColumns({"debit": debit, "credit": credit})
 

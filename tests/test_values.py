@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditloom.functions import values
+from auditloom.operators import totals
 
 D = Decimal
 CASES = {
@@ -34,3 +35,18 @@ def test_amounts_that_need_the_exact_adder(spark):
     df = spark.createDataFrame(list(enumerate(t for t, _ in cases)), "k int, text string")
     got = {r.k: bool(r.v) for r in df.select("k", values.inexact(F.col("text")).alias("v")).collect()}
     assert got == {k: want for k, (_, want) in enumerate(cases)}
+
+
+def test_sides_and_what_a_plan_says_of_them(spark):
+    """Sides with white space around them, in either case, count; no pattern is tried on a line, and a side is read a few times at most."""
+    spaces = [chr(c) for c in range(0x3001) if chr(c) in values.SPACE]
+    texts = ["D", "C", "d", " c　", " \tD\r\n", " C\u0085", "D C", "X", "", " ", None, "​D", *(f"{x}d{x}" for x in spaces)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, side string").withColumn("amount", F.lit(D("-1.50")))
+    side, signed = values.sided(F.col("amount"), F.col("side"))
+    pattern = r"^[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$"
+    want = F.upper(F.regexp_replace("side", pattern, ""))
+    got = rows.select("k", side.alias("s"), signed.alias("v"), want.alias("w"))
+    for r in got.collect():
+        assert (r.s, r.v) == ((r.w, D("-1.50") if r.w == "D" else D("1.50")) if r.w in ("D", "C") else (None, None)), repr(texts[r.k])
+    plan = totals.signed_lines(rows).filter("signed_amount is not null").select("signed_amount")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and plan.count("upper(") <= 4
