@@ -132,24 +132,63 @@ def part(n: str, similarity: float) -> Column:
     return F.floor(F.log(n) / -F.log(F.lit(similarity))).cast("int")
 
 
+#: spots in a shard of sets, or in a block of asked ones, that are held against each other at once; a larger set is alone
+IN_CELL = 8192
+
+
+def families(keys: DataFrame) -> DataFrame:
+    """(q, family) of asked sets of keys (q, spot, part, own): the key of its own length that it shares with most others.
+
+    A key of m sets leads to few families: each of them stands for a key of at least m sets, so there are no more than the root of
+    all keys.
+    """
+    shared = keys.filter("part = own").groupBy("key").agg(F.count("*").alias("c"))
+    return keys.filter("part = own").join(shared, "key").groupBy("q").agg(F.max_by("key", F.struct("c", "key")).alias("family"))
+
+
 def near_counts(sets: DataFrame, similarity: float) -> DataFrame:
     """(fingerprint, n_near) of those that are asked for: how many other rows of sets (doc_id, asked, print, fingerprint, spots) are as
     like as that.
 
     Equal prints are compared once. A spot meets its like by a hash with its set's partition, so only two numbers are moved for each,
-    and by a merge at every size; what comes up by chance is told apart by the spots themselves.
+    and by a merge at every size. What it meets is a family of asked sets, not each of them: in a large group of near copies each
+    set makes a few rows however many of the group are asked for. Families are cut into blocks, the sets that met them into
+    shards, of bounded sizes; a block and a shard are compared within a row and give a count for each asked set. What comes up by
+    chance is told apart by the spots themselves.
     """
     asked = durable(sets.filter("asked").select(F.col("print").alias("q"), "fingerprint", "spots").dropDuplicates(["fingerprint"]))
-    parts = F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: part("n", similarity) + k)
-    keys = durable(prefix(asked.select("q", "spots"), "q", similarity).select("q", "spot", F.explode(parts).alias("part")).select("q", F.xxhash64("spot", "part").alias("key")))
+    parts = F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.col("own") + k)
+    keys = prefix(asked.select("q", "spots"), "q", similarity).withColumn("own", part("n", similarity)).select("q", "spot", "own", F.explode(parts).alias("part"))
+    keys = durable(keys.withColumn("key", F.xxhash64("spot", "part")))
+    family = durable(families(keys))
+    met = durable(keys.join(family, "q").select("key", "family").distinct())
     rows = sets.withColumn("part", F.floor(F.log(F.size("spots")) / -F.log(F.lit(similarity))).cast("int"))
     each = rows.select("print", F.explode(F.transform("spots", lambda x: F.xxhash64(x, F.col("part")))).alias("key"))
-    pairs = durable(each.hint("merge").join(keys.hint("merge"), "key").select("q", "print").distinct())
+    pairs = durable(each.hint("merge").join(met.hint("merge"), "key").select("print", "family").distinct())
     some = sets.select("doc_id", "print", "spots", salt("doc_id"))
     wanted = told_of(some.groupBy("print", "salt").agg(F.count("*").alias("n")), ["print"], pairs.select("print").distinct())
-    some = some.join(wanted, ["print", "salt"], "left_semi").groupBy("print", "spots").agg(F.count("*").alias("rows")).withColumnRenamed("spots", "x")
-    found = pairs.join(some, "print").join(asked.withColumnRenamed("spots", "y"), "q").filter(likeness("x", "y") >= similarity)
-    return found.groupBy("fingerprint").agg((F.sum("rows") - 1).alias("n_near"))
+    some = some.join(wanted, ["print", "salt"], "left_semi").groupBy("print", "spots").agg(F.count("*").alias("rows"))
+
+    # spots are 12 hexadecimal digits
+    whole = F.transform("spots", lambda x: F.conv(x, 16, 10).cast("long")).alias("spots")
+    cells = lambda rows: rows.groupBy("family").agg(F.ceil(F.sum(F.size("spots")) / IN_CELL).cast("int").alias("cells"))
+    cell = lambda by: F.pmod(F.xxhash64(by), F.col("cells")).cast("int")
+    ys = durable(pairs.join(some, "print").select("family", "print", whole, "rows", salt("print")))
+    shards = durable(cells(ys))
+    told = told_of(ys.groupBy("family", "salt").agg(F.count("*").alias("n")), ["family"], shards)
+    ys = ys.join(told, ["family", "salt"]).groupBy("family", cell("print").alias("shard")).agg(F.collect_list(F.struct("spots", "rows")).alias("ys"))
+    qs = durable(asked.join(family, "q").select("family", "fingerprint", whole))
+    qs = qs.join(cells(qs), "family").groupBy("family", cell("fingerprint").alias("block")).agg(F.collect_list(F.struct("fingerprint", "spots")).alias("qs"))
+    qs = qs.join(shards, "family").select("family", "qs", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("shard"))
+
+    def near(q: Column) -> Column:
+        n = F.size(q["spots"])
+        able = F.filter("ys", lambda y: F.least(n, F.size(y["spots"])) >= F.greatest(n, F.size(y["spots"])) * similarity - 1e-9)
+        both = F.transform(able, lambda y: F.struct(y["rows"].alias("rows"), F.size(y["spots"]).alias("n"), F.size(F.array_intersect(q["spots"], y["spots"])).alias("both")))
+        return F.aggregate(both, F.lit(0).cast("long"), lambda sum_, y: sum_ + F.when(y["both"] / (n + y["n"] - y["both"]) >= similarity, y["rows"]).otherwise(0))
+
+    counts = qs.join(ys, ["family", "shard"]).select(F.explode(F.transform("qs", lambda q: F.struct(q["fingerprint"].alias("fingerprint"), near(q).alias("rows")))).alias("x"))
+    return counts.groupBy("x.fingerprint").agg((F.sum("x.rows") - 1).alias("n_near"))
 
 
 def near_pairs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

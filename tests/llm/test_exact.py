@@ -391,3 +391,31 @@ def test_copies_of_a_banner_count_as_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kept = {r.doc_id: r.kept for r in quality.quality(docs).collect()}
     assert not any(kept[i] for i in range(40)) and all(kept[100 + i] for i in range(60))
+
+
+def test_near_counts_of_a_large_group_make_no_pairs(spark, monkeypatch):
+    """Every set of a group of near copies is asked for: counts are those of brute force, and no table holds a row for each pair."""
+    dice = random.Random(5)
+    core = [f"{k:012x}" for k in range(1, 31)]
+    sets = {}
+    for k in range(400):
+        kept = [x for x in core if dice.random() > 0.06]
+        sets[k] = sorted({*kept, *(f"{dice.randrange(16**12):012x}" for _ in range(dice.randrange(3)))})
+    sets |= {k: sets[k - 400] for k in range(400, 430)} | {k: [f"{k:012x}", f"{k + 1:012x}"] for k in range(430, 460)}
+    rows = spark.createDataFrame([(k, " ".join(x)) for k, x in sets.items()], "doc_id long, fingerprint string")
+    rows = rows.select("doc_id", F.lit(True).alias("asked"), F.xxhash64("fingerprint").alias("print"), "fingerprint", F.split("fingerprint", " ").alias("spots"))
+    written, durable = [], spotsigs.durable
+
+    def counted(df):
+        out = durable(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(spotsigs, "durable", counted)
+    monkeypatch.setattr(spotsigs, "IN_CELL", 2000, raising=False)
+    got = {r.fingerprint: r.n_near for r in spotsigs.near_counts(rows, 0.8).collect()}
+    like = lambda a, b: len(a & b) / len(a | b)
+    plain = {k: frozenset(x) for k, x in sets.items()}
+    want = {" ".join(x): sum(like(plain[k], y) >= 0.8 for y in plain.values()) - 1 for k, x in sets.items()}
+    assert got == want and max(want.values()) > 100
+    assert max(written) <= 3 * sum(map(len, sets.values()))
