@@ -21,8 +21,18 @@ def later(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return ranked(rows, keys, order).filter("nth > 1")
 
 
-def duplicate_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that occur more than once, with how often; pre-aggregates before the shuffle, so hot keys are cheap."""
+#: parts of rows whose keys are nearly all different
+SPREAD = 256
+
+
+def duplicate_counts(rows: DataFrame, keys: list[str], rare: bool = False) -> DataFrame:
+    """Keys that occur more than once, with how often; pre-aggregates before the shuffle, so hot keys are cheap.
+
+    rare: nearly all keys are different, so that to aggregate before the shuffle only fills memory; they are dealt to
+    SPREAD tasks, which aren't put together again by their size on disk, where such keys take little.
+    """
+    if rare:
+        rows = rows.select(*keys).repartition(SPREAD, *keys)
     return rows.groupBy(*keys).agg(F.count("*").alias("occurrences")).filter("occurrences > 1")
 
 
