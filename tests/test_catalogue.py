@@ -29,3 +29,13 @@ def test_query_matches_its_sql(spark, duck, name):
     assert sorted(want.columns) == columns
     place = [want.columns.index(c) for c in columns]
     assert rows == sorted(repr(tuple(r[k] for k in place)) for r in want.fetchall())
+
+
+def test_findings_are_made_distinct_by_narrow_rows(spark):
+    """No whole finding, with its message, is a key of an aggregate; the rules' largest keys are dealt to a fixed number of tasks."""
+    from auditloom.plans import catalogue
+    from auditloom.plans.frames import from_orders
+
+    plan = catalogue.all_findings(from_orders(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert max(x.split("Aggregate [")[1].split("]")[0].count(",") for x in plan.splitlines() if "Aggregate [" in x) <= 1
+    assert "RepartitionByExpression" in plan
