@@ -10,6 +10,7 @@ from __future__ import annotations
 import warnings
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditloom.llm.common import GAP, durable, text_of
@@ -19,6 +20,8 @@ DIMENSIONS = ("source", "lang", "topic")
 TEMPER = 0.7
 #: Raking ends when no factor of a sweep is further than this from 1, or after so many sweeps.
 CLOSE, SWEEPS = 1e-4, 20
+#: Up to so many cells are raked in one task, so many sweeps a query: no shuffles, and no small tables built in the driver's memory.
+FEW, TOGETHER = 100_000, 5
 #: share of all tokens to draw
 FRACTION = 0.6
 
@@ -61,6 +64,20 @@ def tempered(cells: DataFrame, dimension: str, power: float = TEMPER) -> DataFra
     return sums.crossJoin(sums.agg(F.sum("part").alias("whole"))).select(dimension, (F.col("part") / F.col("whole")).alias("target"))
 
 
+def swept(cells: DataFrame, few: bool) -> DataFrame:
+    """cells after one sweep over the dimensions, with the most that a factor of each moved."""
+    cells = cells.withColumn("moved", F.lit(0.0))
+    for d in DIMENSIONS:
+        if few:
+            cells = cells.withColumn("now", F.sum("weight").over(W.partitionBy(d)))
+        else:
+            cells = cells.join(cells.groupBy(d).agg(F.sum("weight").alias("now")), d)
+        factor = F.coalesce(F.col(f"to_{d}") / F.nullif("now", F.lit(0.0)), F.lit(1.0))
+        cells = cells.withColumn("factor", factor).drop("now")
+        cells = cells.withColumns({"weight": F.col("weight") * F.col("factor"), "moved": F.greatest("moved", F.abs(F.col("factor") - 1))}).drop("factor")
+    return cells
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], close: float = CLOSE, sweeps: int = SWEEPS) -> DataFrame:
     """cells with weight, whose sums have the target shares of every dimension.
 
@@ -76,19 +93,24 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], close: float = CLOSE,
     for d in DIMENSIONS:
         cells = cells.join(goal[d], d)
     cells = durable(cells)
-    for _ in range(sweeps):
-        cells = cells.withColumn("moved", F.lit(0.0))
-        for d in DIMENSIONS:
-            now = cells.groupBy(d).agg(F.sum("weight").alias("now"))
-            factor = F.coalesce(F.col(f"to_{d}") / F.nullif("now", F.lit(0.0)), F.lit(1.0))
-            cells = cells.join(now, d).withColumn("factor", factor).drop("now")
-            cells = cells.withColumns({"weight": F.col("weight") * F.col("factor"), "moved": F.greatest("moved", F.abs(F.col("factor") - 1))}).drop("factor")
-        cells = durable(cells)
-        moved = cells.filter("weight > 0").agg(F.max("moved")).first()[0] or 0.0
-        if moved <= close:
+    few = cells.count() <= FEW
+    done, moved = 0, [0.0]
+    while done < sweeps:
+        together = min(TOGETHER if few else 1, sweeps - done)
+        rows = cells.coalesce(1) if few else cells
+        for k in range(together):
+            rows = swept(rows, few).withColumns({f"weight_{k}": F.col("weight"), f"moved_{k}": F.col("moved")})
+        rows = durable(rows.drop("weight", "moved"))
+        most = rows.agg(*[F.max(F.when(F.col(f"weight_{k}") > 0, F.col(f"moved_{k}"))) for k in range(together)]).first()
+        moved = [x or 0.0 for x in most]
+        # the sweeps after the first that moves no factor don't count
+        last = next((k for k, x in enumerate(moved) if x <= close), together - 1)
+        cells = rows.select(*cells.drop("weight").columns, F.col(f"weight_{last}").alias("weight"))
+        if moved[last] <= close:
             break
+        done += together
     else:
-        warnings.warn(f"raking did not converge in {sweeps} sweeps: a factor still moves by {moved:.2g}", stacklevel=2)
+        warnings.warn(f"raking did not converge in {sweeps} sweeps: a factor still moves by {moved[-1]:.2g}", stacklevel=2)
     return cells.select(*DIMENSIONS, "tokens", "weight")
 
 
