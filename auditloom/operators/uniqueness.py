@@ -21,18 +21,31 @@ def later(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return ranked(rows, keys, order).filter("nth > 1")
 
 
-#: parts of rows whose keys are nearly all different
-SPREAD = 256
+#: parts of rows whose keys are nearly all different; up to 200, a shuffle writes its parts without holding rows in memory
+SPREAD = 200
+
+
+def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows dealt by keys that are nearly all different to SPREAD tasks.
+
+    To aggregate such keys before the shuffle only fills memory, and the tasks aren't put together again by their size on disk,
+    where such keys take little.
+    """
+    return rows.repartition(SPREAD, *keys)
+
+
+def distinct_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The different values of keys that are nearly all different."""
+    return dealt(rows.select(*keys), keys).distinct()
 
 
 def duplicate_counts(rows: DataFrame, keys: list[str], rare: bool = False) -> DataFrame:
     """Keys that occur more than once, with how often; pre-aggregates before the shuffle, so hot keys are cheap.
 
-    rare: nearly all keys are different, so that to aggregate before the shuffle only fills memory; they are dealt to
-    SPREAD tasks, which aren't put together again by their size on disk, where such keys take little.
+    rare: nearly all keys are different, and so are dealt before they are counted.
     """
     if rare:
-        rows = rows.select(*keys).repartition(SPREAD, *keys)
+        rows = dealt(rows.select(*keys), keys)
     return rows.groupBy(*keys).agg(F.count("*").alias("occurrences")).filter("occurrences > 1")
 
 

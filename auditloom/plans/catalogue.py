@@ -66,7 +66,8 @@ UNBALANCED = f"select tx, {WRITTEN.format('D')} written_debit, {WRITTEN.format('
 
 @on_ledger(UNBALANCED.format("lines"))
 def unbalanced_tx(ledger: Ledger) -> DataFrame:
-    return totals.unbalanced(ledger.lines)
+    # a transaction has few lines: to add them up in the scan as well would hold wide sums of nearly all transactions there
+    return totals.unbalanced(uniqueness.dealt(ledger.lines.select("tx", "side", "amount"), ["tx"]))
 
 
 @on_ledger(UNBALANCED.format("(select tx, x.s side, x.v amount from double_lines)"))
@@ -268,7 +269,7 @@ def fiscal_year_mismatch(ledger: Ledger) -> DataFrame:
 @on_ledger("select tx, journal_id from transactions t where not exists (select 1 from lines l where l.tx = t.tx)")
 def tx_without_lines(ledger: Ledger) -> DataFrame:
     # dealt alike to a fixed number of tasks: by their size on disk few would be left, and these sort all rows in memory
-    dealt = lambda rows: rows.repartition(uniqueness.SPREAD, "tx")
+    dealt = lambda rows: uniqueness.dealt(rows, ["tx"])
     return dealt(ledger.transactions.select("tx", "journal_id")).join(dealt(ledger.lines.select("tx")), "tx", "left_anti")
 
 
@@ -552,15 +553,15 @@ def all_findings(ledger: Ledger) -> DataFrame:
     """The distinct findings: each rule's rows are made distinct by the few columns that tell them apart, or are so by
     how they are made, as rows of whole findings are several times wider."""
     text = lambda *parts: F.concat_ws(" ", *[p if not isinstance(p, str) else F.lit(p) for p in parts])
-    accounts = undefined_accounts(ledger).select("tx", "account_id").distinct()
-    relations = undefined_relations(ledger).select("tx", "relation_id").distinct()
+    accounts = uniqueness.distinct_keys(undefined_accounts(ledger), ["tx", "account_id"])
+    relations = uniqueness.distinct_keys(undefined_relations(ledger), ["tx", "relation_id"])
     made = [
         findings.finding(accounts, "XAF4001", findings.ERROR, text("account is not defined", F.col("account_id")), value=F.col("account_id"), line=F.col("tx")),
         findings.finding(relations, "XAF4002", findings.ERROR, text("relation is not defined", F.col("relation_id")), value=F.col("relation_id"), line=F.col("tx")),
-        findings.finding(totals.unbalanced(ledger.lines), "XAF5010", findings.ERROR, text("transaction does not balance", F.col("tx").cast("string")), line=F.col("tx")),
+        findings.finding(unbalanced_tx(ledger), "XAF5010", findings.ERROR, text("transaction does not balance", F.col("tx").cast("string")), line=F.col("tx")),
         findings.finding(dup_line_numbers(ledger), "XAF6005", findings.ERROR, text("line number occurs again", F.col("number")), value=F.col("number"), line=F.col("tx")),
         findings.finding(tx_without_lines(ledger).select("tx").distinct(), "XAF7011", findings.WARNING, text("transaction without lines"), line=F.col("tx")),
-        findings.finding(tx_outside_fy(ledger).distinct(), "XAF7002", findings.WARNING, text("date outside the fiscal year"), line=F.col("tx"), value=F.col("date")),
+        findings.finding(uniqueness.distinct_keys(tx_outside_fy(ledger), ["tx", "date"]), "XAF7002", findings.WARNING, text("date outside the fiscal year"), line=F.col("tx"), value=F.col("date")),
     ]
     out = made[0]
     for m in made[1:]:

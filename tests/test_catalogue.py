@@ -39,3 +39,17 @@ def test_findings_are_made_distinct_by_narrow_rows(spark):
     plan = catalogue.all_findings(from_orders(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert max(x.split("Aggregate [")[1].split("]")[0].count(",") for x in plan.splitlines() if "Aggregate [" in x) <= 1
     assert "RepartitionByExpression" in plan
+
+
+def test_keys_of_findings_are_dealt_before_they_are_aggregated(spark):
+    """A scan's task holds no table of its transactions: what is grouped by tx is dealt first, to parts of a fixed number."""
+    from auditloom.operators import uniqueness
+    from auditloom.plans import catalogue
+    from auditloom.plans.frames import from_orders
+
+    plan = catalogue.all_findings(from_orders(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    grouped = [k for k, x in enumerate(plan) if "Aggregate [tx" in x]
+    assert len(grouped) == 6
+    for k in grouped:
+        below = next(x for x in plan[k + 1 :] if not any(step in x for step in ("Project [", "Filter (", "Join LeftAnti")))
+        assert f", {uniqueness.SPREAD}" in below and "RepartitionByExpression [tx" in below, below
