@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm import suffix_runs as R
-from auditloom.llm.common import durable, salt, text_of, told_of
+from auditloom.llm.common import WRITTEN, drop_tables, durable, salt, text_of, told_of
 
 #: strings in a bucket of the merge, the most ranges that splitters bound, and strings that are drawn for each splitter
 IN_BUCKET, RANGES, DRAWN = 250_000, 4096, 20
@@ -287,16 +287,21 @@ def clipped(rows: DataFrame, length: int) -> DataFrame:
 
 
 def covered(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(ord, key, spans) of the rows with windows that also start earlier; spans: array of (first window, windows)."""
+    """(ord, key, spans) of the rows with windows that also start earlier; spans: array of (first window, windows).
+
+    The tables between its steps go as soon as the next is written, and the last ones when the spans are.
+    """
+    spark, began = docs.sparkSession, len(WRITTEN)
     rows = numbered(docs)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    partitions = max(1, -(-int(chars) // (IN_PARTITION * 30)), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    partitions = max(1, -(-int(chars) // (IN_PARTITION * 30)), int(spark.conf.get("spark.sql.shuffle.partitions")))
     places = durable(not_alone(anchored(rows, length), partitions))
     count = places.count()
     strings = lambda b: around_anchors(b, length)
     most = sizes(count)[2]
     some = drawn_from(with_bodies(places.sample(min(1.0, most / count), seed=7).limit(2 * most), rows, few=True), strings, 2 * most) if count > IN_BUCKET else []
     found = durable(merge_sorted(with_bodies(places, rows), strings, count, some, first_of_run, equal_segments, covered_segments, SEGMENT))
+    drop_tables(spark, began, keep=1)
     whole = found.filter(F.col("kind") == COVERED).select("doc", "key", F.shiftrightunsigned("p", 16).alias("first"), F.shiftrightunsigned("p", 8).bitwiseAND(F.lit(255)).alias("windows"))
 
     unclear = found.filter(F.col("kind") == OPEN).select("doc", "key", "p", "segment", "after")
@@ -315,6 +320,7 @@ def covered(docs: DataFrame, length: int = 100) -> DataFrame:
     firsts = firsts.withColumn("salt", salt("segment")).join(told_of(of_anchor, ["h"], several), ["h", "salt"]).drop("salt")
     told = clips.withColumn("salt", salt("doc")).join(told_of(parts, ["h", "segment"], firsts), ["h", "segment", "salt"])
     told = durable(told.withColumn("again", F.struct("doc", "first") > F.col("least")).filter("again or several"))
+    drop_tables(spark, began + 1, keep=1)  # the clipped segments
     equal = told.filter("again").select("doc", "key", "first", "windows")
     rest = told.filter("not again").select("doc", "key", "first", "windows", "segment")
     count = rest.agg(F.sum("windows")).first()[0] or 0
@@ -323,7 +329,9 @@ def covered(docs: DataFrame, length: int = 100) -> DataFrame:
     single = merge_sorted(rest, lambda b: windows_of(b, length), count, some, first_of_run, later_windows, lambda d, k, p, _: (d, k, p), PLACE)
     single = single.select("doc", "key", F.shiftrightunsigned("p", 16).alias("first"), F.lit(1).cast("long").alias("windows"))
     spans = whole.unionByName(equal).unionByName(single)
-    return spans.groupBy(F.col("doc").alias("of_ord"), F.col("key").alias("of_key")).agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
+    spans = durable(spans.groupBy(F.col("doc").alias("of_ord"), F.col("key").alias("of_key")).agg(F.collect_list(F.struct("first", "windows")).alias("spans")))
+    drop_tables(spark, began, keep=1)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataFrame:
@@ -333,7 +341,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False)
     and, like rows of one doc_id, count as one document: of equal strings in them, only those at a later place are repeated. So
     repeated rows are not repeats of each other; other columns are not read; no rows give no rows.
     """
-    rows, found = numbered(docs), durable(covered(docs, length))
+    rows, found = numbered(docs), covered(docs, length)
     joined = rows.join(found, (F.col("ord") == F.col("of_ord")) & (F.col("key") == F.col("of_key")), "left").select("doc_id", "body", "spans")
 
     def removed(batches: Batches) -> Batches:
