@@ -61,7 +61,21 @@ def labelled(docs: DataFrame, topic: Column | None = None, tokens: Column | None
 def tempered(cells: DataFrame, dimension: str, power: float = TEMPER) -> DataFrame:
     """(dimension, target): shares to a power."""
     sums = cells.groupBy(dimension).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("part"))
-    return sums.crossJoin(sums.agg(F.sum("part").alias("whole"))).select(dimension, (F.col("part") / F.col("whole")).alias("target"))
+    return sums.crossJoin(sums.agg(F.sum("part").alias("whole"))).select(dimension, (F.col("part") / F.nullif("whole", F.lit(0.0))).alias("target"))
+
+
+def first_of(d: str) -> Column:
+    """Whether a cell is the first of its category of d."""
+    return F.row_number().over(W.partitionBy(d).orderBy(*[x for x in DIMENSIONS if x != d])) == 1
+
+
+def targeted(cells: DataFrame, d: str, power: float = TEMPER) -> DataFrame:
+    """cells in one task with to_d: the share of their category to a power, as rake() has it of tempered(), without joins."""
+    every = W.partitionBy()
+    once = lambda c: F.nullif(F.sum(F.when(F.col("first"), F.col(c))).over(every), F.lit(0.0))
+    cells = cells.withColumns({"part": F.pow(F.sum("tokens").over(W.partitionBy(d)).cast("double"), F.lit(power)), "first": first_of(d)})
+    cells = cells.withColumn("target", F.coalesce(F.col("part") / once("part"), F.lit(0.0)))
+    return cells.withColumn(f"to_{d}", F.col("target") / once("target")).drop("part", "first", "target")
 
 
 def swept(cells: DataFrame, few: bool) -> DataFrame:
@@ -79,21 +93,28 @@ def swept(cells: DataFrame, few: bool) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], close: float = CLOSE, sweeps: int = SWEEPS) -> DataFrame:
-    """cells with weight, whose sums have the target shares of every dimension.
+    """cells with weight, whose sums have the target shares of every dimension; of a dimension without targets, those of tempered().
 
     Categories without target keep no weight; targets of categories without cells are ignored and the others rescaled. A warning
     tells how far a factor still moves after the last sweep: where empty cells leave no solution, the sums only come close.
     """
-    goal = {}
-    for d in DIMENSIONS:
-        own = cells.select(d).distinct().join(targets[d], d, "left").select(d, F.coalesce("target", F.lit(0.0)).alias("target"))
-        goal[d] = own.crossJoin(own.agg(F.sum("target").alias("whole"))).select(d, (F.col("target") / F.col("whole")).alias(f"to_{d}"))
-    share = F.col("tokens") / F.nullif(F.col("all").cast("double"), F.lit(0.0))
-    cells = cells.crossJoin(cells.agg(F.sum("tokens").alias("all"))).withColumn("weight", F.coalesce(share, F.lit(0.0))).drop("all")
-    for d in DIMENSIONS:
-        cells = cells.join(goal[d], d)
-    cells = durable(cells)
     few = cells.count() <= FEW
+    share = F.coalesce(F.col("tokens") / F.nullif(F.col("all").cast("double"), F.lit(0.0)), F.lit(0.0))
+    given = cells
+    if few:
+        cells = cells.coalesce(1).withColumn("all", F.sum("tokens").over(W.partitionBy()))
+    else:
+        cells = cells.crossJoin(cells.agg(F.sum("tokens").alias("all")))
+    cells = cells.withColumn("weight", share).drop("all")
+    for d in DIMENSIONS:
+        if few and targets.get(d) is None:
+            cells = targeted(cells, d)
+            continue
+        goal = tempered(given, d) if targets.get(d) is None else targets[d]
+        own = given.select(d).distinct().join(goal, d, "left").select(d, F.coalesce("target", F.lit(0.0)).alias("target"))
+        goal = own.crossJoin(own.agg(F.sum("target").alias("whole"))).select(d, (F.col("target") / F.nullif("whole", F.lit(0.0))).alias(f"to_{d}"))
+        cells = cells.join(goal, d)
+    cells = cells.dropna(subset=list(DIMENSIONS)) if few else durable(cells)
     done, moved = 0, [0.0]
     while done < sweeps:
         together = min(TOGETHER if few else 1, sweeps - done)
@@ -136,9 +157,8 @@ def calibrated(cells: DataFrame, fraction: float = FRACTION) -> DataFrame:
 def mixed_cells(rows: DataFrame, targets: dict[str, DataFrame] | None = None, fraction: float = FRACTION, **raking: float) -> DataFrame:
     """The cells of labelled() rows with weight (per token) and probability, as a small written table."""
     cells = durable(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
-    goal = {d: (targets or {}).get(d) or tempered(cells, d) for d in DIMENSIONS}
     per_token = (F.col("weight") / F.greatest("tokens", F.lit(1))).alias("weight")
-    return durable(calibrated(rake(cells, goal, **raking), fraction).select(*DIMENSIONS, per_token, "probability"))
+    return durable(calibrated(rake(cells, targets or {}, **raking), fraction).select(*DIMENSIONS, per_token, "probability"))
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, fraction: float = FRACTION, topic: Column | None = None, tokens: Column | None = None, **raking: float) -> DataFrame:
